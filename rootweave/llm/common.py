@@ -104,3 +104,33 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     centres = e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return stars.union(centres)
+
+
+def as_bytes(column):
+    """UTF-8 bytes of every entry of an Arrow string or binary column, null as empty."""
+    import pyarrow as pa
+
+    for value in column.cast(pa.large_binary()):
+        buffer = value.as_buffer()
+        yield b"" if buffer is None else memoryview(buffer)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the executors, once for an application, so that Python
+    workers can import it whatever their path holds."""
+    import zipfile
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="rootweave-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        spark.sparkContext.addPyFile(str(target))
+        _shipped.add(app)
+    return spark

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, urls
+from . import audio, packing, secrets, toxicity, urls
+from .common import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 URL_RULES = (urls.rule("block", "net/"), urls.rule("allow", "example.net/en/"), urls.rule("block", "example.com/de/"), urls.rule("allow", "org/fr/"))
@@ -32,8 +33,47 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+#: The remainder of crc32(doc_id) that is held out, and the folds of the others.
+HELD_OUT, FOLDS = 2, {0: 0, 1: 1, 3: 2}
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
+    fold = F.coalesce(*[F.when(remainder == r, F.lit(k)) for r, k in FOLDS.items()])
+    return toxicity.learn_and_score(docs, labels, fold, len(FOLDS)).select(
+        "doc_id", (remainder == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audio.describe(audio.store(table(spark, sf_dir, "documents")))
+    loud = F.array_join(F.transform("segments", lambda s: F.format_string("%.3f-%.3f", s["start"], s["end"])), ",")
+    digest = F.sha2(F.concat_ws("|", F.hex(F.xxhash64("tensors")), loud), 256)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        "payload_sha256",
+        "tail_crc32",
+        "media_bytes",
+        "media_sha256",
+        F.format_string("logmel:%dx%d:%d:%s", "n_frames", F.lit(audio.MELS), F.size("segments"), digest).alias("feature"),
+    )
+
+
 def queries() -> dict:
-    return {"op3_url_filters": op3_url_filters, "op9_secret_scan": op9_secret_scan}
+    return {
+        "op3_url_filters": op3_url_filters,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_toxicity": op6_toxicity,
+        "op9_secret_scan": op9_secret_scan,
+        "op10_media_columns": op10_media_columns,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
