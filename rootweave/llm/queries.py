@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, packing, secrets, toxicity, urls
+from . import audio, neardup, packing, secrets, toxicity, urls
 from .common import ship
 
 
@@ -20,6 +20,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -71,6 +75,7 @@ def queries() -> dict:
         "op3_url_filters": op3_url_filters,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_toxicity": op6_toxicity,
+        "op7_near_duplicates": op7_near_duplicates,
         "op9_secret_scan": op9_secret_scan,
         "op10_media_columns": op10_media_columns,
     }
