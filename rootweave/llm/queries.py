@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audio, neardup, packing, secrets, toxicity, urls
+from . import ann, audio, linededup, neardup, packing, secrets, toxicity, urls
 from .common import ship
 
 
@@ -28,6 +28,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -81,6 +85,7 @@ def queries() -> dict:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_toxicity": op6_toxicity,
         "op7_near_duplicates": op7_near_duplicates,
+        "op8_line_dedup": op8_line_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_media_columns": op10_media_columns,
     }
