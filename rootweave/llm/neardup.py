@@ -128,7 +128,7 @@ def sketch(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
     out = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
     left = bins
     for i in range(2 * bins):
-        h = mix(shingles + np.uint64(i + 1) * GOLD)
+        h = mix(shingles + np.uint64((i + 1) * int(GOLD) % (1 << 64)))
         value = (h & low) | (np.uint64(i) << np.uint64(56))
         if i < bins:
             np.minimum.at(out, ((h >> np.uint64(32)) % np.uint64(bins)).astype(np.int64), mix_low(value))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audio, linededup, neardup, packing, secrets, toxicity, urls
+from . import ann, audio, html_extract, linededup, mixing, neardup, packing, secrets, toxicity, urls
 from .common import ship
 
 
@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 URL_RULES = (urls.rule("block", "net/"), urls.rule("allow", "example.net/en/"), urls.rule("block", "example.com/de/"), urls.rule("allow", "org/fr/"))
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "lang", "topic", "tokens", "worth", "probability", "kept"
+    )
+
+
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -45,6 +51,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", "n_chars", "n_tokens", "n_repeated"
+    )
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -53,12 +65,18 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 HELD_OUT, FOLDS = 2, {0: 0, 1: 1, 3: 2}
 
 
+def remainder():
+    return F.crc32(F.col("doc_id").cast("string")) % 4
+
+
+def fold():
+    return F.coalesce(*[F.when(remainder() == r, F.lit(k)) for r, k in FOLDS.items()])
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
-    fold = F.coalesce(*[F.when(remainder == r, F.lit(k)) for r, k in FOLDS.items()])
-    return toxicity.learn_and_score(docs, labels, fold, len(FOLDS)).select(
-        "doc_id", (remainder == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return toxicity.score_all(docs, labels, fold(), len(FOLDS)).select(
+        "doc_id", (remainder() == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
 
 
@@ -80,8 +98,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_source_mixing": op1_source_mixing,
         "op2_nearest_neighbours": op2_nearest_neighbours,
         "op3_url_filters": op3_url_filters,
+        "op4_html_extraction": op4_html_extraction,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_toxicity": op6_toxicity,
         "op7_near_duplicates": op7_near_duplicates,

@@ -16,10 +16,13 @@ labelled text.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_bytes, durable
 
@@ -127,30 +130,29 @@ def kneser_ney(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return ratio.ravel().astype(np.float32)
 
 
-def evidence(docs: DataFrame, tables: list[np.ndarray], id_cols: list[str]) -> DataFrame:
-    """``id_cols`` with ``evidence`` (an array, one entry a table) and ``size``."""
+def evidence(docs: DataFrame, tables: list[np.ndarray], text_col: str = "text") -> DataFrame:
+    """``docs`` with ``evidence`` (an array, one entry a table) and ``size`` of every
+    row's text; a narrow pass that takes all columns along."""
     held = docs.sparkSession.sparkContext.broadcast(np.stack(tables))
-    width = len(tables)
+    width, names = len(tables), docs.columns
+    at = names.index(text_col)
 
     def score(batches):
         ratios, table = held.value, symbol_table()
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            sums, sizes = np.zeros((len(text), width)), np.zeros(len(text), np.int64)
-            for i, x in enumerate(as_bytes(text)):
+            rows = batch.num_rows
+            sums, sizes = np.zeros((rows, width)), np.zeros(rows, np.int64)
+            for i, x in enumerate(as_bytes(batch.column(at))):
                 if len(x):
                     for code in grams(x, table):
                         sums[i] += ratios[:, code].sum(1, dtype=np.float64)
                         sizes[i] += len(code)
             means = sums / np.maximum(sizes, 1)[:, None]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1, dtype=np.int32) * width), pa.array(means.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], lists, pa.array(sizes)], [*id_cols, "evidence", "size"]
-            )
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(means.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(sizes)], [*names, "evidence", "size"])
 
-    kept = docs.select(*id_cols, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(score, f"{schema}, evidence array<double>, size bigint")
+    schema = T.StructType([*docs.schema.fields, T.StructField("evidence", T.ArrayType(T.DoubleType())), T.StructField("size", T.LongType())])
+    return docs.mapInArrow(score, schema)
 
 
 def features(e, n):
@@ -171,22 +173,34 @@ def logistic(e: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray, ri
     return w
 
 
-def learn_and_score(docs: DataFrame, labels: DataFrame, fold, folds: int, id_col: str = "doc_id") -> DataFrame:
-    """Score every row of ``docs(doc_id, text)``.
+@dataclass
+class Model:
+    """A table of log-likelihood ratios, the logistic curve (none if only one class
+    was seen) and the labels' base rate."""
+
+    table: np.ndarray
+    weights: np.ndarray | None
+    rate: float
+
+    def probability(self, evidence: Column, size: Column) -> Column:
+        if self.weights is None:
+            return F.lit(self.rate)
+        terms = zip(features(F.get(evidence, F.lit(0)), F.log(size)), self.weights)
+        z = sum((f * F.lit(float(w)) for f, w in terms), F.lit(0.0))
+        return F.when(size == 0, F.lit(self.rate)).otherwise(1 / (1 + F.exp(-z)))
+
+
+def learn(docs: DataFrame, labels: DataFrame, fold: Column, folds: int) -> tuple[Model, DataFrame]:
+    """The model, and ``doc_id, evidence, size`` of every row of ``docs``.
 
     ``labels(doc_id, toxic)`` marks some rows; ``fold`` is a column expression over
     ``doc_id`` with 0 .. folds - 1 for rows to learn from and null for the rest.
-    Returns ``doc_id, score, size``: ``score`` from 0 to 1, higher for likelier
-    toxic, ``size`` the number of grams.
-
-    Null and empty texts get the base rate of the labels.  Repeated rows are each
-    counted and scored.  Rows whose label is null or not 0 or 1 teach nothing;
-    without labels of both classes every score is the base rate (0 without any).
-    Other columns are ignored.
+    Repeated rows are each counted.  Rows whose label is null or not 0 or 1 teach
+    nothing; an id with both labels is toxic.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    known = labels.where("toxic in (0, 1)").select(F.col(id_col).alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), fold.alias("fold"))
-    known = known.where("fold is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.first("fold").alias("fold"))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = known.withColumn("fold", fold).where("fold is not null")
     # labels grow with the texts, so this is a shuffle of the texts that may teach at every size
     taught = own.where(fold.isNotNull()).join(known.hint("merge"), "doc_id")
     counts = count_grams(taught, folds).toPandas()  # at most SIZE rows a class and fold
@@ -200,7 +214,7 @@ def learn_and_score(docs: DataFrame, labels: DataFrame, fold, folds: int, id_col
         tables.append(kneser_ney(ordinary - total[2 * k], toxic - total[2 * k + 1]))
     del total
 
-    scored = durable(evidence(own, tables, ["doc_id"]))
+    scored = durable(evidence(own, tables).drop("text"))
     blind = F.get(F.col("evidence"), F.col("fold") + 1)
     bins = (
         scored.join(known, "doc_id")
@@ -211,10 +225,28 @@ def learn_and_score(docs: DataFrame, labels: DataFrame, fold, folds: int, id_col
     )
     rows, y = bins["rows"].to_numpy(float), bins["toxic"].to_numpy(float)
     rate = float((rows * y).sum() / rows.sum()) if len(bins) else 0.0
-    score = F.lit(rate)
-    if 0 < rate < 1:
-        w = logistic(bins["e"].to_numpy(float) * STEP, bins["n"].to_numpy(float) * LOG_STEP, y, rows)
-        x = features(F.get(F.col("evidence"), F.lit(0)), F.log("size"))
-        z = sum((f * F.lit(float(v)) for f, v in zip(x[1:], w[1:])), x[0] * F.lit(float(w[0])))
-        score = F.when(F.col("size") == 0, F.lit(rate)).otherwise(1 / (1 + F.exp(-z)))
-    return scored.select("doc_id", score.alias("score"), "size")
+    weights = logistic(bins["e"].to_numpy(float) * STEP, bins["n"].to_numpy(float) * LOG_STEP, y, rows) if 0 < rate < 1 else None
+    return Model(tables[0], weights, rate), scored
+
+
+def score_all(docs: DataFrame, labels: DataFrame, fold: Column, folds: int) -> DataFrame:
+    """``doc_id, score, size`` for every row of ``docs(doc_id, text)``: ``score`` from
+    0 to 1, higher for likelier toxic, ``size`` the number of grams.
+
+    Null and empty texts get the base rate of the labels; without labels of both
+    classes every score is the base rate (0 without any).  Repeated rows are scored
+    each; other columns are ignored.
+    """
+    model, scored = learn(docs, labels, fold, folds)
+    return scored.select("doc_id", model.probability(F.col("evidence"), F.col("size")).alias("score"), "size")
+
+
+def reject(docs: DataFrame, labels: DataFrame, fold: Column, folds: int, threshold: float) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, all columns as they are.
+    Null and empty texts stay."""
+    model, _ = learn(docs, labels, fold, folds)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # any column names, clashing ones too
+    at = docs.columns.index("text")
+    scored = evidence(docs.toDF(*names), [model.table], names[at])
+    kept = scored.where((F.col("size") == 0) | (model.probability(F.col("evidence"), F.col("size")) < threshold))
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
