@@ -1,0 +1,11 @@
+"""Tables of the data model.  All carry ``item_key``: one job handles all items."""
+
+ITEMS = "item_key string, filename string, metadata map<string,string>, group string"
+RASTER = "item_key string, y int, x int, v double"
+NODES = "item_key string, node_id bigint, x double, y double"
+SEGMENTS = "item_key string, seg_id bigint, n0 bigint, n1 bigint, seed bigint, parent bigint"
+AXES = "item_key string, axe_id bigint, plant bigint, ord int, parent bigint, parent_segment bigint"
+AXE_SEGMENTS = "item_key string, axe_id bigint, pos int, seg_id bigint"
+SEG_EDGES = "item_key string, s1 bigint, side1 int, s2 bigint, side2 int, node bigint"
+WORDS = "word_id bigint, img_id bigint, fid bigint, match_num bigint, xmin double, ymin double, xmax double, ymax double"
+MTG = "item_key string, vid string, scale string, complex_vid string, parent_vid string, edge_type string"
