@@ -27,8 +27,9 @@ from .common import durable
 
 #: Rows that the tree is fitted on, and queries that calibrate the visits, at most.
 SAMPLE, CALIBRATION = 20_000, 256
-#: Rows that a leaf should hold, and sampled rows that it must have.
-LEAF_ROWS, LEAF_SAMPLES = 512, 8
+#: A leaf should hold so many times the root of the number of rows; sampled rows that
+#: it must have.
+LEAF_ROOT, LEAF_SAMPLES = 5, 8
 BRANCHES = 8
 #: Rows and queries of one task's block.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 4096
@@ -202,7 +203,8 @@ def search(
 
     seen = sample(all_rows, SAMPLE, rows, 1)
     points = np.array(seen["v"].tolist()).reshape(len(seen), -1)
-    tree = fit(points, norm, max(LEAF_SAMPLES, LEAF_ROWS * len(points) // rows)) if len(points) else fit(np.zeros((0, width)), norm, 1)
+    leaf_size = max(LEAF_SAMPLES, int(LEAF_ROOT * rows**0.5 * len(points) / rows))
+    tree = fit(points if len(points) else np.zeros((0, width)), norm, leaf_size)
     del seen, points
     held = spark.sparkContext.broadcast(tree)  # bounded by SAMPLE / LEAF_SAMPLES leaves
 
