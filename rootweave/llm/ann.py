@@ -275,15 +275,18 @@ def search(
     )
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        asked, found, scored = [], [], []
         if len(left) and len(right):
             ids, x, q = left["vec_id"].to_numpy(), unpacked(left["v"]), unpacked(right["q"])
             for at in range(0, len(q), 256):
-                scores = q[at : at + 256] @ x.T
-                for query_id, v, s in zip(right["query_id"].to_numpy()[at : at + 256].tolist(), q[at : at + 256], scores):
-                    found, score = top(ids, x, query_id, v, s, k)
-                    out.append(pd.DataFrame({"query_id": np.full(len(found), query_id), "vec_id": found, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                rough = q[at : at + 256] @ x.T
+                for query_id, v, r in zip(right["query_id"].to_numpy()[at : at + 256].tolist(), q[at : at + 256], rough):
+                    near, score = top(ids, x, query_id, v, r, k)
+                    asked.append(np.full(len(near), query_id))
+                    found.append(near)
+                    scored.append(score)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return pd.DataFrame({"query_id": join(asked, np.int64), "vec_id": join(found, np.int64), "score": join(scored, np.float64)})
 
     key = ["leaf", "rb", "qb"]
     found = members.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInPandas(answer, FOUND)
