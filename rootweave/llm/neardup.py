@@ -11,8 +11,8 @@ equal coordinates is concentrated as for independent ones.
 
 Bands of ``ROWS`` coordinates give the candidates; every link is confirmed on the
 full sets.  Rows with equal sets are one class with one representative.  Within a
-bucket no pairs are listed: its members are compared with one of them, and in later
-rounds only members that the links found so far have not brought into one component.
+bucket no pairs are listed: its members are compared with one of them.  Members that
+these links have not brought together are compared by prefix filtering, exactly.
 """
 
 from __future__ import annotations
@@ -215,8 +215,10 @@ def left_over(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     With the shingles of a set in order of rarity, two sets of the wanted similarity
     share one of the first n - ceil(n * percent / 100) + 1.  So long passages that many
-    texts share, which come last in that order, make no candidates.  Pairs are listed
-    between a shingle's largest component and the others and among these.
+    texts share, which come last in that order, make no candidates.  At the first
+    shared shingle what follows in both orders must still hold the overlap wanted.
+    Pairs are listed between a shingle's largest component and the others and among
+    these.
     """
     own = sets.join(members, "rep").select("rep", "comp", F.size("shingles").alias("n"), "shingles")
     one = own.select("rep", "comp", "n", F.explode("shingles").alias("s"))
@@ -227,19 +229,19 @@ def left_over(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         one.join(rarity, "s")
         .groupBy("rep", "comp", "n")
         .agg(order.alias("order"))
-        .select("rep", "comp", "n", F.explode(F.slice("order", F.lit(1), length)).alias("x"))
+        .select("rep", "comp", "n", F.posexplode(F.slice("order", F.lit(1), length)).alias("at", "x"))
         .where("x.df > 1")
-        .select("rep", "comp", "n", F.col("x.s").alias("s"))
+        .select("rep", "comp", "n", (F.col("n") - F.col("at")).alias("rest"), F.col("x.s").alias("s"))
     )
     prefix = durable(prefix)
     sizes = prefix.groupBy("s", "comp").agg(F.count("*").alias("k"))
     main = sizes.groupBy("s").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     live = prefix.join(main.drop("comps"), "s")
-    few = live.where("comp <> main").select("s", F.col("rep").alias("r1"), F.col("comp").alias("c1"), F.col("n").alias("n1"))
-    pairs = few.join(live.select("s", F.col("rep").alias("r2"), F.col("comp").alias("c2"), F.col("n").alias("n2")), "s").where(
-        (F.col("c1") != F.col("c2")) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
+    side = lambda df, k: df.select("s", *[F.col(c).alias(f"{c}{k}") for c in ("rep", "comp", "n", "rest")])
+    pairs = side(live.where("comp <> main"), 1).join(side(live, 2), "s").where(
+        (F.col("comp1") != F.col("comp2")) & (F.least("rest1", "rest2") * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)
     )
-    return pairs.select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct()
+    return pairs.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
@@ -262,9 +264,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     classes = durable(classes.select("set_key", "x.rep", "x.bands"))
 
     bands = classes.select("rep", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("k")).where("k > 1")
-    buckets = durable(bands.join(shared, "band"))
-    stars = durable(buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
+    shared = bands.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
+    held = durable(bands.join(shared, "band"))
+    # a bucket's centre is the member with most company in all its buckets: of many
+    # near copies of one text, the one that is closest to them all
+    company = held.groupBy("rep").agg(F.sum("k").alias("company"))
+    centres = held.join(company, "rep").groupBy("band").agg(F.max_by("rep", F.struct("company", F.negate("rep"))).alias("centre"))
+    buckets = durable(held.join(centres, "band"))
+    stars = durable(buckets.where("rep <> centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct())
 
     needed = stars.select("a").union(stars.select("b")).distinct().select(F.col("a").alias("doc_id"))
     sets = full_sets(own.join(needed, "doc_id", "left_semi"), size)
