@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     stars = durable(buckets.where("rep <> centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct())
 
     needed = stars.select("a").union(stars.select("b")).distinct().select(F.col("a").alias("doc_id"))
-    sets = full_sets(own.join(needed, "doc_id", "left_semi"), size)
+    sets = full_sets(own.join(needed.hint("merge"), "doc_id", "left_semi"), size)
     sets = durable(sets.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "shingles"))
 
     links = durable(confirm(stars, sets, percent))
