@@ -26,16 +26,16 @@ AXES_SQL = """axes AS (SELECT c_mktsegment AS item_key, o_orderkey AS axe_id, CA
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order line = segment of its order, quantity = length."""
-    return table(spark, sf_dir, "lineitem").select(
-        F.lit("all").alias("item_key"),
-        F.col("l_orderkey").alias("axe_id"),
-        F.col("l_linenumber").alias("pos"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seg_id"),
-        F.col("l_quantity").alias("length"),
+    """Line number of an order = segment, its quantity = length."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("axe_id"), F.col("l_linenumber").alias("pos"))
+    return rows.agg(F.sum("l_quantity").alias("length")).select(
+        F.lit("all").alias("item_key"), "axe_id", "pos", (F.col("axe_id") * 10 + F.col("pos")).alias("seg_id"), "length"
     )
 
 
+SEGMENTS_SQL = """seg AS (SELECT l_orderkey AS axe_id, l_linenumber AS pos, sum(l_quantity) AS length FROM lineitem GROUP BY 1, 2)"""
+
+
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """y = supplier, x = part, v = quantity sold."""
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("int").alias("y"), F.col("l_partkey").cast("int").alias("x"))

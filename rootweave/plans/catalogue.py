@@ -68,8 +68,8 @@ def a02_pattern_metadata(spark, sf_dir):
 
 @query(
     f"""WITH {PAGES}, f AS (SELECT *, regexp_replace(path, '[^/]*$', '') AS folder FROM paths),
-    r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY path, page_id) - 1 AS at FROM f)
-    SELECT count(*) AS n, CASE WHEN at >= 3 THEN 'C' WHEN at >= 1 THEN 'B' ELSE 'A' END AS grp FROM r GROUP BY 2"""
+    r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY path, page_id) - 1 AS place FROM f)
+    SELECT count(*) AS n, CASE WHEN place >= 3 THEN 'C' WHEN place >= 1 THEN 'B' ELSE 'A' END AS grp FROM r GROUP BY 2"""
 )
 def a04_positional_group(spark, sf_dir):
     return catalog.positional_group(_paths(spark, sf_dir), {0: "A", 1: "B", 3: "C"}).groupBy(F.col("group").alias("grp")).agg(F.count("*").alias("n"))
@@ -352,7 +352,7 @@ def d30_item_sets(spark, sf_dir):
     return sets.select("img", F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("line"))
 
 
-@query("""SELECT l_orderkey AS axe_id, round(sum(l_quantity), 4) AS length, count(*) AS n_segments FROM lineitem GROUP BY 1""")
+@query(f"""WITH {b.SEGMENTS_SQL} SELECT axe_id, round(sum(length), 4) AS length, count(*) AS n_segments FROM seg GROUP BY 1""")
 def d33_axe_length(spark, sf_dir):
     seg = b.segments(spark, sf_dir)
     return measure.axe_length(seg.select("item_key", "axe_id", "pos", "seg_id"), seg).select("axe_id", F.round("length", 4).alias("length"), "n_segments")
@@ -430,16 +430,16 @@ def d46_mergeable_normal(spark, sf_dir):
 # E: windows ----------------------------------------------------------------------------
 
 
-@query("""SELECT l_orderkey AS axe_id, l_linenumber AS pos, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), 4) AS arc FROM lineitem""")
+@query(f"""WITH {b.SEGMENTS_SQL} SELECT axe_id, pos, round(sum(length) OVER (PARTITION BY axe_id ORDER BY pos), 4) AS arc FROM seg""")
 def e01_arc_length(spark, sf_dir):
     seg = b.segments(spark, sf_dir)
     return measure.arc_length(seg.select("item_key", "axe_id", "pos", "seg_id"), seg).select("axe_id", "pos", F.round("arc", 4).alias("arc"))
 
 
 @query(
-    """WITH arc AS (SELECT l_orderkey AS axe_id, l_linenumber AS pos, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS arc FROM lineitem),
+    f"""WITH {b.SEGMENTS_SQL}, arc AS (SELECT axe_id, pos, sum(length) OVER (PARTITION BY axe_id ORDER BY pos) AS arc FROM seg),
     child AS (SELECT o_orderkey AS axe_id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent FROM orders)
-    SELECT child.axe_id, round(coalesce(arc, 0), 4) AS position FROM child LEFT JOIN arc ON arc.axe_id = parent AND pos = 2"""
+    SELECT child.axe_id, round(coalesce(arc.arc, 0), 4) AS position FROM child LEFT JOIN arc ON arc.axe_id = parent AND pos = 2"""
 )
 def e02_position_on_parent(spark, sf_dir):
     seg = b.segments(spark, sf_dir)
@@ -554,7 +554,7 @@ def h14_apply_transform(spark, sf_dir):
     return b.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(p["x"], 4).alias("x"), F.round(p["y"], 4).alias("y"))
 
 
-@query("""SELECT o_orderkey, CAST(least(greatest(round(o_totalprice / 1000), 0), 255) AS INTEGER) AS px, round(0.3 * o_custkey + 0.59 * o_orderkey + 0.11 * 7, 4) AS grey FROM orders""")
+@query("""SELECT o_orderkey, CAST(least(greatest(round(o_totalprice / 1000), 0), 255) AS INTEGER) AS px, round(CAST(0.3 AS DOUBLE) * o_custkey + CAST(0.59 AS DOUBLE) * o_orderkey + CAST(0.11 AS DOUBLE) * 7, 4) AS grey FROM orders""")
 def h18_pixel_types(spark, sf_dir):
     return b.table(spark, sf_dir, "orders").select(
         "o_orderkey", nb.to_pixel(F.col("o_totalprice") / 1000, "uint8").alias("px"), F.round(nb.gray(F.col("o_custkey"), F.col("o_orderkey"), F.lit(7)), 4).alias("grey")
