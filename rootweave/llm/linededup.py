@@ -24,22 +24,26 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, durable
 
-LINES = "digest binary, pos int, n int, template bigint, leaf bigint, s1 bigint, s2 bigint, tokens array<int>"
+LINES = "digest binary, pos int, n int, template bigint, leaf bigint, contexts array<bigint>, tokens array<int>"
+#: Context sketches of a line, and how many of them must tell its texts apart.
+SKETCHES, AGREE = 8, 5
 MASK = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 
 
 def parse_lines(docs: DataFrame, least: int, depth: int) -> DataFrame:
     """Lines of at least ``least`` tokens of ``docs(digest, text)``: token count,
-    hashes of the masked line and of its leaf, two context sketches, token hashes.
+    hashes of the masked line and of its leaf, context sketches, token hashes.
 
-    A context sketch is the least hash of the document's *other* lines."""
+    A context sketch is the least hash, in one of ``SKETCHES`` orders, of the document's
+    *other* lines."""
 
     def run(batches):
         from hashlib import blake2b
 
         whole = lambda x: int.from_bytes(blake2b(x, digest_size=8).digest(), "little", signed=True)
-        names = ["digest", "pos", "n", "template", "leaf", "s1", "s2", "tokens"]
-        types = [pa.binary(), *[pa.int32()] * 2, *[pa.int64()] * 4, pa.list_(pa.int32())]
+        names = ["digest", "pos", "n", "template", "leaf", "contexts", "tokens"]
+        types = [pa.binary(), *[pa.int32()] * 2, *[pa.int64()] * 2, pa.list_(pa.int64()), pa.list_(pa.int32())]
+        factors = np.random.default_rng(5).integers(-(1 << 62), 1 << 62, (SKETCHES, 1)) | 1
         known: dict[bytes, int] = {}
         np.seterr(over="ignore")  # scrambling wraps around
         for batch in batches:
@@ -50,14 +54,15 @@ def parse_lines(docs: DataFrame, least: int, depth: int) -> DataFrame:
                 joined = [b" ".join(x) for x in lines]
                 hashes = [whole(x) for x in joined]
                 others = np.unique(np.array([h for h, x in zip(hashes, joined) if x], np.int64))
-                scrambled = np.sort(others * np.int64(-7046029254386353131) ^ (others >> np.int64(29)))
+                # two least of every order: a line that is the least itself has the second
+                orders = np.sort((others ^ (others >> np.int64(29))) * factors, axis=1)[:, :2]
+                if orders.shape[1] == 1:
+                    orders = np.column_stack([orders[:, 0], np.zeros(SKETCHES, np.int64)])
                 for k, (tokens, h) in enumerate(zip(lines, hashes)):
                     if len(tokens) < least:
                         continue
-                    own = np.int64(h)
-                    own2 = own * np.int64(-7046029254386353131) ^ (own >> np.int64(29))
-                    s1 = others[0] if others[0] != own else others[1] if len(others) > 1 else 0
-                    s2 = scrambled[0] if scrambled[0] != own2 else scrambled[1] if len(scrambled) > 1 else 0
+                    own = (np.int64(h) ^ (np.int64(h) >> np.int64(29))) * factors[:, 0]
+                    contexts = np.where(orders[:, 0] != own, orders[:, 0], orders[:, 1])
                     if len(known) > 200_000:
                         known.clear()
                     ids = []
@@ -67,7 +72,7 @@ def parse_lines(docs: DataFrame, least: int, depth: int) -> DataFrame:
                             v = known[t] = int.from_bytes(blake2b(t, digest_size=4).digest(), "little", signed=True)
                         ids.append(v)
                     leaf = whole(b"%d %s" % (len(tokens), b" ".join(tokens[:depth])))
-                    rows.append((bytes(digest), k, len(tokens), h, leaf, int(s1), int(s2), ids))
+                    rows.append((bytes(digest), k, len(tokens), h, leaf, contexts, ids))
                     size += len(ids)
                 if size > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -79,17 +84,17 @@ def parse_lines(docs: DataFrame, least: int, depth: int) -> DataFrame:
 
 
 def recurring(lines: DataFrame, key: str, contexts: int, share: float) -> DataFrame:
-    """The values of ``key`` that stand in at least ``contexts`` contexts by either
-    sketch, these being at least ``share`` of the distinct texts that hold them."""
+    """The values of ``key`` that stand in at least ``contexts`` contexts, these being at
+    least ``share`` of the distinct texts that hold them, by ``AGREE`` sketches or more:
+    where one sketch is another recurring line, the others still tell texts apart."""
     often = lines.groupBy(key).agg(F.count("*").alias("k"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
     often = often.where(f"k >= {contexts} and lo <> hi").select(key)
-    held = lines.select(key, "digest", "s1", "s2").join(often, key).distinct()
-    texts = held.groupBy(key, "digest").agg(F.min("s1").alias("s1"), F.min("s2").alias("s2"))
-    # two short aggregations instead of a distinct count each: a hot key is combined by sketch first
-    count = lambda s: texts.groupBy(key, s).agg(F.count("*").alias("d")).groupBy(key).agg(F.count("*").alias(f"n_{s}"), F.sum("d").alias("texts"))
-    both = count("s1").join(count("s2").drop("texts"), key)
-    n = F.least("n_s1", "n_s2")
-    return both.where((n >= contexts) & (n >= share * F.col("texts"))).select(key)
+    texts = lines.select(key, "digest", "contexts").join(often, key).groupBy(key, "digest").agg(F.min("contexts").alias("contexts"))
+    # short aggregations one after another: a hot key is combined by sketch first
+    each = texts.select(key, F.posexplode("contexts").alias("i", "s")).groupBy(key, "i", "s").agg(F.count("*").alias("d"))
+    told = each.groupBy(key, "i").agg(F.count("*").alias("n"), F.sum("d").alias("texts"))
+    good = F.count_if((F.col("n") >= contexts) & (F.col("n") >= share * F.col("texts")))
+    return told.groupBy(key).agg(good.alias("good")).where(F.col("good") >= AGREE).select(key)
 
 
 def generalised(lines: DataFrame, contexts: int, share: float, constant: float, similarity: float) -> DataFrame:
@@ -101,7 +106,7 @@ def generalised(lines: DataFrame, contexts: int, share: float, constant: float,
         F.count("*").alias("size"), F.min("template").alias("t1"), F.max("template").alias("t2"), F.min("digest").alias("d1"), F.max("digest").alias("d2")
     )
     leaves = leaves.where(f"size >= {contexts} and t1 <> t2 and d1 <> d2").select("leaf", "size")
-    open_lines = lines.join(leaves, "leaf").select("digest", "pos", "n", "leaf", "size", "s1", "s2", "tokens")
+    open_lines = lines.join(leaves, "leaf").select("digest", "pos", "n", "leaf", "size", "contexts", "tokens")
     open_lines = durable(open_lines)
     fields = open_lines.select("digest", "pos", "leaf", "size", F.posexplode("tokens").alias("i", "t"))
     common = fields.groupBy("leaf", "size", "i", "t").agg(F.count("*").alias("k"))
@@ -109,7 +114,7 @@ def generalised(lines: DataFrame, contexts: int, share: float, constant: float,
     # a line's template: its constant fields in order
     kept = fields.join(common, ["leaf", "i", "t"]).groupBy("digest", "pos").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("fields"))
     named = open_lines.join(kept, ["digest", "pos"]).where(F.size("fields") >= similarity * F.col("n"))
-    return named.select("digest", "pos", "s1", "s2", F.xxhash64("leaf", "fields").alias("wild"))
+    return named.select("digest", "pos", "contexts", F.xxhash64("leaf", "fields").alias("wild"))
 
 
 def drop_lines(text: Column, at: Column) -> Column:
