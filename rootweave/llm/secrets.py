@@ -94,18 +94,20 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def labelled_samples(spans: DataFrame) -> DataFrame:
     """``(token, random)``: the value of every base span is a random string, every
     run outside them an ordinary identifier."""
-    value = F.regexp_extract("s.text", r"([A-Za-z0-9+/_.=-]+)$", 1)
+    value = F.when(F.col("s.kind") == 0, F.regexp_extract("s.text", ASSIGN, 2)).otherwise(F.col("s.text"))
     random = spans.select(F.explode("base").alias("s")).select(value.alias("token"), F.lit(True).alias("random"))
     plain = spans.select(F.explode("runs").alias("s")).select(F.col("s.text").alias("token"), F.lit(False).alias("random"))
     return random.union(plain)
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train(samples: DataFrame, backing: float = 16.0) -> list[float]:
     """Log-likelihood ratios random : ordinary of every pair of characters, row by
     row of ``ALPHABET`` with the start of a string first.
 
     ``samples(token, random)``; other characters and null or empty tokens don't
-    count.  Without samples of a class its model is uniform.
+    count.  A pair's probability backs off to how often its second character stands in
+    the class at all, with the weight of ``backing`` pairs.  Without samples of a class
+    its model is uniform.
     """
     size = len(ALPHABET) + 1
     pairs = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substring(F.concat(F.lit("^"), F.col("token")), i, F.lit(2)))
@@ -117,14 +119,18 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
         .where(F.col("pair").rlike(r"^[\^A-Za-z0-9+/_=.-][A-Za-z0-9+/_=.-]$"))
     )
     at = {c: i for i, c in enumerate("^" + ALPHABET)}
-    table = {r: [smoothing] * (size * size) for r in (True, False)}
+    table = {r: [0.0] * (size * size) for r in (True, False)}
     for r in counts.collect():  # at most 2 * size * size rows
-        table[r["random"]][at[r["pair"][0]] * size + at[r["pair"][1]]] += r["count"]
+        # a run that is judged is an ordinary sample itself: it must not vouch for itself
+        table[r["random"]][at[r["pair"][0]] * size + at[r["pair"][1]]] = r["count"] - (0 if r["random"] else 1)
+    single = {r: [sum(t[b::size]) + 1 for b in range(size)] for r, t in table.items()}
     ratios = []
     for a in range(size):
-        rows = {r: table[r][a * size : (a + 1) * size] for r in table}
-        total = {r: sum(rows[r]) for r in rows}
-        ratios += [math.log(x / total[True]) - math.log(y / total[False]) for x, y in zip(rows[True], rows[False])]
+        logs = {}
+        for r, t in table.items():
+            row, total = t[a * size : (a + 1) * size], sum(single[r])
+            logs[r] = [math.log((n + backing * u / total) / (sum(row) + backing)) for n, u in zip(row, single[r])]
+        ratios += [x - y for x, y in zip(logs[True], logs[False])]
     return ratios
 
 
