@@ -27,6 +27,7 @@ from .common import as_bytes, durable
 LINES = "digest binary, pos int, n int, template bigint, leaf bigint, contexts array<bigint>, tokens array<int>"
 #: Context sketches of a line, and how many of them must tell its texts apart.
 SKETCHES, AGREE = 8, 5
+DIGIT = re.compile(rb"[0-9]")
 MASK = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 
 
@@ -39,46 +40,55 @@ def parse_lines(docs: DataFrame, least: int, depth: int) -> DataFrame:
 
     def run(batches):
         from hashlib import blake2b
+        from zlib import crc32
 
         whole = lambda x: int.from_bytes(blake2b(x, digest_size=8).digest(), "little", signed=True)
         names = ["digest", "pos", "n", "template", "leaf", "contexts", "tokens"]
-        types = [pa.binary(), *[pa.int32()] * 2, *[pa.int64()] * 2, pa.list_(pa.int64()), pa.list_(pa.int32())]
         factors = np.random.default_rng(5).integers(-(1 << 62), 1 << 62, (SKETCHES, 1)) | 1
-        known: dict[bytes, int] = {}
         np.seterr(over="ignore")  # scrambling wraps around
+        def flush(rows, contexts, tokens):
+            digests, places, counts, templates, leaves = zip(*rows)
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(digests, pa.binary()),
+                    pa.array(places, pa.int32()),
+                    pa.array(counts, pa.int32()),
+                    pa.array(templates, pa.int64()),
+                    pa.array(leaves, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * SKETCHES), pa.array(np.concatenate(contexts).ravel())),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(tokens, np.uint32).view(np.int32))),
+                ],
+                names,
+            )
+
         for batch in batches:
-            rows = []
-            size = 0
+            rows, contexts, flat = [], [], []
             for digest, text in zip(as_bytes(batch.column(0)), as_bytes(batch.column(1))):
-                lines = [MASK.sub(b"<*>", x).lower().split() for x in bytes(text).split(b"\n")]
+                digest = bytes(digest)
+                lines = [(MASK.sub(b"<*>", x) if DIGIT.search(x) else x).lower().split() for x in bytes(text).split(b"\n")]
                 joined = [b" ".join(x) for x in lines]
-                hashes = [whole(x) for x in joined]
-                others = np.unique(np.array([h for h, x in zip(hashes, joined) if x], np.int64))
+                hashes = np.array([whole(x) for x in joined], np.int64)
+                mixed = hashes ^ (hashes >> np.int64(29))
                 # two least of every order: a line that is the least itself has the second
-                orders = np.sort((others ^ (others >> np.int64(29))) * factors, axis=1)[:, :2]
-                if orders.shape[1] == 1:
-                    orders = np.column_stack([orders[:, 0], np.zeros(SKETCHES, np.int64)])
-                for k, (tokens, h) in enumerate(zip(lines, hashes)):
-                    if len(tokens) < least:
-                        continue
-                    own = (np.int64(h) ^ (np.int64(h) >> np.int64(29))) * factors[:, 0]
-                    contexts = np.where(orders[:, 0] != own, orders[:, 0], orders[:, 1])
-                    if len(known) > 200_000:
-                        known.clear()
-                    ids = []
-                    for t in tokens:
-                        v = known.get(t)
-                        if v is None:
-                            v = known[t] = int.from_bytes(blake2b(t, digest_size=4).digest(), "little", signed=True)
-                        ids.append(v)
+                own = mixed * factors
+                others = np.unique(mixed[[bool(x) for x in joined]]) * factors
+                two = np.sort(others, axis=1)[:, :2]
+                second = two[:, 1:2] if two.shape[1] > 1 else np.zeros((SKETCHES, 1), np.int64)
+                around = np.where(two[:, :1] != own, two[:, :1], second).T if two.shape[1] else own.T
+                long = [k for k, tokens in enumerate(lines) if len(tokens) >= least]
+                for k in long:
+                    tokens = lines[k]
+                    flat.extend([crc32(t) for t in tokens])
                     leaf = whole(b"%d %s" % (len(tokens), b" ".join(tokens[:depth])))
-                    rows.append((bytes(digest), k, len(tokens), h, leaf, contexts, ids))
-                    size += len(ids)
-                if size > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                    rows, size = [], 0
+                    rows.append((digest, k, len(tokens), int(hashes[k]), leaf))
+                if long:
+                    contexts.append(around[long])
+                if len(flat) > 500_000:
+                    yield from flush(rows, contexts, flat)
+                    rows, contexts, flat = [], [], []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                yield from flush(rows, contexts, flat)
 
     return docs.select("digest", "text").mapInArrow(run, LINES)
 
