@@ -15,7 +15,7 @@ from rootweave.functions import geometry as g
 from rootweave.functions import numbers as nb
 from rootweave.functions import text as tx
 from rootweave.iterate import settle
-from rootweave.operators import catalog, graph, match, measure, stats, words
+from rootweave.operators import catalog, graph, match, measure, paths, stats, words
 from rootweave.operators import raster as ra
 from rootweave.plans import bindings as b
 
@@ -652,3 +652,99 @@ def j03_dilation(spark, sf_dir):
 def j04_clean_labels(spark, sf_dir):
     labels = b.raster(spark, sf_dir).select("item_key", "y", "x", F.col("y").cast("bigint").alias("label"))
     return ra.clean_labels(labels, 10).select("y", "x", "label")
+
+
+# More geometry, joins and statistics -----------------------------------------------------------
+
+
+@query(
+    """WITH p AS (SELECT p_brand AS brand, p_partkey AS point_id, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part),
+    s AS (SELECT p_brand AS brand, p_partkey AS seg_id, CAST(p_size AS DOUBLE) AS x0, p_retailprice AS y0, p_size + 3.0 AS x1, p_retailprice + 4.0 AS y1 FROM part),
+    j AS (SELECT brand, point_id, seg_id, x, y, x0, y0, least(greatest(((x - x0) * 3.0 + (y - y0) * 4.0) / 25.0, 0), 1) AS t FROM p JOIN s USING (brand))
+    SELECT brand, point_id, seg_id, round(sqrt(power(x - x0 - t * 3.0, 2) + power(y - y0 - t * 4.0, 2)), 4) AS d FROM j WHERE sqrt(power(x - x0 - t * 3.0, 2) + power(y - y0 - t * 4.0, 2)) <= 6.05"""
+)
+def c07_point_segment_distance(spark, sf_dir):
+    part = b.table(spark, sf_dir, "part")
+    x, y = F.col("p_size").cast("double"), F.col("p_retailprice")
+    points = part.select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("point_id"), x.alias("x"), y.alias("y"))
+    segs = part.select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("seg_id"), x.alias("x0"), y.alias("y0"), (x + 3.0).alias("x1"), (y + 4.0).alias("y1"))
+    return match.point_segment_distance(points, segs, ["brand"], 6.05).select("brand", "point_id", "seg_id", F.round("d", 4).alias("d"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, label, embedding FROM embeddings), d AS (SELECT a.vec_id AS query_id, c.vec_id, list_distance(a.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS d
+    FROM e a JOIN e c ON a.label = c.label AND a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM d) SELECT query_id, vec_id, round(d, 4) AS d, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 2"""
+)
+def c11_nearest_descriptors(spark, sf_dir):
+    """Two nearest descriptors of the same label; queries are every hundredth."""
+    e = b.table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 100 = 0").select("label", F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return match.nearest_vectors(asked, e.select("label", "vec_id", F.col("embedding").alias("v")), ["label"], 2).select("query_id", "vec_id", F.round("d", 4).alias("d"), "rank")
+
+
+@query(
+    """WITH s AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS r,
+    lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS d2 FROM orders)
+    SELECT o_custkey AS seg_id, o_orderkey AS axe_id, (o_totalprice <= 20000 AND (d2 IS NULL OR o_totalprice < 0.8 * d2)) AS assigned FROM s WHERE r = 1"""
+)
+def c21_assignment(spark, sf_dir):
+    rows = b.table(spark, sf_dir, "orders").select(F.lit("all").alias("item_key"), F.col("o_custkey").alias("seg_id"), F.col("o_orderkey").alias("axe_id"), F.col("o_totalprice").alias("d"))
+    return match.assign_segments(rows, ["item_key"], 20000.0, 0.8).select("seg_id", "axe_id", "assigned")
+
+
+@query("""SELECT seed AS plant, round(avg(x), 4) AS x, round(avg(y), 4) AS y FROM (SELECT c_nationkey AS seed, c_acctbal AS x, c_custkey * 1.0 AS y FROM customer WHERE c_nationkey > 0) GROUP BY 1""")
+def d32_mean_seed_position(spark, sf_dir):
+    c = b.table(spark, sf_dir, "customer")
+    nodes = c.select(F.lit("all").alias("item_key"), F.col("c_custkey").alias("node_id"), F.col("c_acctbal").alias("x"), F.col("c_custkey").cast("double").alias("y"))
+    segs = c.select(F.lit("all").alias("item_key"), F.col("c_nationkey").cast("bigint").alias("seed"), F.col("c_custkey").alias("n0"), F.col("c_custkey").alias("n1"))
+    return paths.mean_seed_position(nodes, segs).select("plant", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query(
+    """SELECT event_id, class, round(e, 5) AS e FROM (SELECT event_id, class, d / sum(d) OVER (PARTITION BY event_id) AS e FROM (
+    SELECT event_id, class, w * exp(-power(value - m, 2) / (2 * s * s)) / (s * sqrt(2 * pi())) AS d FROM events, (VALUES (0, 0.4, 20.0, 30.0), (1, 0.6, 60.0, 25.0)) p(class, w, m, s)))"""
+)
+def d43_expectation(spark, sf_dir):
+    params = spark.createDataFrame([("all", 0, 0.4, 20.0, 30.0), ("all", 1, 0.6, 60.0, 25.0)], "item_key string, class int, weight double, mean double, std double")
+    ev = b.table(spark, sf_dir, "events").withColumn("item_key", F.lit("all"))
+    return stats.expectation(ev, ["item_key"], "event_id", "value", params).select("event_id", "class", F.round("e", 5).alias("e"))
+
+
+@query(
+    f"""WITH {b.SEGMENTS_SQL}, c AS (SELECT o_orderkey AS n, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders),
+    k AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT count(*) AS n_paths, CAST(sum(n) AS BIGINT) AS n_rows FROM k"""
+)
+def i20_covering_paths(spark, sf_dir):
+    """A customer's orders in a row are a tree with one leaf."""
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = b.table(spark, sf_dir, "orders").select(F.lit("all").alias("item_key"), F.col("o_orderkey").alias("node_id"), before.alias("parent"))
+    cover = paths.covering_paths(settle(o))
+    return cover.agg(F.countDistinct("path_id").alias("n_paths"), F.count("*").alias("n_rows"))
+
+
+@query(
+    """WITH axes AS (SELECT o_orderkey AS axe_id, o_custkey AS plant, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent FROM orders)
+    SELECT 'P' || CAST(plant AS VARCHAR) AS vid, 'plant' AS scale, NULL AS parent_vid, '/' AS edge_type FROM (SELECT DISTINCT plant FROM axes)
+    UNION ALL SELECT 'A' || CAST(axe_id AS VARCHAR), 'axe', 'A' || CAST(parent AS VARCHAR), CASE WHEN parent IS NULL THEN '/' ELSE '+' END FROM axes"""
+)
+def i35_tree_to_mtg(spark, sf_dir):
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    axes = b.table(spark, sf_dir, "orders").select(F.lit("all").alias("item_key"), F.col("o_orderkey").alias("axe_id"), F.col("o_custkey").alias("plant"), F.lit(1).alias("ord"), before.alias("parent"), F.lit(None).cast("bigint").alias("parent_segment"))
+    members = b.segments(spark, sf_dir).select("item_key", "axe_id", "pos", "seg_id")
+    return paths.to_mtg(axes, members).where("scale <> 'segment'").select("vid", "scale", "parent_vid", "edge_type")
+
+
+@query()
+def e23_chained_transforms(spark, sf_dir):
+    """A user's events as frames: shifts by their values add up."""
+    ev = b.table(spark, sf_dir, "events")
+    steps = ev.select(F.col("user_id").alias("seq_id"), F.col("event_id").alias("frame"), g.translation(F.col("value"), F.lit(1.0)).alias("m"))
+    return paths.chained_transforms(steps).select("seq_id", "frame", F.round(F.col("m")[2], 4).alias("x"), F.col("m")[5].alias("y"))
+
+
+@query(
+    """SELECT user_id AS seq_id, event_id AS frame, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id), 2) AS x FROM events"""
+)
+def e23_accumulated_shift(spark, sf_dir):
+    return e23_chained_transforms(spark, sf_dir).select("seq_id", "frame", F.round("x", 2).alias("x"))
