@@ -6,11 +6,12 @@ in the template where a good share of the leaf's lines has it in that place, the
 other places become wildcards.  A template that recurs in many different documents
 is dropped from all of them.
 
-Copies must not look like recurrence: a line counts once for every *context*, a
-sketch of the other lines of its document, and only where most of the distinct texts
-that hold it are different contexts.  So copied documents keep their lines (finding
-them is another operator's work), and a passage that otherwise different texts share
-goes.
+Copies must not look like recurrence: a line counts once for every class of
+near-copied texts that holds it, and an absolute number of classes decides.  So copied
+documents keep their lines (finding them is another operator's work), and a passage
+that otherwise different texts share goes, however much of them it is and whatever
+else is copied.  Classes are components of links between texts whose word triples
+agree by ``ALIKE`` or more, so texts that differ in less than that count as copies.
 """
 
 from __future__ import annotations
@@ -22,33 +23,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, durable
+from .common import as_bytes, connected_components, durable
+from .neardup import GOLD, M1, M2, mix
 
-LINES = "digest binary, pos int, n int, template bigint, leaf bigint, contexts array<bigint>, tokens array<int>"
-#: Context sketches of a line, and how many of them must tell its texts apart.
-SKETCHES, AGREE = 8, 5
+LINES = "digest binary, pos int, n int, template bigint, leaf bigint, tokens array<int>"
+#: Least hashes of a text's word triples, how many of them form a band, and the share
+#: that must agree for a link.  A pair at similarity 0.8 shares no band with
+#: probability 5e-7.
+MINIMA, ROWS, ALIKE = 63, 3, 0.75
+#: Position of the row that carries a text's sketch in ``tokens``.
+SKETCH = -1
 DIGIT = re.compile(rb"[0-9]")
 MASK = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 
 
+def sketch(tokens: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """``MINIMA`` least hashes of the triples of neighbouring tokens, as int32."""
+    t = tokens.astype(np.uint64)
+    if len(t) < 3:
+        t = np.concatenate([t, np.zeros(3 - len(t), np.uint64)])
+    # 32 bits: a processor takes several at once
+    triples = (mix(t[:-2] * M1 + t[1:-1] * M2 + t[2:] * GOLD) >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
+    for k in range(0, len(triples), 1024):
+        least = np.minimum(least, (factors * triples[k : k + 1024]).min(axis=1))
+    return least.view(np.int32)
+
+
 def parse_lines(docs: DataFrame, least: int, depth: int) -> DataFrame:
     """Lines of at least ``least`` tokens of ``docs(digest, text)``: token count,
-    hashes of the masked line and of its leaf, context sketches, token hashes.
-
-    A context sketch is the least hash, in one of ``SKETCHES`` orders, of the document's
-    *other* lines."""
+    hashes of the masked line and of its leaf, token hashes; and a row at position
+    ``SKETCH`` for every text with tokens."""
 
     def run(batches):
         from hashlib import blake2b
         from zlib import crc32
 
         whole = lambda x: int.from_bytes(blake2b(x, digest_size=8).digest(), "little", signed=True)
-        names = ["digest", "pos", "n", "template", "leaf", "contexts", "tokens"]
-        factors = np.random.default_rng(5).integers(-(1 << 62), 1 << 62, (SKETCHES, 1)) | 1
+        names = ["digest", "pos", "n", "template", "leaf", "tokens"]
+        factors = np.random.default_rng(5).integers(0, 1 << 32, (MINIMA, 1)).astype(np.uint32) | np.uint32(1)
         np.seterr(over="ignore")  # scrambling wraps around
-        def flush(rows, contexts, tokens):
+
+        def flush(rows, tokens):
             digests, places, counts, templates, leaves = zip(*rows)
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(digests, pa.binary()),
@@ -56,58 +74,68 @@ def parse_lines(docs: DataFrame, least: int, depth: int) -> DataFrame:
                     pa.array(counts, pa.int32()),
                     pa.array(templates, pa.int64()),
                     pa.array(leaves, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * SKETCHES), pa.array(np.concatenate(contexts).ravel())),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(tokens, np.uint32).view(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens))),
                 ],
                 names,
             )
 
         for batch in batches:
-            rows, contexts, flat = [], [], []
+            rows, flat, size = [], [], 0
             for digest, text in zip(as_bytes(batch.column(0)), as_bytes(batch.column(1))):
                 digest = bytes(digest)
                 lines = [(MASK.sub(b"<*>", x) if DIGIT.search(x) else x).lower().split() for x in bytes(text).split(b"\n")]
-                joined = [b" ".join(x) for x in lines]
-                hashes = np.array([whole(x) for x in joined], np.int64)
-                mixed = hashes ^ (hashes >> np.int64(29))
-                # two least of every order: a line that is the least itself has the second
-                own = mixed * factors
-                others = np.unique(mixed[[bool(x) for x in joined]]) * factors
-                two = np.sort(others, axis=1)[:, :2]
-                second = two[:, 1:2] if two.shape[1] > 1 else np.zeros((SKETCHES, 1), np.int64)
-                around = np.where(two[:, :1] != own, two[:, :1], second).T if two.shape[1] else own.T
-                long = [k for k, tokens in enumerate(lines) if len(tokens) >= least]
-                for k in long:
-                    tokens = lines[k]
-                    flat.extend([crc32(t) for t in tokens])
-                    leaf = whole(b"%d %s" % (len(tokens), b" ".join(tokens[:depth])))
-                    rows.append((digest, k, len(tokens), int(hashes[k]), leaf))
-                if long:
-                    contexts.append(around[long])
-                if len(flat) > 500_000:
-                    yield from flush(rows, contexts, flat)
-                    rows, contexts, flat = [], [], []
+                hashes = np.array([crc32(t) for tokens in lines for t in tokens], np.uint32)
+                if not len(hashes):
+                    continue
+                rows.append((digest, SKETCH, 0, 0, 0))
+                flat.append(sketch(hashes, factors))
+                at = 0
+                for k, tokens in enumerate(lines):
+                    n = len(tokens)
+                    if n >= least:
+                        leaf = whole(b"%d %s" % (n, b" ".join(tokens[:depth])))
+                        rows.append((digest, k, n, whole(b" ".join(tokens)), leaf))
+                        flat.append(hashes[at : at + n].view(np.int32))
+                    at += n
+                size += at
+                if size > 500_000:
+                    yield from flush(rows, flat)
+                    rows, flat, size = [], [], 0
             if rows:
-                yield from flush(rows, contexts, flat)
+                yield from flush(rows, flat)
 
     return docs.select("digest", "text").mapInArrow(run, LINES)
 
 
-def recurring(lines: DataFrame, key: str, contexts: int, share: float) -> DataFrame:
-    """The values of ``key`` that stand in at least ``contexts`` contexts, these being at
-    least ``share`` of the distinct texts that hold them, by ``AGREE`` sketches or more:
-    where one sketch is another recurring line, the others still tell texts apart."""
+def copies(sketches: DataFrame) -> DataFrame:
+    """``id, class`` of the texts of ``sketches(id, tokens)`` that are linked to others.
+    A bucket's members are compared with one of them, another one in every band."""
+    bands = [F.xxhash64(F.lit(b), F.slice("tokens", b * ROWS + 1, ROWS)) for b in range(MINIMA // ROWS)]
+    # the salt changes the order of the ids from band to band
+    each = sketches.select("id", F.posexplode(F.array(*bands)).alias("b", "band"))
+    each = each.select("band", F.col("id").bitwiseXOR(F.xxhash64(F.lit("salt"), "b")).alias("salted"), "id", "b")
+    buckets = each.groupBy("band").agg(F.min("salted").alias("lo"), F.max("salted").alias("hi")).where("lo <> hi").select("band", "lo")
+    pairs = each.join(buckets, "band").where("salted <> lo").select("id", F.col("lo").bitwiseXOR(F.xxhash64(F.lit("salt"), "b")).alias("to"))
+    pairs = durable(pairs.distinct())
+    need = pairs.select("id").union(pairs.select("to")).distinct()
+    known = durable(sketches.join(need, "id", "left_semi").groupBy("id").agg(F.first("tokens").alias("tokens")))
+    both = pairs.join(known, "id").join(known.select(F.col("id").alias("to"), F.col("tokens").alias("other")), "to")
+    same = F.size(F.filter(F.zip_with("tokens", "other", lambda x, y: x == y), lambda x: x))
+    links = both.where(same >= ALIKE * MINIMA).select(F.col("id").alias("a"), F.col("to").alias("b"))
+    return connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("class"))
+
+
+def recurring(lines: DataFrame, key: str, contexts: int, classes: DataFrame) -> DataFrame:
+    """The values of ``key`` that stand in at least ``contexts`` classes of texts; a text
+    without a class of ``classes(id, class)`` is one by itself."""
     often = lines.groupBy(key).agg(F.count("*").alias("k"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
     often = often.where(f"k >= {contexts} and lo <> hi").select(key)
-    texts = lines.select(key, "digest", "contexts").join(often, key).groupBy(key, "digest").agg(F.min("contexts").alias("contexts"))
-    # short aggregations one after another: a hot key is combined by sketch first
-    each = texts.select(key, F.posexplode("contexts").alias("i", "s")).groupBy(key, "i", "s").agg(F.count("*").alias("d"))
-    told = each.groupBy(key, "i").agg(F.count("*").alias("n"), F.sum("d").alias("texts"))
-    good = F.count_if((F.col("n") >= contexts) & (F.col("n") >= share * F.col("texts")))
-    return told.groupBy(key).agg(good.alias("good")).where(F.col("good") >= AGREE).select(key)
+    texts = lines.select(key, F.xxhash64("digest").alias("id")).join(often, key).distinct().join(classes, "id", "left")
+    unlike = texts.select(key, F.coalesce("class", "id").alias("class")).distinct()
+    return unlike.groupBy(key).count().where(f"count >= {contexts}").select(key)
 
 
-def generalised(lines: DataFrame, contexts: int, share: float, constant: float, similarity: float) -> DataFrame:
+def generalised(lines: DataFrame, contexts: int, constant: float, similarity: float) -> DataFrame:
     """``digest, pos, wild``: a template of constant tokens and wildcards for lines
     whose leaf holds several templates.  A token is constant where at least
     ``constant`` of the leaf's lines have it; lines with less than ``similarity`` of
@@ -116,7 +144,7 @@ def generalised(lines: DataFrame, contexts: int, share: float, constant: float,
         F.count("*").alias("size"), F.min("template").alias("t1"), F.max("template").alias("t2"), F.min("digest").alias("d1"), F.max("digest").alias("d2")
     )
     leaves = leaves.where(f"size >= {contexts} and t1 <> t2 and d1 <> d2").select("leaf", "size")
-    open_lines = lines.join(leaves, "leaf").select("digest", "pos", "n", "leaf", "size", "contexts", "tokens")
+    open_lines = lines.join(leaves, "leaf").select("digest", "pos", "n", "leaf", "size", "tokens")
     open_lines = durable(open_lines)
     fields = open_lines.select("digest", "pos", "leaf", "size", F.posexplode("tokens").alias("i", "t"))
     common = fields.groupBy("leaf", "size", "i", "t").agg(F.count("*").alias("k"))
@@ -124,7 +152,7 @@ def generalised(lines: DataFrame, contexts: int, share: float, constant: float,
     # a line's template: its constant fields in order
     kept = fields.join(common, ["leaf", "i", "t"]).groupBy("digest", "pos").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("fields"))
     named = open_lines.join(kept, ["digest", "pos"]).where(F.size("fields") >= similarity * F.col("n"))
-    return named.select("digest", "pos", "contexts", F.xxhash64("leaf", "fields").alias("wild"))
+    return named.select("digest", "pos", F.xxhash64("leaf", "fields").alias("wild"))
 
 
 def drop_lines(text: Column, at: Column) -> Column:
@@ -137,7 +165,6 @@ def drop_lines(text: Column, at: Column) -> Column:
 def dedup_lines(
     docs: DataFrame,
     contexts: int = 3,
-    share: float = 0.5,
     least_tokens: int = 4,
     depth: int = 4,
     constant: float = 0.3,
@@ -154,13 +181,15 @@ def dedup_lines(
     docs = docs.drop("n_lines", "n_dropped")
     digest = F.unhex(F.md5("text"))
     own = docs.select(digest.alias("digest"), "text").where("text <> ''")
-    lines = durable(parse_lines(own, least_tokens, depth))
+    parsed = durable(parse_lines(own, least_tokens, depth))
+    lines = parsed.where(F.col("pos") != SKETCH)
+    classes = copies(parsed.where(F.col("pos") == SKETCH).select(F.xxhash64("digest").alias("id"), "tokens"))
 
-    exact = durable(recurring(lines, "template", contexts, share))
+    exact = durable(recurring(lines, "template", contexts, classes))
     dropped = lines.join(exact, "template", "left_semi").select("digest", "pos")
     rest = lines.join(exact, "template", "left_anti")
-    wild = durable(generalised(rest, contexts, share, constant, similarity))
-    dropped = dropped.union(wild.join(recurring(wild, "wild", contexts, share), "wild", "left_semi").select("digest", "pos"))
+    wild = durable(generalised(rest, contexts, constant, similarity))
+    dropped = dropped.union(wild.join(recurring(wild, "wild", contexts, classes), "wild", "left_semi").select("digest", "pos"))
     drops = durable(dropped.groupBy(F.col("digest").alias("__digest")).agg(F.collect_set("pos").alias("__at")))
 
     out = docs.withColumn("__digest", digest).join(drops, "__digest", "left")

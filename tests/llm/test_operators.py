@@ -311,6 +311,37 @@ def test_line_dedup(spark, docs):
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_sketch():
+    rng = np.random.default_rng(4)
+    factors = rng.integers(0, 1 << 32, (linededup.MINIMA, 1)).astype(np.uint32) | np.uint32(1)
+    for n_shared, n_own in [(400, 50), (200, 100), (3000, 3000)]:
+        same = []
+        for _ in range(40):
+            shared, *own = [rng.integers(0, 1 << 32, n).astype(np.uint32) for n in (n_shared, n_own, n_own)]
+            a, b = [linededup.sketch(np.concatenate([shared, x]), factors) for x in own]
+            assert a.dtype == np.int32 and len(a) == linededup.MINIMA
+            same.append(np.mean(a == b))
+        assert abs(np.mean(same) - n_shared / (n_shared + 2 * n_own)) < 0.04
+    assert len(linededup.sketch(np.zeros(1, np.uint32), factors)) == linededup.MINIMA
+
+
+def test_line_dedup_counts_unlike_texts(spark):
+    rng = random.Random(22)
+    line = lambda: " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(10))
+    rows, shared = [], {}
+    for f, (n_shared, n_own, texts) in enumerate([(6, 6, 60), (20, 10, 60), (12, 8, 60)]):
+        shared[f] = [line() for _ in range(n_shared)]
+        rows += [(1000 * f + i, "\n".join(shared[f] + [line() for _ in range(n_own)])) for i in range(texts)]
+    # a passage of unlike texts that also stands in a larger group of near copies
+    passage, base = line(), [line() for _ in range(30)]
+    rows += [(5000 + i, "\n".join([passage] + [line() for _ in range(8)])) for i in range(40)]
+    rows += [(6000 + i, "\n".join([passage] + base[: i % 30] + [line()] + base[i % 30 + 1 :])) for i in range(150)]
+    out = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for f in shared:
+        assert all(out[i].n_dropped == len(shared[f]) for i in out if i // 1000 == f)
+    assert all(out[i].n_dropped == 1 and not out[i].text.startswith(passage) for i in out if i >= 5000)
+
+
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
 
