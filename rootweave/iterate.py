@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rounds(most: int | None = None) -> Iterator[int]:
+    """Numbers of the rounds of a loop that breaks once it is done; a bound that is hit
+    raises, so no loop stops half way in silence."""
+    n = 0
+    while most is None or n < most:
+        yield n
+        n += 1
+    raise RuntimeError(f"not done in {most} rounds")
+
+
 def fixpoint(
     state: DataFrame,
     step: Callable[[DataFrame], DataFrame],
@@ -30,19 +40,18 @@ def fixpoint(
     on_round: Callable[[int, int], None] | None = None,
 ) -> DataFrame:
     """Apply ``step`` until the set of rows stays the same; all items advance together.
-    ``on_round(number, rows)`` is called after each round."""
+    ``on_round(number, rows)`` is called after each round; more than ``most`` raise."""
 
     def mark(df):
         return df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns) % F.lit(1 << 40))).first()
 
     state = settle(state)
     before = tuple(mark(state))
-    for n in range(1, most + 1):
+    for n in rounds(most):
         state = settle(step(state))
         after = tuple(mark(state))
         if on_round:
-            on_round(n, after[0])
+            on_round(n + 1, after[0])
         if after == before:
             return state
         before = after
-    return state

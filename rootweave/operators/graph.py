@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rootweave.iterate import settle
+from rootweave.iterate import rounds, settle
 
 ITEM = "item_key"
 
@@ -108,13 +108,18 @@ def shortest_paths(
     ``edges(item_key, a, b, cost)`` directed, ``sources(item_key, node_id, dist)``.
     Only nodes improved in the last round send on.  ``combine(dist, cost)`` is their
     sum by default (the larger of both gives watersheds).  ``start`` is an earlier
-    result to go on from.  Ties go to the smaller parent."""
+    result to go on from.  Ties go to the smaller parent.
+
+    Rounds go on until no node improves, one for every step of the longest path.  After
+    ``most`` of them the nodes are counted: a path has no more steps than an item has
+    nodes, so what improves for longer has a cycle that costs less than nothing and
+    raises."""
     combine = combine or (lambda d, c: d + c)
     first = sources.select(ITEM, "node_id", F.col("dist").cast("double").alias("dist"), F.lit(None).cast("bigint").alias("parent"), F.col("node_id").alias("source"))
     first = first.groupBy(ITEM, "node_id").agg(F.min(F.struct("dist", "parent", "source")).alias("b")).select(ITEM, "node_id", "b.*")
     best = settle(first if start is None else first.union(start.select(*first.columns)).groupBy(ITEM, "node_id").agg(F.min(F.struct("dist", "parent", "source")).alias("b")).select(ITEM, "node_id", "b.*"))
     front = best
-    for n in range(most):
+    for n in rounds():
         sent = front.select(ITEM, F.col("node_id").alias("a"), "dist", "source").join(edges, [ITEM, "a"])
         offer = sent.groupBy(ITEM, F.col("b").alias("node_id")).agg(F.min(F.struct(combine(F.col("dist"), F.col("cost")).alias("dist"), F.col("a").alias("parent"), "source")).alias("o"))
         joined = settle(best.join(offer, [ITEM, "node_id"], "full"))
@@ -126,6 +131,11 @@ def shortest_paths(
             on_round(n + 1, changed)
         if not changed:
             break
+        if n + 1 == most:
+            ends = edges.select(ITEM, F.col("a").alias("node_id")).union(edges.select(ITEM, F.col("b").alias("node_id"))).distinct()
+            bound = ends.groupBy(ITEM).count().agg(F.max("count")).first()[0]
+        if n + 1 >= most and n > bound:
+            raise RuntimeError(f"paths still improve after {n + 1} rounds: a cycle of negative cost")
     return best
 
 
@@ -243,13 +253,13 @@ def minimum_branching(edges: DataFrame, known: DataFrame | None = None) -> DataF
     return joined.select(ITEM, "node_id", F.coalesce("k", "parent").alias("parent"))
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, sources: DataFrame, most: int = 10_000) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
     """``item_key, node_id, level``: Kahn's order by levels, from the sources; what they
     don't reach is left out."""
     inside = shortest_paths(edges.select(ITEM, "a", "b", F.lit(1.0).alias("cost")), sources.select(ITEM, "node_id", F.lit(0.0).alias("dist"))).select(ITEM, "node_id")
     live_edges = settle(edges.select(ITEM, "a", "b").join(inside.withColumnRenamed("node_id", "a"), [ITEM, "a"], "left_semi"))
     left, done = settle(inside), None
-    for level in range(most):
+    for level in rounds(most):
         free = settle(left.join(live_edges.select(ITEM, F.col("b").alias("node_id")), [ITEM, "node_id"], "left_anti"))
         if free.isEmpty():
             break

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rootweave.functions import geometry as g
-from rootweave.iterate import settle
+from rootweave.iterate import rounds, settle
 
 
 def pair_items(reference: DataFrame, computed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -153,7 +153,7 @@ def band_length(roots: DataFrame, keys: list[str], low: float, high: float) -> D
     return roots.groupBy(*keys).agg(F.coalesce(F.sum(F.when((place >= low) & (place < high), F.col("length"))), F.lit(0.0)).alias("total"))
 
 
-def strong_maxima(peaks: DataFrame, keys: list[str], least: float = 1.9, most: int = 100) -> DataFrame:
+def strong_maxima(peaks: DataFrame, keys: list[str], least: float = 1.9, most: int | None = None) -> DataFrame:
     """``peaks(keys, id, x, y, r)`` without those inside the circle of a larger one.
     In a round every peak without a larger live neighbour stays and removes the ones
     in its circle."""
@@ -165,7 +165,7 @@ def strong_maxima(peaks: DataFrame, keys: list[str], least: float = 1.9, most: i
     over = settle(pairs.where((F.col("d") < F.col("ri")) & ((F.col("ri") > F.col("rj")) | ((F.col("ri") == F.col("rj")) & (F.col("i") < F.col("j"))))).select(*keys, "i", "j"))
     live = settle(peaks.select(*keys, "id"))
     kept = None
-    for _ in range(most):
+    for _ in rounds(most):
         edges = over.join(live.withColumnRenamed("id", "i"), [*keys, "i"], "left_semi").join(live.withColumnRenamed("id", "j"), [*keys, "j"], "left_semi")
         edges = settle(edges)
         strong = settle(live.join(edges.select(*keys, F.col("j").alias("id")), [*keys, "id"], "left_anti"))

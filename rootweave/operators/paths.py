@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rootweave.functions import geometry as g
-from rootweave.iterate import settle
+from rootweave.iterate import rounds, settle
 from rootweave.operators import graph
 
 ITEM = "item_key"
@@ -43,11 +43,11 @@ def tip_lengths(paths: DataFrame, segments: DataFrame) -> DataFrame:
     return paths.select(ITEM, "path_id").distinct().join(own, [ITEM, "path_id"], "left").select(ITEM, "path_id", F.coalesce("tip", F.lit(0.0)).alias("tip"))
 
 
-def prune(paths: DataFrame, segments: DataFrame, least: float, most: int = 1000) -> DataFrame:
+def prune(paths: DataFrame, segments: DataFrame, least: float, most: int | None = None) -> DataFrame:
     """Remove the path with the shortest tip of every item, while it is below ``least``;
     tips grow as their neighbours go, so one path an item goes in a round."""
     paths = settle(paths)
-    for _ in range(most):
+    for _ in rounds(most):
         worst = tip_lengths(paths, segments).where(F.col("tip") < least).groupBy(ITEM).agg(F.min(F.struct("tip", "path_id")).alias("w"))
         gone = settle(worst.select(ITEM, F.col("w.path_id").alias("path_id")))
         if gone.isEmpty():

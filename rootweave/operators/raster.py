@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rootweave.iterate import settle
+from rootweave.iterate import rounds, settle
 from rootweave.operators import graph
 
 ITEM = "item_key"
@@ -334,10 +334,10 @@ def ring_code(mask: DataFrame) -> DataFrame:
     return rows.select(*CELL, F.array(*[F.shiftright("c", i).bitwiseAND(F.lit(1)) for i in range(8)]).alias("p"))
 
 
-def thin(mask: DataFrame, most: int = 200) -> DataFrame:
+def thin(mask: DataFrame, most: int | None = None) -> DataFrame:
     """Skeleton by Zhang and Suen's two sub-steps, all items at once."""
     mask = settle(mask.select(*CELL))
-    for _ in range(most):
+    for _ in rounds(most):
         before = mask.count()
         for step in (0, 1):
             rows = ring_code(mask)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rootweave.iterate import settle
+from rootweave.iterate import rounds, settle
 
 
 def trimmed_summary(rows: DataFrame, keys: list[str], value: str, outliers: float = 0.05) -> DataFrame:
@@ -153,12 +153,12 @@ def expectation(rows: DataFrame, keys: list[str], row_id: str, value: str, param
     return out
 
 
-def outliers(rows: DataFrame, keys: list[str], value: str, most: int = 20) -> DataFrame:
+def outliers(rows: DataFrame, keys: list[str], value: str, most: int | None = None) -> DataFrame:
     """``rows`` with ``outlier``: density times count below 0.5 under the normal of the
     rows that are none; refitted until no more are found."""
     state = settle(rows.withColumn("outlier", F.lit(False)))
     count = 0
-    for _ in range(most):
+    for _ in rounds(most):
         fit = state.where("not outlier").groupBy(*keys).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"), F.count(value).alias("__n"))
         dense = F.when(F.col("__s") > 0, normal_pdf(F.col(value), F.col("__m"), F.col("__s")) * F.col("__n") < 0.5).otherwise(F.col(value) != F.col("__m"))
         state = settle(state.drop("outlier").join(fit, keys, "left").withColumn("outlier", F.coalesce(dense, F.lit(False))).drop("__m", "__s", "__n"))
