@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,22 +13,25 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it.  Where it is unset (tests, a notebook in
-    local mode) a temporary folder is made and set for the session.
+    ``spark.checkpoint.dir`` names it.  Where it is unset, a temporary folder is made
+    and set for the session in local mode; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="rootweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and
-    the rows outlive any executor."""
+    the rows outlive any executor.  What an application wrote lies in one folder,
+    ``rootweave/<application id>``, which may be deleted when it has ended."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rootweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/rootweave/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -127,23 +127,66 @@ def test_url_rules_and_aliases(spark):
     assert urls.judge_urls(rows.limit(0), rules).count() == 0
 
 
+def test_html_runs_by_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice("abcd")
+    pages = []
+    for i in range(30):
+        host = f"h{i % 2}.com"
+        blocks = [" ".join(word() for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(1, 4))]
+        if i % 3 == 0:
+            blocks = ["<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "<p>z z z z w w w w " + word() + "</p></article>"]
+        else:
+            blocks = [f"<div>{b}</div>" for b in blocks]
+        pages.append((i, f"http://{host}/{i}", "".join(blocks)))
+    rows = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    out = {r.page_id: r for r in html_extract.extract(rows).collect()}
+    for host in (0, 1):
+        own = [(i, html_extract.page_blocks(x)) for i, _, x in pages if i % 2 == host]
+        spread = {"O": {}, "A": {}}
+        for i, blocks in own:
+            for role, t in blocks:
+                w = t.split(" ")
+                for k in range(len(w) - 7):
+                    spread[role].setdefault(tuple(w[k : k + 8]), set()).add(i)
+        for i, blocks in own:
+            want = []
+            for role, t in blocks:
+                w = t.split(" ")
+                gone = set()
+                for k in range(len(w) - 7):
+                    n = len(spread[role][tuple(w[k : k + 8])])
+                    if n > 1 and role == "O" or n > len(own) * 0.5 and n >= 4:
+                        gone.update(range(k, k + 8))
+                want += [x for k, x in enumerate(w) if k not in gone]
+            assert out[i].text == " ".join(want), i
+    assert sum(r.n_repeated for r in out.values()) > 0
+
+
+def test_html_boilerplate_in_articles(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    notice, quote = line(12), line(20)
+    rows = []
+    for i in range(40):
+        quoted = f"<p>{quote}</p>" if i % 4 == 0 else ""
+        rows.append((i, f"http://one.com/{i}", f"<article class='social card'><p>own{i} {line(20)}</p>{quoted}<p>end{i} {notice}</p></article>"))
+    rows += [(100 + i, f"http://two.com/{i}", f"<main><p>{line(9)}</p><article class='comment'>c</article></main>") for i in range(3)]
+    rows += [(200 + i, f"http://two.com/{i}/2", f"<div>{quote}</div><div>alone{i}</div>") for i in range(3)]
+    pages = spark.createDataFrame(rows + rows[:1], "page_id bigint, url string, html string")
+    out = {r.page_id: r for r in html_extract.extract(pages).collect()}
+    for i in range(40):
+        assert notice not in out[i].text and f"end{i}" in out[i].text and out[i].n_repeated == 12
+        assert (quote in out[i].text) == (i % 4 == 0)
+    assert out[100].n_chars > 20 and not out[100].text.endswith(" c")
+    assert [out[200 + i].text for i in range(3)] == [f"alone{i}" for i in range(3)]
+    assert html_extract.extract(pages).count() == len(rows) + 1
+    # with the runs left alone the notice stays
+    parsed = html_extract.parse(pages).withColumn("runs", F.lit(None).cast("array<bigint>"))
+    assert all(notice in r.text for r in html_extract.clean(parsed.select("host", "key", "blocks", "runs", "page_id", "url")).where("page_id < 40").collect())
+
+
 def test_html(spark):
-    rng = np.random.default_rng(4)
-    for _ in range(20):
-        tokens = rng.integers(0, 4, 200)
-        pages = np.sort(rng.integers(0, 5, 200))
-        tokens[np.flatnonzero(np.diff(pages))] = 0
-        want = np.zeros(200, bool)
-        places = {}
-        for i in range(200 - 3):
-            run = tuple(tokens[i : i + 4])
-            if 0 not in run:
-                places.setdefault(run, []).append(i)
-        for at in places.values():
-            if len({pages[i] for i in at}) > 1:
-                for i in at:
-                    want[i : i + 4] = True
-        assert (html_extract.repeated(tokens, pages, 4) == want).all()
     shared = "this text stands on every single page of the host today"
     page = "<html><head><title>t</title><style>p{}</style></head><body><nav>menu</nav><div class='ad'>buy</div>%s<footer>&copy; me</footer></body></html>"
     rows = [
