@@ -3,22 +3,25 @@ short and the state outlives executors."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder of ``spark.checkpoint.dir`` and read it back."""
+    """Write ``df`` to the folder of ``spark.checkpoint.dir`` and read it back.  A folder
+    of its own is made only in local mode; on a cluster it must be set."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="rootweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/rootweave/{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/rootweave/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -31,27 +34,3 @@ def rounds(most: int | None = None) -> Iterator[int]:
         yield n
         n += 1
     raise RuntimeError(f"not done in {most} rounds")
-
-
-def fixpoint(
-    state: DataFrame,
-    step: Callable[[DataFrame], DataFrame],
-    most: int = 100,
-    on_round: Callable[[int, int], None] | None = None,
-) -> DataFrame:
-    """Apply ``step`` until the set of rows stays the same; all items advance together.
-    ``on_round(number, rows)`` is called after each round; more than ``most`` raise."""
-
-    def mark(df):
-        return df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns) % F.lit(1 << 40))).first()
-
-    state = settle(state)
-    before = tuple(mark(state))
-    for n in rounds(most):
-        state = settle(step(state))
-        after = tuple(mark(state))
-        if on_round:
-            on_round(n + 1, after[0])
-        if after == before:
-            return state
-        before = after
