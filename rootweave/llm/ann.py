@@ -184,16 +184,22 @@ def search(
     where there are fewer than ``k``.  ``report`` gets the leaves, the visits and the
     recall measured on the calibration queries.
 
-    Rows without id, and vectors that are null, empty, zero, of another length than
-    the longest, or hold a null or non-finite component take no part.  Repeated ids
-    are one row for this purpose: none is another's neighbour.  An empty table gives
-    no row.
+    Rows without id, and vectors that are null, empty, zero, or hold a null or
+    non-finite component take no part; nor do vectors of another length than the
+    commonest (of equally common ones the greater), whose inner product is undefined.
+    Repeated ids are one row, with the greatest of their vectors by component order.
+    An empty table gives no row.
     """
     spark = vectors.sparkSession
     all_rows = usable(vectors, id_col, vector_col)
-    width, norm = all_rows.agg(F.max(F.size("v")), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    all_rows = all_rows.where(F.size("v") == F.lit(width or 0))
-    rows, n_queries = all_rows.agg(F.count("*"), F.count_if(is_query)).first()
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    widths = all_rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("rows"), F.count_if(is_query).alias("queries"), F.max(length).alias("norm"))
+    commonest = widths.orderBy(F.desc("rows"), F.desc("width")).first()
+    width, rows, n_queries, norm = commonest or (0, 0, 0, 0.0)
+    all_rows = all_rows.where(F.size("v") == width)
+    if not all_rows.groupBy("vec_id").count().where("count > 1").isEmpty():
+        all_rows = durable(all_rows.groupBy("vec_id").agg(F.max("v").alias("v")))
+        rows, n_queries = all_rows.agg(F.count("*"), F.count_if(is_query)).first()
     if not rows:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
 
