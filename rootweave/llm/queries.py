@@ -132,14 +132,14 @@ KEY_SQL = "CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '') ||
 OP3_SQL = rf"""WITH RECURSIVE
 u AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT *, {KEY_SQL} AS key, {_rule_sql('rule')} AS rule, {_rule_sql('verdict')} AS own FROM ({_parts('u')})),
-t AS (SELECT key, host, path, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS target FROM p
- UNION ALL SELECT key, host, path, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM p),
-f AS (SELECT key AS a, host AS h, path AS q, CASE WHEN instr(target, '://') > 0 THEN substr(target, instr(target, '://') + 3) WHEN target LIKE '//%' THEN substr(target, 3)
+t AS (SELECT key, host, path, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS target FROM (SELECT *, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*>')) AS tag FROM p)
+ UNION ALL SELECT key, host, path, regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM (SELECT *, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')) AS tag FROM p)),
+f AS (SELECT key AS a, host AS h, path AS q, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN substr(target, instr(target, '://') + 3) WHEN target LIKE '//%' THEN substr(target, 3)
  WHEN target LIKE '/%' THEN host || target ELSE host || regexp_replace(path, '[^/]*$', '') || target END AS rest
  FROM (SELECT key, host, path, replace(target, '&amp;', '&') AS target FROM t WHERE target <> '') WHERE key IS NOT NULL),
 g AS (SELECT a, h, q, {KEY_SQL} AS b, host, path, query FROM ({_parts('f')})),
 e AS (SELECT a, b FROM g WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM g WHERE b IS NOT NULL AND a <> b),
-ends AS (SELECT a AS node, h AS host, q AS path FROM g WHERE b IS NOT NULL UNION SELECT b, host, path FROM g WHERE b IS NOT NULL),
+ends AS (SELECT key AS node, host, path FROM p WHERE key IS NOT NULL UNION SELECT b, host, path FROM g WHERE b IS NOT NULL),
 reach AS (SELECT a AS node, b AS other FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON r.other = e.a),
 comp AS (SELECT node, min(other) AS alias_of FROM (SELECT * FROM reach UNION SELECT a, a FROM e) GROUP BY 1),
 judged AS (SELECT c.alias_of, bool_or({_rule_sql('verdict')} = 'block') AS blocked, bool_or({_rule_sql('verdict')} = 'allow') AS allowed FROM comp c JOIN ends USING (node) GROUP BY 1)

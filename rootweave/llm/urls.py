@@ -25,6 +25,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_INLINE_RULES = 256
 
 
+#: Tags that tie a page to another url; every one of a page counts.
+CANONICAL = r"(?is)<link\b[^>]*?\brel\s*=\s*[\"']?canonical\b[^>]*>"
+REFRESH = r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+
+
 class Rule(NamedTuple):
     verdict: str
     host: str
@@ -71,26 +76,22 @@ def own_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` between alias keys with the targets' ``host`` and ``path``:
-    canonical links and meta refreshes of the html.  Relative targets are taken
+    all canonical links and meta refreshes of the html.  Relative targets are taken
     from the page's own host."""
     html = F.coalesce("html", F.lit(""))
-    canonical = F.regexp_extract(html, r"(?is)<link\b[^>]*?\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    refresh = F.regexp_extract(html, r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    has = html.rlike(r"(?i)\bcanonical\b|http-equiv")
-    tags = pages.where(has).select(
-        "url",
-        F.explode(
-            F.array(
-                F.regexp_extract(canonical, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-                F.regexp_extract(refresh, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1),
-            )
-        ).alias("to"),
-    )
+
+    def targets(tag, attribute):
+        tags = F.regexp_extract_all(html, F.lit(tag), F.lit(0))
+        return F.transform(tags, lambda x: F.regexp_extract(x, attribute, 1))
+
+    canonical = targets(CANONICAL, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+    refresh = targets(REFRESH, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)")
+    tags = pages.where(html.rlike(r"(?i)\bcanonical\b|http-equiv")).select("url", F.explode(F.concat(canonical, refresh)).alias("to"))
     host, path, query = split_url(F.col("url"))
     tags = tags.where("to <> ''").select("to", host.alias("h"), path.alias("p"), alias_key(host, path, query).alias("a"))
     to = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
     full = (
-        F.when(to.contains("://"), to)
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
         .when(to.startswith("//"), F.concat(F.lit("http:"), to))
         .when(to.startswith("/"), F.concat(F.lit("http://"), F.col("h"), to))
         .otherwise(F.concat(F.lit("http://"), F.col("h"), F.regexp_replace("p", r"[^/]*$", ""), to))
@@ -98,7 +99,7 @@ def link_edges(pages: DataFrame) -> DataFrame:
     host, path, query = split_url(F.col("full"))
     return (
         tags.withColumn("full", full)
-        .select("a", alias_key(host, path, query).alias("b"), "h", "p", host.alias("host"), path.alias("path"))
+        .select("a", alias_key(host, path, query).alias("b"), host.alias("host"), path.alias("path"))
         .where("a is not null and b is not null")
     )
 
@@ -116,9 +117,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     pages = pages.select("page_id", "url", "html")
     edges = link_edges(pages)
     found = connected_components(edges.select("a", "b"))
-    ends = edges.select(F.col("a").alias("node"), F.col("h").alias("host"), F.col("p").alias("path")).union(
-        edges.select("b", "host", "path")
-    )
+    host, path, query = split_url(F.col("url"))
+    own = pages.select("page_id", host.alias("host"), path.alias("path"), alias_key(host, path, query).alias("key"))
+    # every spelling of a node has a say: those of the links' ends and the pages' own
+    ends = edges.select(F.col("b").alias("node"), "host", "path").union(own.where("key is not null").select("key", "host", "path"))
     seeds = ends.select("node", own_rule(F.col("host"), F.col("path"), rules)["verdict"].alias("v")).distinct()
     judged = found.join(seeds, "node").groupBy("component").agg(
         F.bool_or(F.col("v") == "block").alias("blocked"), F.bool_or(F.col("v") == "allow").alias("allowed")
@@ -128,8 +130,6 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         F.col("component").alias("alias_of"),
         (F.coalesce("blocked", F.lit(False)) & ~F.coalesce("allowed", F.lit(False))).alias("inherited"),
     )
-    host, path, query = split_url(F.col("url"))
-    own = pages.select("page_id", host.alias("host"), path.alias("path"), alias_key(host, path, query).alias("key"))
     own = own.withColumn("own", own_rule(F.col("host"), F.col("path"), rules))
     return own.join(aliases, "key", "left").select(
         "page_id",

@@ -84,7 +84,7 @@ def test_nearest_neighbours(spark):
     x = rng.normal(size=(400, 8)).astype(np.float32)
     x[50:60] = x[40]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    odd = [(1000, None), (1020, [0.0] * 8), (1040, [float("nan")] * 8), (1060, [1.0, 2.0]), (1080, []), (None, [1.0] * 8), (1100, [None] * 8)]
+    odd = [(1000, None), (1020, [0.0] * 8), (1040, [float("nan")] * 8), (1060, [1.0, 2.0]), (1080, []), (None, [1.0] * 8), (1100, [None] * 8), (1120, [9.0] * 9)]
     vectors = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>").withColumn("score", F.lit(1))
     out = ann.search(vectors, F.col("vec_id") % 20 == 0, k=5, recall=1.0).toPandas()
     d = x.astype(np.float64)
@@ -98,6 +98,24 @@ def test_nearest_neighbours(spark):
     assert ann.search(vectors.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_neighbours_calibrated(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 12))
+    x = (centres[rng.integers(0, 60, 6000)] + 0.1 * rng.normal(size=(6000, 12))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows + rows[:50], "vec_id bigint, embedding array<float>")
+    report = {}
+    out = ann.search(vectors, F.col("vec_id") % 20 == 0, k=10, report=report).toPandas()
+    assert 1 < report["visits"] < report["leaves"]
+    d, hits, total = x.astype(np.float64), 0, 0
+    for q, part in out.groupby("query_id"):
+        s = (d * d[q]).sum(1)
+        want = [i for i in np.lexsort((np.arange(6000), -s)) if i != q][:10]
+        hits, total = hits + len(set(want) & set(part.vec_id)), total + 10
+        assert sorted(part["rank"]) == list(range(1, 11)) and part.vec_id.is_unique
+    assert total == 3000 and hits / total >= 0.9
+
+
 def test_url_rules_and_aliases(spark):
     rules = [urls.rule("block", "net/"), urls.rule("allow", "example.net/en/"), urls.rule("block", "bad.org/"), urls.rule("allow", "good.org/")]
     refresh = '<meta http-equiv="refresh" content="0; url=%s">'
