@@ -6,6 +6,11 @@ identifiers, are trained from labelled samples; a run of identifier characters
 outside the base spans is reported as ``markov`` where the log-likelihood ratio
 is in favour of the random model.
 
+The samples: random strings are drawn from the alphabets that keys are written in;
+ordinary identifiers are made of the corpus's own words, in the ways programs join
+them, and count as often as their word stands in it.  No run that is judged is a
+sample itself.
+
 Everything on this path is DataFrame expressions.  The only thing sent to the
 driver is the table of character pairs, at most ``len(ALPHABET) + 1`` squared
 entries for each class, whatever the input.
@@ -15,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, let, prefix_sums
@@ -25,6 +30,21 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}"
 
+#: What keys are written in: hexadecimal, base 32, 36, 62 and 64.
+ALPHABETS = (
+    "0123456789abcdef",
+    "0123456789ABCDEF",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "0123456789abcdefghijklmnopqrstuvwxyz",
+    "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+)
+#: How words become an identifier: their case and the mark between them.
+WAYS = (("camel", ""), ("pascal", ""), ("lower", "_"), ("upper", "_"), ("lower", "-"), ("lower", "/"), ("lower", ""), ("pascal", "="))
+#: Random strings drawn, of 16 to 47 characters.
+DRAWN = 20_000
+
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 
@@ -91,38 +111,45 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def labelled_samples(spans: DataFrame) -> DataFrame:
-    """``(token, random)``: the value of every base span is a random string, every
-    run outside them an ordinary identifier."""
-    value = F.when(F.col("s.kind") == 0, F.regexp_extract("s.text", ASSIGN, 2)).otherwise(F.col("s.text"))
-    random = spans.select(F.explode("base").alias("s")).select(value.alias("token"), F.lit(True).alias("random"))
-    plain = spans.select(F.explode("runs").alias("s")).select(F.col("s.text").alias("token"), F.lit(False).alias("random"))
-    return random.union(plain)
+def random_strings(spark: SparkSession, rows: int = DRAWN) -> DataFrame:
+    """``(token, random, weight)``: strings drawn evenly from each of ``ALPHABETS``, the same
+    ones in every run."""
+    of = F.array(*[F.lit(a) for a in ALPHABETS])
+    drawn = spark.range(rows).select("id", F.get(of, (F.col("id") % len(ALPHABETS)).cast("int")).alias("a"), F.pmod(F.xxhash64("id"), F.lit(32)).alias("more"))
+    letter = lambda i: F.substring(F.col("a"), (F.pmod(F.xxhash64("id", i), F.length("a").cast("long")) + 1).cast("int"), F.lit(1))
+    return drawn.select(F.array_join(F.transform(F.sequence(F.lit(1), F.col("more") + 16), letter), "").alias("token"), F.lit(True).alias("random"), F.lit(1).cast("long").alias("weight"))
+
+
+def identifiers(docs: DataFrame, text_col: str = "text", min_run: int = 16) -> DataFrame:
+    """``(token, random, weight)``: an identifier of every word of the texts, twice,
+    joined in one of ``WAYS`` (by a hash), weighing as much as the word is frequent.
+    Words are letters or a number; what mixes both may be part of a secret and is
+    left out, as are words so long that they are judged."""
+    word = F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "[^A-Za-z0-9]+")).alias("w")
+    words = docs.select(word).groupBy("w").agg(F.count("*").alias("weight")).where(F.col("w").rlike("^([A-Za-z]{1,%d}|[0-9]{1,%d})$" % (min_run - 1, min_run - 1)))
+    w, way = F.col("w"), F.pmod(F.xxhash64("w"), F.lit(len(WAYS)))
+    cases = {"camel": (F.lower(w), F.initcap(w)), "pascal": (F.initcap(w), F.initcap(w)), "lower": (F.lower(w), F.lower(w)), "upper": (F.upper(w), F.upper(w))}
+    joined = F.coalesce(*[F.when(way == i, F.concat_ws(mark, *cases[case])) for i, (case, mark) in enumerate(WAYS)])
+    return words.select(joined.alias("token"), F.lit(False).alias("random"), "weight")
 
 
 def train(samples: DataFrame, backing: float = 16.0) -> list[float]:
     """Log-likelihood ratios random : ordinary of every pair of characters, row by
     row of ``ALPHABET`` with the start of a string first.
 
-    ``samples(token, random)``; other characters and null or empty tokens don't
-    count.  A pair's probability backs off to how often its second character stands in
-    the class at all, with the weight of ``backing`` pairs.  Without samples of a class
-    its model is uniform.
+    ``samples(token, random, weight)``; other characters part tokens, and null or empty
+    ones don't count.  A pair's probability backs off to how often its second character
+    stands in the class at all, with the weight of ``backing`` pairs.  Without samples
+    of a class its model is uniform.
     """
     size = len(ALPHABET) + 1
-    pairs = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substring(F.concat(F.lit("^"), F.col("token")), i, F.lit(2)))
-    counts = (
-        samples.where("length(token) > 0")
-        .select("random", F.explode(pairs).alias("pair"))
-        .groupBy("random", "pair")
-        .count()
-        .where(F.col("pair").rlike(r"^[\^A-Za-z0-9+/_=.-][A-Za-z0-9+/_=.-]$"))
-    )
-    at = {c: i for i, c in enumerate("^" + ALPHABET)}
+    pairs = F.regexp_extract_all(F.concat(F.lit(" "), "token"), F.lit("(?s)(?=(.[A-Za-z0-9+/_=.-]))"), F.lit(1))
+    code = lambda at: F.instr(F.lit(ALPHABET), F.substring("pair", at, 1))
+    rows = samples.where("length(token) > 0").select("random", "weight", F.explode(pairs).alias("pair"))
+    counts = rows.groupBy("random", code(1).alias("a"), code(2).alias("b")).agg(F.sum("weight").alias("n"))
     table = {r: [0.0] * (size * size) for r in (True, False)}
     for r in counts.collect():  # at most 2 * size * size rows
-        # a run that is judged is an ordinary sample itself: it must not vouch for itself
-        table[r["random"]][at[r["pair"][0]] * size + at[r["pair"][1]]] = r["count"] - (0 if r["random"] else 1)
+        table[r["random"]][r["a"] * size + r["b"]] = r["n"]
     single = {r: [sum(t[b::size]) + 1 for b in range(size)] for r, t in table.items()}
     ratios = []
     for a in range(size):
@@ -147,16 +174,18 @@ def ratio(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(F.split(token, ""), start, step, lambda s: s["sum"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 16, margin: float = 6.0) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 16, margin: float = 1.0) -> DataFrame:
     """``doc_id, base, spans`` for every row: the base spans, and these with the
-    runs whose log-likelihood ratio is at least ``margin``, by start, then kind.
+    runs whose log-likelihood ratio is at least ``margin`` a character, by start, then
+    kind.
 
     Null texts count as empty and give no spans.  Repeated rows are scanned each;
-    other columns are ignored.  The models are trained from all rows of ``docs``.
+    other columns are ignored.  The model of ordinary identifiers is trained from all
+    rows of ``docs``; an empty table gives no row.
     """
     found = durable(find_spans(docs, id_col, text_col, min_run))
-    ratios = train(labelled_samples(found))
-    kept = F.filter("runs", lambda r: ratio(r["text"], ratios) >= margin)
+    ratios = train(random_strings(docs.sparkSession).union(identifiers(docs, text_col, min_run)))
+    kept = F.filter("runs", lambda r: ratio(r["text"], ratios) >= margin * F.length(r["text"]))
     spans = F.array_sort(
         F.concat(F.col("base"), kept),
         lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(a["kind"] - b["kind"]),

@@ -428,6 +428,34 @@ def test_secrets(spark, docs):
     assert secrets.scan(docs).count() == docs.count() and secrets.scan(docs.limit(0)).count() == 0
 
 
+def planted(rng):
+    """A random string as services write them, none of a base pattern."""
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    kind = rng.randrange(4)
+    if kind == 0:
+        return "sk_live_" + "".join(rng.choices(letters, k=24))
+    if kind == 1:
+        return "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=26))
+    return "".join(rng.choices(letters + "+/" * (kind == 2), k=rng.randrange(22, 41)))
+
+
+def test_secrets_found_by_the_models(spark, tmp_path):
+    from rootweave.llm import queries
+
+    rng = random.Random(33)
+    kinds = ("_".join, "-".join, "/".join, lambda w: "".join(x.title() for x in w), lambda w: w[0] + "".join(x.title() for x in w[1:]) + "7")
+    rows = []
+    for i in range(300):
+        name = rng.choice(kinds)(prose(rng, 4).split())
+        rows.append((i, f"{prose(rng, 20)} {planted(rng) if i % 3 == 0 else ''} {prose(rng, 5)} {name} {prose(rng, 30)}"))
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r.spans for r in queries.op9_secret_scan(spark, str(tmp_path)).collect()}
+    found = {i: s.count("markov") for i, s in out.items()}
+    hits = sum(found[i] > 0 for i in range(0, 300, 3))
+    false = sum(found[i] for i in range(300) if i % 3) + sum(found[i] > 1 for i in range(0, 300, 3))
+    assert len(out) == 300 and hits >= 95 and false <= 5
+
+
 def test_media(spark, docs):
     rows = docs.unionByName(spark.createDataFrame([(60, "y" * 576), (61, "y" * 577)], "doc_id bigint, text string"), allowMissingColumns=True)
     stored = audio.store(rows)
