@@ -6,7 +6,7 @@ effect.  All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootweave.llm import linededup, mixing, neardup, packing, toxicity
@@ -14,6 +14,11 @@ from rootweave.llm.common import durable, ship
 from rootweave.llm.queries import FOLDS, fold, table
 
 
+def others(docs: DataFrame, *own: str) -> Column:
+    """All columns but these as one, ``row``, that no operator's columns can clash with."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in own]).alias("row")
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more go; null and empty texts stay."""
     ship(spark)
@@ -21,11 +26,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go; every document stays, with ``n_chars`` of what is left."""
+    """Recurring lines go; every document stays, with ``n_chars`` of what is left.  Null
+    and empty texts stay as they are; an empty table gives no row; columns named like
+    those of the operator keep their values."""
     ship(spark)
-    out = linededup.dedup_lines(docs)
-    chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", chars).select(*docs.columns)
+    out = linededup.dedup_lines(docs.select("text", others(docs, "text")))
+    chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    new = {"text": F.col("text"), "n_chars": chars}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,13 +51,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample by calibrated probabilities: source, language and style come closer to
-    even, nine tenths of the tokens stay."""
-    return mixing.mix(docs, keep=0.9).where("kept").select(*docs.columns)
+    """A sample by calibrated probabilities: source, language and topic come closer to
+    even, nine tenths of the tokens stay.  Null sources and languages are a value of
+    their own; an empty table gives no row; columns named like those of the operator
+    keep their values."""
+    ship(spark)
+    own = ("doc_id", "text", "source", "lang")
+    kept = mixing.mix(docs.select(*own, others(docs, *own)), keep=0.9).where("kept")
+    return kept.select(*[F.col(c) if c in own else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens."""
+    """Sequences of 2048 tokens, one row a piece.  Null and empty texts are one token;
+    an empty table gives no row; other columns are left out."""
     ship(spark)
     return packing.pack(docs)
 

@@ -12,6 +12,9 @@ documents keep their lines (finding them is another operator's work), and a pass
 that otherwise different texts share goes, however much of them it is and whatever
 else is copied.  Classes are components of links between texts whose word triples
 agree by ``ALIKE`` or more, so texts that differ in less than that count as copies.
+
+Lines of every length are judged; one of so few tokens that chance repeats it has no
+template but itself, and must stand in more classes.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, connected_components, durable
+from .common import as_bytes, connected_components, durable, let
 from .neardup import GOLD, M1, M2, mix
 
 LINES = "digest binary, pos int, n int, template bigint, leaf bigint, tokens array<int>"
@@ -51,9 +54,10 @@ def sketch(tokens: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def parse_lines(docs: DataFrame, least: int, depth: int) -> DataFrame:
-    """Lines of at least ``least`` tokens of ``docs(digest, text)``: token count,
-    hashes of the masked line and of its leaf, token hashes; and a row at position
-    ``SKETCH`` for every text with tokens."""
+    """Lines with tokens of ``docs(digest, text)``: token count, hashes of the masked
+    line and of its leaf, token hashes; and a row at position ``SKETCH`` for every text
+    with tokens.  Of lines of fewer than ``least`` tokens the template is the line as
+    it is, and they have no leaf and no tokens."""
 
     def run(batches):
         from hashlib import blake2b
@@ -62,6 +66,7 @@ def parse_lines(docs: DataFrame, least: int, depth: int) -> DataFrame:
         whole = lambda x: int.from_bytes(blake2b(x, digest_size=8).digest(), "little", signed=True)
         names = ["digest", "pos", "n", "template", "leaf", "tokens"]
         factors = np.random.default_rng(5).integers(0, 1 << 32, (MINIMA, 1)).astype(np.uint32) | np.uint32(1)
+        none = np.zeros(0, np.int32)
         np.seterr(over="ignore")  # scrambling wraps around
 
         def flush(rows, tokens):
@@ -83,7 +88,8 @@ def parse_lines(docs: DataFrame, least: int, depth: int) -> DataFrame:
             rows, flat, size = [], [], 0
             for digest, text in zip(as_bytes(batch.column(0)), as_bytes(batch.column(1))):
                 digest = bytes(digest)
-                lines = [(MASK.sub(b"<*>", x) if DIGIT.search(x) else x).lower().split() for x in bytes(text).split(b"\n")]
+                raw = bytes(text).split(b"\n")
+                lines = [(MASK.sub(b"<*>", x) if DIGIT.search(x) else x).lower().split() for x in raw]
                 hashes = np.array([crc32(t) for tokens in lines for t in tokens], np.uint32)
                 if not len(hashes):
                     continue
@@ -96,6 +102,9 @@ def parse_lines(docs: DataFrame, least: int, depth: int) -> DataFrame:
                         leaf = whole(b"%d %s" % (n, b" ".join(tokens[:depth])))
                         rows.append((digest, k, n, whole(b" ".join(tokens)), leaf))
                         flat.append(hashes[at : at + n].view(np.int32))
+                    elif n:
+                        rows.append((digest, k, n, whole(b" ".join(raw[k].lower().split())), None))
+                        flat.append(none)
                     at += n
                 size += at
                 if size > 500_000:
@@ -125,14 +134,15 @@ def copies(sketches: DataFrame) -> DataFrame:
     return connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("class"))
 
 
-def recurring(lines: DataFrame, key: str, contexts: int, classes: DataFrame) -> DataFrame:
-    """The values of ``key`` that stand in at least ``contexts`` classes of texts; a text
-    without a class of ``classes(id, class)`` is one by itself."""
-    often = lines.groupBy(key).agg(F.count("*").alias("k"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
-    often = often.where(f"k >= {contexts} and lo <> hi").select(key)
+def recurring(lines: DataFrame, key: str, need: Column, classes: DataFrame) -> DataFrame:
+    """The values of ``key`` that stand in at least ``need`` classes of texts, a number
+    from the line's tokens ``n``; a text without a class of ``classes(id, class)`` is one
+    by itself."""
+    often = lines.groupBy(key).agg(F.count("*").alias("k"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.min("n").alias("n"))
+    often = often.where((F.col("k") >= need) & (F.col("lo") != F.col("hi"))).select(key, need.alias("need"))
     texts = lines.select(key, F.xxhash64("digest").alias("id")).join(often, key).distinct().join(classes, "id", "left")
-    unlike = texts.select(key, F.coalesce("class", "id").alias("class")).distinct()
-    return unlike.groupBy(key).count().where(f"count >= {contexts}").select(key)
+    unlike = texts.select(key, "need", F.coalesce("class", "id").alias("class")).distinct()
+    return unlike.groupBy(key, "need").count().where("count >= need").select(key)
 
 
 def generalised(lines: DataFrame, contexts: int, constant: float, similarity: float) -> DataFrame:
@@ -152,14 +162,18 @@ def generalised(lines: DataFrame, contexts: int, constant: float, similarity: fl
     # a line's template: its constant fields in order
     kept = fields.join(common, ["leaf", "i", "t"]).groupBy("digest", "pos").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("fields"))
     named = open_lines.join(kept, ["digest", "pos"]).where(F.size("fields") >= similarity * F.col("n"))
-    return named.select("digest", "pos", F.xxhash64("leaf", "fields").alias("wild"))
+    return named.select("digest", "pos", "n", F.xxhash64("leaf", "fields").alias("wild"))
 
 
 def drop_lines(text: Column, at: Column) -> Column:
-    """The text without the lines at the positions ``at``."""
-    lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(at, i))
-    return F.array_join(kept, "\n")
+    """The text without the lines at the positions ``at``: the slices between them, so
+    the work is in proportion to the text."""
+    bounds = lambda n: F.concat(F.array(F.lit(-1)), F.array_sort(at), F.array(n))
+
+    def between(lines, b):
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda k: F.slice(lines, F.get(b, k) + 2, F.get(b, k + 1) - F.get(b, k) - 1)))
+
+    return F.array_join(let(F.split(text, "\n", -1), lambda lines: let(bounds(F.size(lines)), lambda b: between(lines, b))), "\n")
 
 
 def dedup_lines(
@@ -173,30 +187,34 @@ def dedup_lines(
     """Every row of ``docs`` with its recurring lines dropped from ``text``, and
     ``n_lines``, ``n_dropped``; all other columns stay as they are.
 
-    Lines are what ``\\n`` parts.  Lines of fewer than ``least_tokens`` tokens stay.
-    Null and empty texts stay as they are, with 0 lines.  Rows with equal texts get
-    equal results.  A text of recurring lines only becomes empty; its row stays.
-    Columns of ``docs`` named like the two new ones are replaced.
+    Lines are what ``\\n`` parts.  A line of ``n`` < ``least_tokens`` tokens must stand in
+    ``contexts * ceil(least_tokens / n)`` classes; lines without tokens stay.  Null and
+    empty texts stay as they are, with 0 lines.  Rows with equal texts get equal
+    results.  A text of recurring lines only becomes empty; its row stays.  Columns of
+    ``docs`` named like the two new ones are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
+    taken = {c.lower() for c in docs.columns}
+    key, places = (next(n for i in range(len(taken) + 1) if (n := f"{base}{i}") not in taken) for base in ("digest", "places"))
+    need = F.lit(contexts) * F.greatest(F.ceil(least_tokens / F.col("n")), F.lit(1))
     digest = F.unhex(F.md5("text"))
     own = docs.select(digest.alias("digest"), "text").where("text <> ''")
     parsed = durable(parse_lines(own, least_tokens, depth))
     lines = parsed.where(F.col("pos") != SKETCH)
     classes = copies(parsed.where(F.col("pos") == SKETCH).select(F.xxhash64("digest").alias("id"), "tokens"))
 
-    exact = durable(recurring(lines, "template", contexts, classes))
+    exact = durable(recurring(lines, "template", need, classes))
     dropped = lines.join(exact, "template", "left_semi").select("digest", "pos")
-    rest = lines.join(exact, "template", "left_anti")
+    rest = lines.where("leaf is not null").join(exact, "template", "left_anti")
     wild = durable(generalised(rest, contexts, constant, similarity))
-    dropped = dropped.union(wild.join(recurring(wild, "wild", contexts, classes), "wild", "left_semi").select("digest", "pos"))
-    drops = durable(dropped.groupBy(F.col("digest").alias("__digest")).agg(F.collect_set("pos").alias("__at")))
+    dropped = dropped.union(wild.join(recurring(wild, "wild", F.lit(contexts), classes), "wild", "left_semi").select("digest", "pos"))
+    drops = durable(dropped.groupBy(F.col("digest").alias(key)).agg(F.collect_set("pos").alias(places)))
 
-    out = docs.withColumn("__digest", digest).join(drops, "__digest", "left")
-    text = F.when(F.col("__at").isNull(), F.col("text")).otherwise(drop_lines(F.col("text"), F.col("__at")))
+    out = docs.withColumn(key, digest).join(drops, key, "left")
+    text = F.when(F.col(places).isNull(), F.col("text")).otherwise(drop_lines(F.col("text"), F.col(places)))
     n_lines = F.when(F.col("text") != "", F.size(F.split("text", "\n", -1))).otherwise(F.lit(0))
     return out.select(
         *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
         F.coalesce(n_lines, F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("__at"), F.lit(0)).alias("n_dropped"),
+        F.coalesce(F.size(places), F.lit(0)).alias("n_dropped"),
     )

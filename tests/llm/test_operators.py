@@ -360,7 +360,7 @@ def test_line_dedup(spark, docs):
         rows.append((i, "\n".join(lines)))
     copy = "\n".join(prose(rng, 12) for _ in range(6))
     rows += [(100 + i, copy) for i in range(8)] + [(200 + i, copy.replace("\n", f" z{chr(97 + i) * 3}\n", 1)) for i in range(6)]
-    out = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_lines", F.lit("clash"))).collect()}
+    out = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_lines", F.lit("clash")).withColumn("digest0", F.lit("clash"))).collect()}
     for i in range(12):
         lines = out[i].text.split("\n")
         assert len(lines) == 5 and out[i].n_lines == 8 and out[i].n_dropped == 3
@@ -403,6 +403,44 @@ def test_line_dedup_counts_unlike_texts(spark):
     assert all(out[i].n_dropped == 1 and not out[i].text.startswith(passage) for i in out if i >= 5000)
 
 
+def test_line_dedup_by_brute_force(spark):
+    rng = random.Random(27)
+    few = WORDS[:4]
+    texts = []
+    for i in range(60):
+        lines = [" ".join("".join(rng.choices("abcdefghijkl", k=7)) for _ in range(12)) for _ in range(6)]
+        other = lambda: "".join(rng.choices("mnopqr", k=rng.choice((1, 5))))
+        lines += [" ".join([*few, rng.choice(WORDS[4:9]), other(), "lost", other(), "again"]) for _ in range(2)]
+        lines += rng.sample(["all rights", "page 7", "menu", "the river", "Page 12 of 40 pages"], 2) + ["   "]
+        texts.append("\n".join(rng.sample(lines, len(lines))))
+    masked = lambda x: [("<*>" if re.search("[0-9]", t) else t).lower() for t in x.split()]
+    at = {(d, k): x for d, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if x.split()}
+    key = lambda x: tuple(masked(x)) if len(x.split()) >= 4 else tuple(x.lower().split())
+    docs_of = {}
+    for (d, _), x in at.items():
+        docs_of.setdefault(key(x), set()).add(d)
+    need = lambda n: 3 * max(1, -(-4 // n))
+    gone = {p for p, x in at.items() if len(docs_of[key(x)]) >= need(len(x.split()))}
+    leaves = {}
+    for p, x in at.items():
+        if p not in gone and len(x.split()) >= 4:
+            leaves.setdefault((len(x.split()), *masked(x)[:4]), []).append(p)
+    wild = {}
+    for leaf, ps in leaves.items():
+        rows = [at[p].lower().split() for p in ps]
+        if len(ps) >= 3 and len({key(at[p]) for p in ps}) > 1 and len({d for d, _ in ps}) > 1:
+            for p, w in zip(ps, rows):
+                fields = tuple((i, t) for i, t in enumerate(w) if (k := sum(r[i] == t for r in rows)) >= 3 and k >= 0.3 * len(ps))
+                if len(fields) >= 0.6 * leaf[0]:
+                    wild.setdefault((leaf, fields), set()).add(p)
+    general = {p for ps in wild.values() if len({d for d, _ in ps}) >= 3 for p in ps}
+    assert general and gone
+    out = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for d, t in enumerate(texts):
+        want = [x for k, x in enumerate(t.split("\n")) if (d, k) not in gone | general]
+        assert out[d].text == "\n".join(want), d
+
+
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
 

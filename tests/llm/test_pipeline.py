@@ -40,3 +40,20 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == set(kept["mixing"])
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
+
+
+def test_pipeline_keeps_clashing_columns_and_takes_no_rows(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 40), "en", f"s{i % 2}", 1) for i in range(30)] + [(50, None, None, None, None)]
+    names = ["n_lines", "n_dropped", "tokens", "worth", "probability", "kept", "topic", "row", "digest", "evidence"]
+    docs = spark.createDataFrame(rows, DOCS)
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.concat(F.lit(f"{i}-"), F.coalesce("doc_id", F.lit(0))))
+    spark.createDataFrame([(i, 1, i % 2) for i in range(30)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{i}-{r.doc_id}" for i in range(len(names))], name
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
