@@ -62,23 +62,68 @@ def test_components_and_prefix_sums(spark):
 
 def test_mixing(spark, docs):
     rng = random.Random(5)
-    rows = [(i, "w" * rng.randrange(1, 400), rng.choice(["en", "de"]), rng.choice(["a", "a", "b"]), 0) for i in range(300)]
+    rows = [(i, "w " * rng.randrange(1, 400), rng.choice(["en", "de"]), rng.choice(["a", "a", "b"]), 0) for i in range(3000)]
     many = spark.createDataFrame(rows, DOCS)
     targets = {
-        "source": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "source string, target double"),
+        "source": spark.createDataFrame([("a", 0.5), ("b", 0.5), ("nowhere", 0.0)], "source string, target double"),
         "lang": spark.createDataFrame([("en", 0.7), ("de", 0.3)], "lang string, target double"),
     }
-    out = mixing.mix(many, targets=targets, topic=F.lit("one"), keep=0.5).toPandas()
-    share = out.assign(w=out.tokens * out.worth)
-    assert abs(share[share.source == "a"].w.sum() / share.w.sum() - 0.5) < 2e-3
-    assert abs(share[share.lang == "en"].w.sum() / share.w.sum() - 0.7) < 2e-3
-    assert abs((out.tokens * out.probability).sum() / out.tokens.sum() - 0.5) < 0.02
+    report = {}
+    out = mixing.mix(many, targets=targets, topic=F.lit("one"), keep=0.5, report=report).toPandas()
+    assert out.tokens.tolist() == [len(t.split()) for t in out.text] and max(report.values()) <= 1e-3
+    drawn = out[out.kept]
+    assert abs(drawn[drawn.source == "a"].tokens.sum() / drawn.tokens.sum() - 0.5) < 0.02
+    assert abs(drawn[drawn.lang == "en"].tokens.sum() / drawn.tokens.sum() - 0.7) < 0.02
+    assert abs(drawn.tokens.sum() / out.tokens.sum() - 0.5) < 0.02 and abs((out.worth * out.tokens).sum() / out.tokens.sum() - 1) < 1e-6
+    with pytest.warns(UserWarning):
+        split = many.withColumn("source", F.when(F.col("lang") == "en", "a").otherwise("b"))
+        mixing.mix(split, targets=targets, topic=F.lit("one"), keep=0.5, report=report).count()
+    assert max(report.values()) > 0.1
     odd = mixing.mix(docs).toPandas()
     assert len(odd) == docs.count() and odd.probability.between(0, 1).all() and odd.kept.notna().all()
     assert odd[odd.doc_id == 3].kept.nunique() == 1
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    size, want = rng.integers(0, 3000, (5, 3, 4)), {}
+    size[0] *= 8
+    rows = [(f"s{i}", f"l{j}", f"t{k}", int(size[i, j, k]), 1) for i, j, k in np.ndindex(size.shape)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint, docs bigint")
+    goals = {m: mixing.tempered(cells, m, a) for m, a in (("source", 0.3), ("lang", 0.5), ("topic", 0.8))}
+    total = size.sum() * 0.6
+    for axis, m in enumerate(mixing.MARGINS):
+        other = tuple(x for x in range(3) if x != axis)
+        has = size.sum(other).astype(float)
+        shares = {r[m]: r.target for r in goals[m].collect()}
+        share = np.array([shares[f"{m[0]}{i}"] for i in range(size.shape[axis])])
+        low, high = 0.0, 1e9  # the scale that fills what it can
+        for _ in range(200):
+            scale = (low + high) / 2
+            low, high = (scale, high) if np.minimum(has, scale * share).sum() < total else (low, scale)
+        want[axis] = np.minimum(has, high * share)
+    w = size * 0.6
+    for _ in range(2000):
+        for axis in range(3):
+            other = tuple(x for x in range(3) if x != axis)
+            shape = [-1 if x == axis else 1 for x in range(3)]
+            w = np.minimum(size, w * (want[axis] / np.maximum(w.sum(other), 1e-12)).reshape(shape))
+    report = {}
+    got = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, goals, 0.6, tolerance=1e-4, report=report).collect()}
+    mine = np.array([got[f"s{i}", f"l{j}", f"t{k}"] for i, j, k in np.ndindex(size.shape)]).reshape(size.shape)
+    assert max(report.values()) <= 1e-3 and (mine <= size + 1e-6).all()
+    assert np.abs(mine - w).max() <= 3e-3 * w.max()
+
+
+def test_topics_are_clusters_of_words(spark):
+    rng = random.Random(7)
+    kinds = [[f"{c}{k}" for k in range(30)] for c in "xyz"]
+    rows = [(i, " ".join(rng.choices(kinds[i % 3], k=80)), "en", "a", 0) for i in range(90)]
+    out = mixing.mix(spark.createDataFrame(rows, DOCS)).toPandas()
+    assert all(len(set(out[out.doc_id % 3 == k].topic) & set(out[out.doc_id % 3 != k].topic)) == 0 for k in range(3))
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 8)).astype(np.float32)
