@@ -6,6 +6,10 @@ polyphase filter, cut into overlapping windows, turned into log-mel energies and
 cut into blocks of ``BLOCK`` frames, each a tensor of fixed shape
 ``(BLOCK, MELS)`` with its time span; frames are also segmented by energy with
 hysteresis.  Audio of any length is read in slices of ``SLICE`` frames.
+
+The tensors of a row are stored as an Arrow IPC stream in a binary column: a table of
+``start``, ``end`` and ``values``, whose type is the fixed-shape tensor, so any Arrow
+reader gets the shape from what is stored.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_bytes
 
@@ -31,7 +36,7 @@ FLOOR = 1e-7
 MEDIA = "doc_id bigint, n_bytes bigint, media binary"
 FEATURES = (
     "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, "
-    "media_sha256 string, n_frames bigint, tensors array<struct<start:double,end:double,values:array<float>>>, "
+    "media_sha256 string, n_frames bigint, tensors binary, "
     "segments array<struct<start:double,end:double>>"
 )
 
@@ -175,7 +180,7 @@ def describe(media: DataFrame) -> DataFrame:
                 seconds = lambda f: f * HOP / out_rate  # noqa: B023, E731
                 rows.append(
                     (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), len(mels))
-                    + (blocks(mels, seconds), [{"start": seconds(a), "end": seconds(b)} for a, b in loud])
+                    + (to_ipc(*blocks(mels, seconds)), [{"start": seconds(a), "end": seconds(b)} for a, b in loud])
                 )
             yield to_batch(rows)
 
@@ -192,25 +197,48 @@ def blocks(mels: np.ndarray, seconds) -> tuple[np.ndarray, list[float], list[flo
     return tensors.reshape(n, BLOCK, MELS), starts, ends
 
 
+def to_ipc(values: np.ndarray, starts: list[float], ends: list[float]) -> bytes:
+    """Tensors and their spans as an Arrow IPC stream."""
+    tensors = pa.FixedShapeTensorArray.from_numpy_ndarray(values)
+    batch = pa.RecordBatch.from_arrays([pa.array(starts, pa.float64()), pa.array(ends, pa.float64()), tensors], ["start", "end", "values"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(data) -> pa.Table:
+    """The table ``start, end, values`` of a stored row; ``values`` are fixed-shape tensors."""
+    return pa.ipc.open_stream(data).read_all()
+
+
 def to_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * 10
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
     arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-    at = np.cumsum([0] + [len(b[1]) for b in columns[8]]).astype(np.int32)
-    values = np.concatenate([b[0] for b in columns[8]]) if rows else np.zeros((0, BLOCK, MELS), np.float32)
-    tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(values) if len(values) else None
-    flat = tensor.storage.cast(pa.list_(pa.float32())) if tensor is not None else pa.array([], pa.list_(pa.float32()))
-    spans = [pa.array([x for b in columns[8] for x in b[k]], pa.float64()) for k in (1, 2)]
-    items = pa.StructArray.from_arrays([*spans, flat], ["start", "end", "values"])
-    arrays.append(pa.ListArray.from_arrays(pa.array(at), items))
     arrays.append(pa.array(columns[9], pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))))
     names = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 n_frames tensors segments".split()
     return pa.RecordBatch.from_arrays(arrays, names)
 
 
-def as_tensors(values) -> pa.FixedShapeTensorArray:
-    """Arrow tensors of shape ``(BLOCK, MELS)`` from the ``values`` of a result."""
-    if isinstance(values, pa.ChunkedArray):
-        values = values.combine_chunks()
-    kind = pa.fixed_shape_tensor(pa.float32(), (BLOCK, MELS))
-    return pa.ExtensionArray.from_storage(kind, values.cast(pa.list_(pa.float32(), BLOCK * MELS)))
+def digest(features: DataFrame) -> DataFrame:
+    """``features`` with ``shape`` (of the stored tensors, like ``2x64x24``) and
+    ``tensor_sha256``, over their values and spans as read back."""
+    at, names = features.columns.index("tensors"), features.columns
+
+    def read(batches):
+        import hashlib
+
+        for batch in batches:
+            shapes, digests = [], []
+            for data in as_bytes(batch.column(at)):
+                table = read_tensors(data).combine_chunks()
+                values = table["values"].chunk(0).to_numpy_ndarray()
+                shapes.append("x".join(map(str, values.shape)))
+                found = hashlib.sha256(values.tobytes())
+                found.update(np.stack([table[c].to_numpy() for c in ("start", "end")]).tobytes())
+                digests.append(found.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shapes, pa.string()), pa.array(digests, pa.string())], [*names, "shape", "tensor_sha256"])
+
+    more = [T.StructField("shape", T.StringType()), T.StructField("tensor_sha256", T.StringType())]
+    return features.mapInArrow(read, T.StructType(features.schema.fields + more))

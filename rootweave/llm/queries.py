@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, audio, html_extract, linededup, mixing, neardup, packing, secrets, toxicity, urls
-from .common import ship
+from .common import durable, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,9 +81,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audio.describe(audio.store(table(spark, sf_dir, "documents")))
+    """Media and tensors are both stored and read back; the feature digests what was read."""
+    media = durable(audio.store(table(spark, sf_dir, "documents")), compression="zstd")
+    found = audio.digest(durable(audio.describe(media), compression="zstd"))
     loud = F.array_join(F.transform("segments", lambda s: F.format_string("%.3f-%.3f", s["start"], s["end"])), ",")
-    digest = F.sha2(F.concat_ws("|", F.hex(F.xxhash64("tensors")), loud), 256)
     return found.select(
         "doc_id",
         "n_bytes",
@@ -92,7 +93,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tail_crc32",
         "media_bytes",
         "media_sha256",
-        F.format_string("logmel:%dx%d:%d:%s", "n_frames", F.lit(audio.MELS), F.size("segments"), digest).alias("feature"),
+        F.format_string("logmel:%d:%s:%d:%s", "n_frames", "shape", F.size("segments"), F.sha2(F.concat_ws("|", "tensor_sha256", loud), 256)).alias("feature"),
     )
 
 

@@ -552,12 +552,23 @@ def test_media(spark, docs):
     assert out.loc[60].payload_bytes == 576 and out.loc[61].payload_bytes == 1152 and out.loc[5].payload_bytes == 576
     assert out.loc[5].tail_crc32 == zlib.crc32(b"\xff" * 32)
     assert out.loc[0].payload_sha256 == hashlib.sha256(texts[0] + b"\xff" * (-len(texts[0]) % 576)).hexdigest()
-    values = lambda i: np.stack([np.asarray(b["values"]) for b in out.loc[i].tensors])
-    assert np.array_equal(values(0), values(1))
-    import pyarrow as pa
-
-    tensors = audio.as_tensors(pa.array([b["values"] for b in out.loc[0].tensors], pa.list_(pa.float32())))
-    assert tensors.to_numpy_ndarray().shape[1:] == (audio.BLOCK, audio.MELS)
+    values = lambda i: audio.read_tensors(out.loc[i].tensors)["values"].chunk(0)
+    assert values(0).type.shape == [audio.BLOCK, audio.MELS] and out.loc[0].tensors == out.loc[1].tensors
+    kept = audio.digest(audio.describe(stored)).toPandas().set_index("doc_id")
+    assert kept.loc[0].tensor_sha256 == kept.loc[1].tensor_sha256 != kept.loc[2].tensor_sha256 and kept.loc[0]["shape"] == f"{len(values(0))}x64x24"
+    # log-mel energies of a row by plain sums
+    data = np.frombuffer(texts[9] + b"\xff" * (-len(texts[9]) % 576), np.uint8)
+    length = -(-len(data) * audio.UP // audio.DOWN)
+    signal = audio.resample(data, 0, length + audio.WINDOW, audio.low_pass())
+    bank, shape = audio.mel_bank(audio.RATE * audio.UP / audio.DOWN), np.hanning(audio.WINDOW)
+    k, n = np.meshgrid(np.arange(audio.WINDOW // 2 + 1), np.arange(audio.WINDOW), indexing="ij")
+    wave = np.exp(-2j * np.pi * k * n / audio.WINDOW)
+    mels = values(9).to_numpy_ndarray().reshape(-1, audio.MELS)
+    for f in range(int(out.loc[9].n_frames)):
+        power = np.abs(wave @ (signal[f * audio.HOP : f * audio.HOP + audio.WINDOW] * shape)) ** 2
+        assert np.abs(mels[f] - np.log(power @ bank + audio.FLOOR)).max() < 0.02
+    spans = audio.read_tensors(out.loc[11].tensors)
+    assert spans["start"].to_pylist()[1:] == spans["end"].to_pylist()[:-1] and spans["start"][0].as_py() == 0
     taps = audio.low_pass()
     x = np.random.default_rng(0).integers(0, 256, 500).astype(np.uint8)
     whole = audio.resample(x, 0, 375, taps)
