@@ -11,7 +11,9 @@ that never saw their fold, turns it into a probability.
 Characters are folded to ``SYMBOLS`` = 32 classes (letters without case, digits,
 separators, four classes of non-ASCII bytes), which bounds a model at
 ``SYMBOLS ** ORDER`` entries (4 MB) whatever the corpus.  Counts cover every
-labelled text.
+labelled text.  The price: scripts without ASCII letters are streams of four symbols, in
+which different words look alike, so toxic expressions there are told apart poorly;
+accented letters merge likewise.
 """
 
 from __future__ import annotations

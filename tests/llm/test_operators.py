@@ -2,6 +2,7 @@
 empty tables and clashing columns, against brute force where there is one."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -291,6 +292,11 @@ def test_packing(spark, docs):
     packed = packing.pack(once, capacity=256)
     sizes = {r.sequence_id: r.length for r in packed.groupBy("sequence_id").agg(F.sum("length").alias("length")).collect()}
     assert {r.sequence_id: len(r.ids) for r in packing.token_sequences(once, packed, 256).collect()} == sizes
+    given = "/root/testdata/sf0.001/documents.parquet"
+    if os.path.exists(given):
+        encoder = packing.Encoder(*packing.public_paths())
+        for r in spark.read.parquet(given).collect():
+            assert encoder.ids(r.text or "").tolist() == tokenizer.encode(r.text or "", add_special_tokens=False).ids, r.doc_id
     text = "word  two\n\n three " * 20000
     whole = packing.Encoder(*packing.public_paths())
     assert np.array_equal(whole.ids(text), np.array(tokenizer.encode(text, add_special_tokens=False).ids))
@@ -330,6 +336,46 @@ def test_toxicity(spark, docs):
     assert counts.sum() == 1 + 300000 * 8 - toxicity.ORDER + 1
 
 
+def test_kneser_ney_by_brute_force():
+    rng = np.random.default_rng(12)
+    order, size, d = toxicity.ORDER, toxicity.SYMBOLS, toxicity.DISCOUNT
+    counts = [{}, {}]
+    for c in counts:
+        for _ in range(400):
+            gram = tuple(int(x) for x in rng.integers(0, 5, order))
+            c[gram] = c.get(gram, 0) + 1
+    tables = []
+    for c in counts:
+        t = np.zeros(toxicity.SIZE, np.int64)
+        for gram, n in c.items():
+            t[sum(x * size ** (order - 1 - k) for k, x in enumerate(gram))] = n
+        tables.append(t)
+
+    seen = set(counts[0]) | set(counts[1])
+
+    def before(run):
+        """In how many ways a shorter run goes on to the left."""
+        grams = {g[order - len(run) - 1 :] for g in seen}
+        return sum(g[1:] == run for g in grams)
+
+    def probability(of, run):
+        if not run[1:]:
+            own, rest = of, 1 / size
+        else:
+            own, rest = of, probability(before, run[1:])
+        row = [own((*run[:-1], x)) for x in range(size)]
+        if not sum(row):
+            return rest
+        return (max(own(run) - d, 0) + d * sum(x > 0 for x in row) * rest) / sum(row)
+
+    ratio = toxicity.kneser_ney(*tables)
+    grams = sorted(seen)[:20] + [(1, 2, 3, 9), (9, 9, 9, 9), (4, 0, 9, 1)]
+    for gram in grams:
+        p = [probability(lambda g, c=c: c.get(g, 0), gram) for c in counts]
+        at = sum(x * size ** (order - 1 - k) for k, x in enumerate(gram))
+        assert ratio[at] == pytest.approx(np.log(p[1]) - np.log(p[0]), abs=1e-4)
+
+
 def brute_components(rows, size, percent):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
