@@ -99,3 +99,14 @@ def projection_area(x1: Column, y1: Column, x2: Column, y2: Column, p1x: Column,
     """Area between a segment and the projection of its ends."""
     cross = lambda ax, ay, bx, by: F.abs(ax * by - ay * bx)
     return (cross(x2 - x1, y2 - y1, p1x - x1, p1y - y1) + cross(p2x - p1x, p2y - p1y, p2x - x2, p2y - y2)) / 2
+
+
+def downward(x0: Column, y0: Column, x1: Column, y1: Column, n0: Column, n1: Column) -> Column:
+    """``struct(n0, n1)`` of a segment turned so that y does not fall."""
+    up = y1 < y0
+    return F.struct(F.when(up, n1).otherwise(n0).alias("n0"), F.when(up, n0).otherwise(n1).alias("n1"))
+
+
+def turn_angle(before: Column, after: Column) -> Column:
+    """Signed change of direction in [-pi, pi)."""
+    return F.pmod(after - before + math.pi, F.lit(2 * math.pi)) - math.pi

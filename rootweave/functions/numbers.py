@@ -58,3 +58,27 @@ def vesselness(l1: Column, l2: Column, beta: float = 0.5, c: float = 15.0) -> Co
     blob = (l1 / F.when(l2 == 0, F.lit(1e-12)).otherwise(l2)) ** 2
     strength = l1 * l1 + l2 * l2
     return F.when(l2 < 0, F.lit(0.0)).otherwise(F.exp(-blob / (2 * beta**2)) * (1 - F.exp(-strength / (2 * c**2))))
+
+
+def gradient_covariance(gy: Column, gx: Column) -> Column:
+    """``struct(a, b, c)`` of the symmetric matrix of a gradient's products."""
+    return F.struct((gy * gy).alias("a"), (gy * gx).alias("b"), (gx * gx).alias("c"))
+
+
+def ridge(l1: Column, l2: Column, least: float = 0.0) -> Column:
+    """Whether a Hessian's eigenvalues make a dark line: strongly bent across, not along."""
+    return (l2 > least) & (F.abs(l1) < F.abs(l2) / 2)
+
+
+def as_whole(v: Column) -> Column:
+    """A whole number, or null where the value is none."""
+    d = v.try_cast("double")
+    return F.when(d == F.floor(d), d.cast("bigint"))
+
+
+def is_whole(v: Column) -> Column:
+    return F.coalesce(as_whole(v).isNotNull(), F.lit(False))
+
+
+def is_number(v: Column) -> Column:
+    return v.try_cast("double").isNotNull()

@@ -96,3 +96,14 @@ def numbered(text: Column, name: str) -> Column:
 def relocate(c: Column, old: str, new: str) -> Column:
     """Replace a path prefix."""
     return F.when(c.startswith(old), F.concat(F.lit(new), c.substr(F.lit(len(old) + 1), F.length(c)))).otherwise(c)
+
+
+def typed_literal(text: Column) -> Column:
+    """A literal's value by kind: ``struct(kind, number, items, text)`` with the number of
+    an ``int`` or ``float`` and the trimmed items of a flat list."""
+    kind = literal_kind(text)
+    inner = F.regexp_replace(F.trim(text), r"^[\[(]|[\])]$", "")
+    items = F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.struct(
+        kind.alias("kind"), F.when(kind.isin("int", "float"), text.try_cast("double")).alias("number"), F.when(kind == "list", items).alias("items"), F.when(kind == "str", text).alias("text")
+    )

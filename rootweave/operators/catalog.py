@@ -181,3 +181,101 @@ def induced_subgraph(nodes: DataFrame, edges: DataFrame, kept: DataFrame) -> tup
 def crop(raster: DataFrame, y0: int, x0: int, y1: int, x1: int) -> DataFrame:
     inside = F.col("y").between(y0, y1 - 1) & F.col("x").between(x0, x1 - 1)
     return raster.where(inside).withColumns({"y": F.col("y") - y0, "x": F.col("x") - x0})
+
+
+def drop_temporary(df: DataFrame, prefix: str = "_") -> DataFrame:
+    """``df`` without the columns whose name starts with ``prefix``."""
+    return df.drop(*[c for c in df.columns if c.startswith(prefix)])
+
+
+def equal_records(a: Column, b: Column, fields: list[str]) -> Column:
+    """Whether two records agree in every field; null equals null only."""
+    same = F.lit(True)
+    for f in fields:
+        same = same & a[f].eqNullSafe(b[f])
+    return same
+
+
+def key_mask(rows: DataFrame, keys: list[str], mask: DataFrame) -> DataFrame:
+    """Rows whose keys are in ``mask``."""
+    return rows.join(mask.select(*keys).distinct(), keys, "left_semi")
+
+
+def valid_segments(segments: DataFrame, dummy: int = 0) -> DataFrame:
+    """Segments with both ends known: neither null nor the dummy node."""
+    return segments.where((F.col("n0") != dummy) & (F.col("n1") != dummy))
+
+
+def words_by(words: DataFrame, ids: list[int] | None = None, regex: str | None = None) -> DataFrame:
+    """Words with an id of ``ids`` or from a file whose name fits ``regex``."""
+    wanted = F.lit(False)
+    if ids is not None:
+        wanted = wanted | F.col("word").isin(ids)
+    if regex is not None:
+        wanted = wanted | F.col("file").rlike(regex)
+    return words.where(wanted)
+
+
+def append_reference(items: DataFrame, reference: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """``items`` with the reference's ``tree`` as column ``name``, and the items without one.
+    Of several reference rows with equal keys the greatest counts."""
+    one = reference.groupBy(*keys).agg(F.max("tree").alias(name))
+    joined = items.join(one, keys, "left")
+    return joined, items.join(one.where(F.col(name).isNotNull()).select(*keys), keys, "left_anti")
+
+
+def complete_pairs(items: DataFrame, first: str, second: str) -> DataFrame:
+    """Items that hold both trees."""
+    return items.where(F.col(first).isNotNull() & F.col(second).isNotNull())
+
+
+def is_grouped(df: DataFrame) -> bool:
+    return "members" in df.columns
+
+
+def members(df: DataFrame, item: str) -> DataFrame:
+    """The items of all groups of ``group_items``, one row each, with their keys; a table
+    that is not grouped is returned as it is."""
+    return df.select(*[c for c in df.columns if c not in ("n", "members")], F.explode("members").alias(item)) if is_grouped(df) else df
+
+
+def common(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows that stand in both tables."""
+    return a.intersect(b)
+
+
+def unmatched_ids(a: DataFrame, b: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct ids of each table that the other lacks."""
+    one, two = a.select(key).distinct(), b.select(key).distinct()
+    return one.join(two, key, "left_anti"), two.join(one, key, "left_anti")
+
+
+def unique_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*columns).distinct()
+
+
+def numeric_order(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """``df`` with ``place`` from 0 by the last number in ``name``, then by ``order``; names
+    without a number come last."""
+    from rootweave.functions import text as tx
+
+    number = tx.last_number(F.col(name))
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*order[:1]).orderBy(F.asc_nulls_last(number), *order[1:])) - 1)
+
+
+def make_items(paths: DataFrame, ini: str, base: str = "") -> tuple[DataFrame, DataFrame]:
+    """Items of ``paths(filename)`` as an ini text describes them, and the rejected rows.
+
+    Its section ``[PATTERN]`` has ``pattern`` and ``group``, a list such as ``0:A, 1:B``;
+    ``[metadata]`` has the defaults; other sections hold what a group adds."""
+    spark = paths.sparkSession
+    import configparser
+
+    told = configparser.ConfigParser(delimiters=("=",))
+    told.read_string(ini)
+    groups = {int(k): v.strip() for k, v in (x.split(":") for x in told.get("PATTERN", "group", fallback="").split(",") if x.strip())}
+    defaults = dict(told["metadata"]) if told.has_section("metadata") else {}
+    good, bad = split_valid(parse_paths(paths, told.get("PATTERN", "pattern"), base))
+    rows = positional_group(good, groups) if groups else good.withColumn("group", F.lit(None).cast("string"))
+    sections = read_sections(spark, ini).where(~F.col("section").isin("PATTERN", "metadata"))
+    return layered(rows, defaults, sections, F.col("group")), bad

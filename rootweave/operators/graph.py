@@ -64,14 +64,14 @@ EDGE_VALUES: dict[str, Callable[[Column, Column, Column], Column]] = {
 }
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """``item_key, node_id, component``: the least node reachable, isolated nodes too.
 
     Large-star and small-star rounds until the edges stay the same: both are a
     minimum by node and a join, so no neighbourhood is gathered."""
     e = edges.where("a <> b").select(ITEM, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, before = settle(e), None
-    for _ in range(most):
+    for _ in rounds(most):
         both = e.union(e.select(ITEM, F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(ITEM, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, [ITEM, "a"]).where("b > a and b <> m").select(ITEM, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -139,13 +139,42 @@ def shortest_paths(
     return best
 
 
-def ancestors(parents: DataFrame, most: int = 40) -> DataFrame:
+def longest_way(parents: DataFrame) -> int:
+    """The number of nodes of the largest item: no way to a root is longer."""
+    return parents.groupBy(ITEM).count().agg(F.max("count")).first()[0] or 0
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """``item_key, node_id, root, steps`` of ``parents(item_key, node_id, parent)`` by pointer
+    doubling; one row a node in every round.  A parent that is no node is a root.
+    Parents that make a cycle raise."""
+    bound, size = longest_way(parents), 1
+    state = parents.select(ITEM, "node_id", F.coalesce("parent", "node_id").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("steps"))
+    state = settle(state)
+    while True:
+        on = state.where("steps > 0").select(ITEM, F.col("node_id").alias("root"), F.col("root").alias("next"), F.col("steps").alias("more"))
+        moved = state.join(on, [ITEM, "root"], "left")
+        state = settle(moved.select(ITEM, "node_id", F.coalesce("next", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("on")))
+        if state.where("on").isEmpty():
+            return state.drop("on")
+        if size > bound:
+            raise ValueError("parents make a cycle")
+        size *= 2
+        state = state.drop("on")
+
+
+def ancestors(parents: DataFrame) -> DataFrame:
     """``item_key, node_id, ancestor, steps`` of ``parents(item_key, node_id, parent)`` by
-    pointer doubling: every node's whole way to its root, itself at step 0."""
+    pointer doubling: every node's whole way to its root, itself at step 0, so there are
+    as many rows as nodes times steps (``roots`` gives the ends alone).  Parents that
+    make a cycle raise."""
+    bound = longest_way(parents)
     hop = settle(parents.where("parent is not null").select(ITEM, "node_id", F.col("parent").alias("to")))
     known = parents.select(ITEM, "node_id", F.col("node_id").alias("ancestor"), F.lit(0).alias("steps"))
     size = 1
-    for _ in range(most):
+    for _ in rounds():
+        if size > 2 * bound:
+            raise ValueError("parents make a cycle")
         on = hop.select(ITEM, F.col("node_id").alias("ancestor"), "to")
         more = known.join(on, [ITEM, "ancestor"]).select(ITEM, "node_id", F.col("to").alias("ancestor"), (F.col("steps") + size).alias("steps"))
         known = settle(known.union(more))
@@ -184,7 +213,7 @@ def digraph(segments: DataFrame) -> DataFrame:
     return one.join(two, [ITEM, "node_id"]).where("a <> b").select(ITEM, "a", "b")
 
 
-def segment_direction(segments: DataFrame, edges: DataFrame, fixed: DataFrame, most: int = 200) -> DataFrame:
+def segment_direction(segments: DataFrame, edges: DataFrame, fixed: DataFrame, most: int | None = None) -> DataFrame:
     """``item_key, seg_id, flip``: directions that follow the cheapest connections.
 
     ``edges(item_key, s1, side1, s2, side2, cost)`` join ends of segments; two joined
@@ -197,7 +226,7 @@ def segment_direction(segments: DataFrame, edges: DataFrame, fixed: DataFrame, m
     state = settle(state.select(ITEM, "seg_id", F.col("seg_id").alias("grp"), F.coalesce("flip", F.lit(False)).alias("flip"), F.col("flip").isNotNull().alias("fast")))
     e = edges.where("s1 < s2").withColumn("differ", F.col("side1") == F.col("side2"))
     live = settle(e.select(ITEM, "s1", "s2", "differ", "cost"))
-    for _ in range(most):
+    for _ in rounds(most):
         side = lambda k: state.select(ITEM, F.col("seg_id").alias(f"s{k}"), F.col("grp").alias(f"g{k}"), F.col("flip").alias(f"f{k}"))  # noqa: E731, B023
         rows = live.join(side(1), [ITEM, "s1"]).join(side(2), [ITEM, "s2"]).where("g1 <> g2")
         # whether the second group must turn, given how its members lie now
@@ -292,9 +321,10 @@ def branch_segments(edges: DataFrame, axe: DataFrame) -> DataFrame:
     return touching.groupBy(ITEM, F.col("b").alias("seg_id")).agg(F.min_by("a", F.struct("pos", "a")).alias("on"))
 
 
-def markov_clusters(edges: DataFrame, inflation: float = 2.0, prune: float = 1e-4, most: int = 60) -> DataFrame:
+def markov_clusters(edges: DataFrame, inflation: float = 2.0, prune: float = 1e-4, most: int = 200) -> DataFrame:
     """``item_key, node_id, cluster`` of a weighted graph by flow: expand (a sparse square
-    of the column-stochastic matrix) and inflate until it stays the same."""
+    of the column-stochastic matrix) and inflate until it stays the same; flow that is
+    not settled after ``most`` rounds raises."""
     def stochastic(m):
         total = m.groupBy(ITEM, "b").agg(F.sum("w").alias("t"))
         return m.join(total, [ITEM, "b"]).select(ITEM, "a", "b", (F.col("w") / F.col("t")).alias("w"))
@@ -303,7 +333,7 @@ def markov_clusters(edges: DataFrame, inflation: float = 2.0, prune: float = 1e-
     nodes = both.select(ITEM, F.col("a").alias("node_id")).distinct()
     loops = both.groupBy(ITEM, "a").agg(F.max("w").alias("w")).select(ITEM, "a", F.col("a").alias("b"), "w")
     m = settle(stochastic(both.where("a <> b").union(loops).groupBy(ITEM, "a", "b").agg(F.sum("w").alias("w"))))
-    for _ in range(most):
+    for _ in rounds(most):
         right = m.select(ITEM, F.col("a").alias("k"), "b", F.col("w").alias("wr"))
         square = m.withColumnRenamed("b", "k").join(right, [ITEM, "k"]).groupBy(ITEM, "a", "b").agg(F.sum(F.col("w") * F.col("wr")).alias("w"))
         new = settle(stochastic(stochastic(square.withColumn("w", F.pow("w", F.lit(inflation)))).where(F.col("w") > prune)))

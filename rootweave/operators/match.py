@@ -3,6 +3,8 @@ overlap, nearest neighbours, suppression."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -63,6 +65,7 @@ def close_pairs(points: DataFrame, keys: list[str], radius: float) -> DataFrame:
 def point_segment_distance(points: DataFrame, segments: DataFrame, keys: list[str], radius: float) -> DataFrame:
     """``keys, point_id, seg_id, d, px, py, t`` for points and segments at most
     ``radius`` apart: a segment is filed under every grid cell its padded box touches.
+    ``nearest_segment`` finds the nearest one however far it is.
 
     ``points(keys, point_id, x, y)``, ``segments(keys, seg_id, x0, y0, x1, y1)``."""
     cell = lambda v: F.floor(v / radius).cast("long")
@@ -75,6 +78,28 @@ def point_segment_distance(points: DataFrame, segments: DataFrame, keys: list[st
     return rows.select(*keys, "point_id", "seg_id", "p.d", F.col("p.x").alias("px"), F.col("p.y").alias("py"), "p.t")
 
 
+def nearest_segment(points: DataFrame, segments: DataFrame, keys: list[str], radius: float | None = None) -> DataFrame:
+    """``keys, point_id, d, seg_id, px, py, t``: the nearest segment with a point's keys, ties
+    to the smaller id; points without any segment of their keys are left out.
+
+    The search starts at ``radius`` (by default the mean extent of the segments) and
+    doubles it for the points that have found nothing, so no pair is cut off."""
+    if radius is None:
+        extent = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
+        radius = segments.agg(F.avg(extent)).first()[0] or 1.0
+    left = settle(points.select(*keys, "point_id", "x", "y").join(segments.select(*keys).distinct(), keys, "left_semi").where("x is not null and y is not null"))
+    segments = segments.where("x0 is not null and y0 is not null and x1 is not null and y1 is not null")
+    found = None
+    while not left.isEmpty():
+        near = point_segment_distance(left, segments, keys, radius)
+        best = near.groupBy(*keys, "point_id").agg(F.min(F.struct("d", "seg_id", "px", "py", "t")).alias("b")).select(*keys, "point_id", "b.*")
+        best = settle(best)
+        found = best if found is None else found.union(best)
+        left = settle(left.join(best.select(*keys, "point_id"), [*keys, "point_id"], "left_anti"))
+        radius *= 2
+    return found if found is not None else point_segment_distance(left, segments, keys, radius).select(*keys, "point_id", "d", "seg_id", "px", "py", "t")
+
+
 def nearest_per_axe(distances: DataFrame, axe_segments: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, point_id, axe_id, d, seg_id, px, py``: the nearest segment of every axis."""
     rows = distances.join(axe_segments, [*keys, "seg_id"])
@@ -82,15 +107,15 @@ def nearest_per_axe(distances: DataFrame, axe_segments: DataFrame, keys: list[st
     return best.select(*keys, "point_id", "axe_id", "b.*")
 
 
-def nearest_parent(axes: DataFrame, points: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
+def nearest_parent(axes: DataFrame, points: DataFrame, segments: DataFrame, radius: float | None = None) -> DataFrame:
     """``item_key, axe_id, parent_segment, d, t``: the segment of the order below, in the
-    same plant, nearest to an axis' first point; segments carry ``plant, ord``."""
+    same plant, nearest to an axis' first point, however far; segments carry ``plant,
+    ord``.  ``radius`` is where the search starts."""
     starts = axes.join(points, ["item_key", "axe_id"]).where("ord > 1")
     starts = starts.select("item_key", "plant", (F.col("ord") - 1).alias("ord"), F.col("axe_id").alias("point_id"), "x", "y")
     keys = ["item_key", "plant", "ord"]
-    near = point_segment_distance(starts, segments, keys, radius)
-    best = near.groupBy("item_key", F.col("point_id").alias("axe_id")).agg(F.min(F.struct("d", "seg_id", "t")).alias("b"))
-    return best.select("item_key", "axe_id", F.col("b.seg_id").alias("parent_segment"), "b.d", "b.t")
+    near = nearest_segment(starts, segments, keys, radius)
+    return near.select("item_key", F.col("point_id").alias("axe_id"), F.col("seg_id").alias("parent_segment"), "d", "t")
 
 
 def box_overlap(boxes: DataFrame, keys: list[str], cell: float) -> DataFrame:
@@ -222,3 +247,50 @@ def robust_affine(pairs: DataFrame, keys: list[str], draws: int = 64, tolerance:
     best = settle(best.select(*keys, F.negate("b.nd").alias("draw"), "b.inliers").join(models, [*keys, "draw"]))
     again = pairs.join(best, keys).where(F.hypot(p["x"] - F.col("u"), p["y"] - F.col("v")) <= tolerance)
     return normal_equations(again, keys).join(best.select(*keys, "inliers"), keys)
+
+
+def homography(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, n, m``: homography from ``(x, y)`` to ``(u, v)`` by the normalised direct linear
+    transform; ``m`` is a 3 x 3 matrix row by row with m[8] = 1, null for fewer than four
+    pairs.
+
+    Spark sums the 45 products of the equations of every group; a task only finds the
+    eigenvector of a 9 x 9 matrix."""
+    rows = pairs.where("x is not null and y is not null and u is not null and v is not null")
+    mid = rows.groupBy(*keys).agg(*[F.avg(c).alias(f"m{c}") for c in "xyuv"], F.count("*").alias("n"))
+    near = rows.join(mid, keys)
+    away = lambda a, b: F.avg(F.hypot(F.col(a) - F.col(f"m{a}"), F.col(b) - F.col(f"m{b}")))
+    size = near.groupBy(*keys).agg(away("x", "y").alias("s1"), away("u", "v").alias("s2"))
+    near = near.join(size, keys)
+    scale = lambda c, s: (F.col(c) - F.col(f"m{c}")) * F.lit(2.0**0.5) / F.when(F.col(s) > 0, F.col(s)).otherwise(1.0)
+    near = near.withColumns({"px": scale("x", "s1"), "py": scale("y", "s1"), "pu": scale("u", "s2"), "pv": scale("v", "s2")})
+    x, y, u, v, one, zero = F.col("px"), F.col("py"), F.col("pu"), F.col("pv"), F.lit(1.0), F.lit(0.0)
+    first = [-x, -y, -one, zero, zero, zero, u * x, u * y, u]
+    second = [zero, zero, zero, -x, -y, -one, v * x, v * y, v]
+    sums = [F.sum(first[i] * first[j] + second[i] * second[j]).alias(f"a{i}{j}") for i in range(9) for j in range(i, 9)]
+    total = near.groupBy(*keys).agg(*sums).join(mid, keys).join(size, keys)
+    cells = F.array(*[F.col(f"a{min(i, j)}{max(i, j)}") for i in range(9) for j in range(9)])
+    frame = F.array(*[F.col(c) for c in ("mx", "my", "s1", "mu", "mv", "s2")])
+
+    @F.pandas_udf("array<double>")
+    def solve(a: pd.Series, f: pd.Series) -> pd.Series:
+        out = []
+        for cell, (mx, my, s1, mu, mv, s2) in zip(a, f):
+            h = np.linalg.eigh(np.array(cell).reshape(9, 9))[1][:, 0].reshape(3, 3)
+            k1, k2 = 2**0.5 / (s1 or 1.0), 2**0.5 / (s2 or 1.0)
+            there = np.array([[k1, 0, -k1 * mx], [0, k1, -k1 * my], [0, 0, 1]])
+            back = np.array([[1 / k2, 0, mu], [0, 1 / k2, mv], [0, 0, 1]])
+            m = back @ h @ there
+            out.append((m / m[2, 2]).ravel().tolist())
+        return pd.Series(out)
+
+    return total.select(*keys, "n", F.when(F.col("n") >= 4, solve(cells, frame)).alias("m"))
+
+
+def item_transforms(pairs: DataFrame, reference: str, draws: int = 64) -> DataFrame:
+    """``item_key, m``: robust affine transform of each item to the reference item; the
+    identity for itself.  ``pairs(item_key, x, y, u, v)``: matched points of an item and
+    the reference."""
+    fitted = robust_affine(pairs.where(F.col("item_key") != reference), ["item_key"], draws).select("item_key", "m")
+    own = pairs.sparkSession.createDataFrame([(reference,)], "item_key string").select("item_key", g.identity().alias("m"))
+    return fitted.union(own)

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 ITEM = "item_key"
@@ -220,40 +223,54 @@ def axes_property(plants: DataFrame, axes: DataFrame, name: str, mask: Column |
     return joined.groupBy(ITEM, "plant").agg(F.transform(pairs, lambda p: p["v"]).alias("values"))
 
 
-def turn(a: Column, b: Column, c: Column) -> Column:
-    return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+#: Points of one part of a group whose hull is taken at once, about.
+HULL_PART = 50_000
 
 
-def hull(points: DataFrame, keys: list[str], strips: int = 1024) -> DataFrame:
+def convex_chain(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Indices of the convex hull's corners, counter-clockwise from the leftmost lowest
+    point; of fewer than three distinct points, all of them."""
+    order = np.lexsort((y, x))
+    order = order[np.concatenate([[True], (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)])] if len(order) else order
+    if len(order) < 3:
+        return order
+
+    def half(points):
+        chain: list[int] = []
+        for p in points:
+            while len(chain) > 1:
+                a, b = chain[-2:]
+                if (x[b] - x[a]) * (y[p] - y[a]) - (y[b] - y[a]) * (x[p] - x[a]) > 0:
+                    break
+                chain.pop()
+            chain.append(p)
+        return chain[:-1]
+
+    return np.array(half(order.tolist()) + half(order[::-1].tolist()))
+
+
+def hull(points: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, hull``: the convex hull of each group's points ``x, y``, counter-clockwise
-    from the leftmost lowest; fewer than three points give themselves.
-
-    Only the extreme points of each of ``strips`` vertical strips of a group can be on
-    its hull, so at most 4 * ``strips`` points of a group ever meet."""
-    rows = points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
-    spans = rows.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    strip = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * strips)).otherwise(F.lit(0))
-    placed = rows.join(spans, keys).withColumn("strip", strip)
-    xy = F.struct("x", "y")
-    extreme = placed.groupBy(*keys, "strip").agg(
-        F.array(F.min(xy), F.max(xy), F.min_by(xy, F.struct("y", "x")), F.max_by(xy, F.struct("y", "x")), F.min_by(xy, F.struct("x", F.negate("y"))), F.max_by(xy, F.struct("x", F.negate("y")))).alias("p")
-    )
-    gathered = extreme.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("p"))
+    from the leftmost lowest; fewer than three points give themselves.  Points with a
+    null coordinate don't count.
 
-    def half(p: Column) -> Column:
-        def add(chain, q):
-            # drop points that make no left turn, at most as many as there are
-            def pop(c, _):
-                bad = (F.size(c) >= 2) & (turn(F.get(c, F.size(c) - 2), F.get(c, F.size(c) - 1), q) <= 0)
-                return F.when(bad, F.slice(c, F.lit(1), F.size(c) - 1)).otherwise(c)
+    A point inside the hull of some of the points is inside the whole one, so a large
+    group is dealt into parts, and only the corners of the parts' hulls meet."""
+    rows = points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null").distinct()
+    parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(HULL_PART)).cast("int").alias("parts"))
+    dealt = rows.join(parts, keys).select(*keys, F.pmod(F.xxhash64("x", "y"), F.col("parts")).alias("part"), "x", "y")
 
-            return F.concat(F.aggregate(chain, chain, pop), F.array(q))
+    def corners(group: pd.DataFrame) -> pd.DataFrame:
+        return group.iloc[convex_chain(group["x"].to_numpy(), group["y"].to_numpy())]
 
-        return F.aggregate(p, F.slice(p, F.lit(1), F.lit(0)), add)
+    def ring(group: pd.DataFrame) -> pd.DataFrame:
+        found = corners(group)
+        head = {k: [group[k].iloc[0]] for k in keys}
+        return pd.DataFrame({**head, "hull": [[{"x": a, "y": b} for a, b in zip(found["x"].tolist(), found["y"].tolist())]]})
 
-    ends = gathered.withColumn("lower", half(F.col("p"))).withColumn("upper", half(F.reverse("p")))
-    ring = F.concat(F.slice("lower", F.lit(1), F.greatest(F.size("lower") - 1, F.lit(0))), F.slice("upper", F.lit(1), F.greatest(F.size("upper") - 1, F.lit(0))))
-    return ends.select(*keys, F.when(F.size("p") < 3, F.col("p")).otherwise(ring).alias("hull"))
+    some = dealt.groupBy(*keys, "part").applyInPandas(corners, dealt.schema)
+    schema = T.StructType([dealt.schema[k] for k in keys] + [T.StructField("hull", T.ArrayType(T.StructType([dealt.schema["x"], dealt.schema["y"]])))])
+    return some.groupBy(*keys).applyInPandas(ring, schema)
 
 
 def polygon_area(ring: Column) -> Column:
@@ -275,3 +292,32 @@ def pixel_size(area: Column, plate_size: Column | float, shape: str = "square",
     else:
         width = 2 * F.sqrt(area / F.pi()) if true_circle else F.sqrt(area) / F.pi()
     return F.lit(plate_size) / width if not isinstance(plate_size, Column) else plate_size / width
+
+
+def axis_turns(axe_segments: DataFrame, segments: DataFrame) -> DataFrame:
+    """``item_key, axe_id, pos, turn, length``: change of direction from the segment before
+    (0 for the first) and length of every segment of an axis; ``segments`` needs
+    ``direction, length``."""
+    from rootweave.functions import geometry as g
+
+    rows = axe_segments.join(segments.select(ITEM, "seg_id", "direction", "length"), [ITEM, "seg_id"])
+    before = F.lag("direction").over(Window.partitionBy(ITEM, "axe_id").orderBy("pos"))
+    return rows.select(ITEM, "axe_id", "pos", F.coalesce(g.turn_angle(before, F.col("direction")), F.lit(0.0)).alias("turn"), "length")
+
+
+def segment_size(segments: DataFrame) -> DataFrame:
+    """``segments`` with ``radius``: half the area over the length, which is 1 at least."""
+    return segments.withColumn("radius", 0.5 * F.col("area") / F.greatest("length", F.lit(1.0)))
+
+
+def run_length(runs: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``item_key, run, length, n``: total length of unbranched runs ``(item_key, seg_id, run)``."""
+    return runs.join(lengths.select(ITEM, "seg_id", "length"), [ITEM, "seg_id"]).groupBy(ITEM, "run").agg(F.sum("length").alias("length"), F.count("*").alias("n"))
+
+
+def crossing_descriptor(ends: DataFrame, bins: int = 8) -> DataFrame:
+    """``item_key, node_id, histogram``: lengths by direction (from -pi, ``bins`` sectors) of
+    the runs that meet at a node; ``ends(item_key, node_id, direction, length)``."""
+    at = F.least(F.floor((F.col("direction") + F.pi()) / (2 * F.pi()) * bins), F.lit(bins - 1)).cast("int")
+    cells = [F.coalesce(F.sum(F.when(F.col("bin") == k, F.col("length"))), F.lit(0.0)) for k in range(bins)]
+    return ends.withColumn("bin", at).groupBy(ITEM, "node_id").agg(F.array(*cells).alias("histogram"))

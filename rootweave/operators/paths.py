@@ -77,11 +77,11 @@ def crop_to_order(paths: DataFrame, orders: DataFrame) -> DataFrame:
     return kept.select(ITEM, F.col("path_id").alias("axe_id"), pos.alias("pos"), "seg_id")
 
 
-def propagate_orders(axes: DataFrame, most: int = 64) -> DataFrame:
+def propagate_orders(axes: DataFrame) -> DataFrame:
     """``item_key, axe_id, ord, plant``: order = that of the parent + 1 and the parent's
     plant, from axes without parent down."""
-    way = graph.ancestors(axes.select(ITEM, F.col("axe_id").alias("node_id"), "parent"), most)
-    depth = way.groupBy(ITEM, F.col("node_id").alias("axe_id")).agg((F.max("steps") + 1).alias("ord"), F.max_by("ancestor", "steps").alias("root"))
+    way = graph.roots(axes.select(ITEM, F.col("axe_id").alias("node_id"), "parent"))
+    depth = way.select(ITEM, F.col("node_id").alias("axe_id"), (F.col("steps") + 1).alias("ord"), "root")
     plants = axes.select(ITEM, F.col("axe_id").alias("root"), "plant")
     return depth.join(plants, [ITEM, "root"]).select(ITEM, "axe_id", "ord", "plant")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -165,22 +167,91 @@ def local_minima(raster: DataFrame, radius: int, strict: bool = False) -> DataFr
     return ranked.where("r.y = y and r.x = x").drop("r")
 
 
-def distance_transform(raster: DataFrame, features: DataFrame) -> DataFrame:
-    """``item_key, y, x, d, fy, fx``: Euclidean distance to the nearest feature cell, and
-    that cell.  The nearest feature of each row on either side, then per column of rows
-    the least of the sums of squares; a row is compared with the item's rows."""
+def column_envelope(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one column of an item: for every cell the row whose nearest feature is nearest
+    to it, by the lower envelope of the rows' parabolas."""
+    rows = rows.sort_values("y", kind="stable")
+    has = rows[rows["fx"].notna()]
+    out = rows[["item_key", "y", "x"]].copy()
+    if not len(has):
+        out["d2"], out["fy"], out["fx"] = np.nan, pd.array([pd.NA] * len(out), "Int32"), pd.array([pd.NA] * len(out), "Int32")
+        return out
+    ys, fx = has["y"].to_numpy(np.int64), has["fx"].to_numpy().astype(np.int64)
+    height = (fx - int(rows["x"].iloc[0])) ** 2
+    front, start = [0], [-np.inf]
+    for k in range(1, len(ys)):
+        while True:
+            p = front[-1]
+            at = ((height[k] + ys[k] ** 2) - (height[p] + ys[p] ** 2)) / (2 * (ys[k] - ys[p]))
+            if at > start[-1]:
+                break
+            front.pop()
+            start.pop()
+        front.append(k)
+        start.append(at)
+    y = rows["y"].to_numpy(np.int64)
+    best = np.array(front)[np.searchsorted(np.array(start), y, side="left") - 1]
+    out["d2"], out["fy"], out["fx"] = (height[best] + (y - ys[best]) ** 2).astype(float), ys[best].astype(np.int32), fx[best].astype(np.int32)
+    return out
+
+
+def distance_transform(raster: DataFrame, features: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """``item_key, y, x, d, fy, fx``: distance to the nearest feature cell, and that cell;
+    items without features have no row.  ``metric``: ``euclidean``, or ``chessboard`` and
+    ``taxicab`` by one pass along rows and one along columns.
+
+    The nearest feature of each row on either side, then the lower envelope of a column:
+    work and memory are in proportion to the cells, a group is one column."""
     has = features.select(*CELL).withColumn("f", F.lit(True))
-    rows = raster.select(*CELL).join(has, CELL, "left")
+    rows = raster.select(ITEM, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).join(has, CELL, "left")
     here = F.when(F.col("f"), F.col("x"))
     before = F.last(here, ignorenulls=True).over(Window.partitionBy(ITEM, "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(here, ignorenulls=True).over(Window.partitionBy(ITEM, "y").orderBy("x").rowsBetween(0, Window.unboundedFollowing))
     near = F.when(before.isNull() | (F.abs(after - F.col("x")) < F.abs(before - F.col("x"))), after).otherwise(before)
     rows = rows.select(*CELL, near.alias("fx"))
-    one = rows.select(*CELL)
-    two = rows.where("fx is not null").select(ITEM, "x", F.col("y").alias("fy"), "fx")
-    d2 = F.pow(F.col("fx") - F.col("x"), F.lit(2)) + F.pow(F.col("fy") - F.col("y"), F.lit(2))
-    best = one.join(two, [ITEM, "x"]).groupBy(*CELL).agg(F.min(F.struct(d2.alias("d2"), "fy", "fx")).alias("b"))
-    return best.select(*CELL, F.sqrt("b.d2").alias("d"), "b.fy", "b.fx")
+    if metric == "euclidean":
+        item = rows.schema[ITEM].dataType.simpleString()
+        best = rows.groupBy(ITEM, "x").applyInPandas(column_envelope, f"item_key {item}, y int, x int, d2 double, fy int, fx int")
+        return best.where("d2 is not null and not isnan(d2)").select(*CELL, F.sqrt("d2").alias("d"), "fy", "fx")
+    return _ring_distance(rows, metric)
+
+
+def _ring_distance(rows: DataFrame, metric: str) -> DataFrame:
+    """Chessboard or taxicab distance from the nearest features of rows.  Taxicab: the
+    least of ``d - y`` above and ``d + y`` below.  Chessboard: rows in growing distance,
+    which must exceed the least found so far to be given up."""
+    d = F.abs(F.col("fx") - F.col("x"))
+    if metric == "taxicab":
+        up = Window.partitionBy(ITEM, "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+        down = Window.partitionBy(ITEM, "x").orderBy("y").rowsBetween(0, Window.unboundedFollowing)
+        mark = lambda k: F.when(F.col("fx").isNotNull(), F.struct(k.alias("k"), F.col("y").alias("fy"), F.col("fx").alias("fx")))
+        found = rows.select(*CELL, F.min(mark(d - F.col("y"))).over(up).alias("a"), F.min(mark(d + F.col("y"))).over(down).alias("b"))
+        a = F.struct((F.col("a.k") + F.col("y")).alias("d"), F.col("a.fy").alias("fy"), F.col("a.fx").alias("fx"))
+        b = F.struct((F.col("b.k") - F.col("y")).alias("d"), F.col("b.fy").alias("fy"), F.col("b.fx").alias("fx"))
+        best = F.least(F.when(F.col("a").isNotNull(), a), F.when(F.col("b").isNotNull(), b))
+        return found.select(*CELL, best.alias("m")).where("m is not null").select(*CELL, F.col("m.d").cast("double").alias("d"), "m.fy", "m.fx")
+    if metric != "chessboard":
+        raise ValueError(f"unknown metric {metric}")
+    item = rows.schema[ITEM].dataType.simpleString()
+
+    def column(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("y", kind="stable")
+        y, fx = group["y"].to_numpy(np.int64), group["fx"].to_numpy(dtype=float)
+        near = np.abs(fx - group["x"].iloc[0])
+        near[np.isnan(near)] = np.inf
+        best, at, step = near.copy(), np.arange(len(y)), 1
+        while step < len(y) and (best > step).any():
+            for move in (-step, step):
+                ok = np.flatnonzero((np.arange(len(y)) + move >= 0) & (np.arange(len(y)) + move < len(y)))
+                far = np.maximum(near[ok + move], np.abs(y[ok + move] - y[ok]))
+                better = far < best[ok]
+                best[ok[better]], at[ok[better]] = far[better], ok[better] + move
+            step += 1
+        out = group[["item_key", "y", "x"]].copy()
+        out["d"], out["fy"], out["fx"] = best, y[at].astype(np.int32), np.nan_to_num(fx[at]).astype(np.int32)
+        return out[np.isfinite(best)]
+
+    return rows.groupBy(ITEM, "x").applyInPandas(column, f"item_key {item}, y int, x int, d double, fy int, fx int")
 
 
 def fill_nearest(raster: DataFrame, invalid: DataFrame, most: float | None = None) -> DataFrame:
@@ -450,3 +521,97 @@ def line_cells(segments: DataFrame) -> DataFrame:
     rows = segments.select(ITEM, "seg_id", "x0", "y0", "x1", "y1", n.alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(0)))).alias("k"))
     at = lambda a, b: F.round(F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.greatest("n", F.lit(1))).cast("int")
     return rows.select(ITEM, "seg_id", at("y0", "y1").alias("y"), at("x0", "x1").alias("x")).distinct()
+
+
+# more filters ------------------------------------------------------------------------
+
+
+def threshold(raster: DataFrame, value: float | None = None) -> DataFrame:
+    """Cells above ``value``, by default above each item's Otsu threshold."""
+    from rootweave.operators import stats
+
+    if value is not None:
+        return raster.where(F.col("v") > value).select(*CELL)
+    cut = stats.otsu(raster, [ITEM], "v").select(ITEM, "threshold")
+    return raster.join(cut, ITEM).where("v > threshold").select(*CELL)
+
+
+def median_filter(raster: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+    """Median over a footprint; a place holds at most as many values as the footprint."""
+    return footprint_filter(raster, offsets, F.median)
+
+
+def second_derivatives(raster: DataFrame) -> DataFrame:
+    """``yy, yx, xx``: second differences; missing neighbours count as the cell itself."""
+    def moved_by(dy, dx, name):
+        return raster.select(ITEM, (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("v").alias(name))
+
+    rows = raster.select(*CELL, "v")
+    for name, (dy, dx) in {"n": (-1, 0), "s": (1, 0), "w": (0, -1), "e": (0, 1), "nw": (-1, -1), "ne": (-1, 1), "sw": (1, -1), "se": (1, 1)}.items():
+        rows = rows.join(moved_by(dy, dx, name), CELL, "left")
+    c = lambda k: F.coalesce(k, "v")
+    cross = (c("se") - c("sw") - c("ne") + c("nw")) / 4
+    return rows.select(*CELL, (c("n") + c("s") - 2 * F.col("v")).alias("yy"), cross.alias("yx"), (c("w") + c("e") - 2 * F.col("v")).alias("xx"))
+
+
+def vesselness(raster: DataFrame, sigmas: list[float], beta: float = 0.5, c: float = 15.0) -> DataFrame:
+    """``item_key, y, x, v, ridge``: the largest vesselness over the scales, and whether any
+    scale sees a ridge."""
+    from rootweave.functions import numbers as nb
+
+    found = None
+    for s in sigmas:
+        h = second_derivatives(smooth(raster, s))
+        e = nb.eigenvalues(F.col("yy"), F.col("yx"), F.col("xx"))
+        one = h.select(*CELL, e.alias("e")).select(*CELL, (nb.vesselness(F.col("e.l1"), F.col("e.l2"), beta, c) * s * s).alias("v"), nb.ridge(F.col("e.l1"), F.col("e.l2")).alias("ridge"))
+        found = one if found is None else found.union(one)
+    return found.groupBy(*CELL).agg(F.max("v").alias("v"), F.bool_or("ridge").alias("ridge"))
+
+
+def normalise_image(raster: DataFrame) -> DataFrame:
+    """Values mapped to [0, 1] in every item, inverted where the mean is above a half."""
+    from rootweave.operators import stats
+
+    flat = stats.normalise(raster, [ITEM], "v")
+    mean = flat.groupBy(ITEM).agg(F.avg("v").alias("mean"))
+    return flat.join(mean, ITEM).select(*CELL, F.when(F.col("mean") > 0.5, 1 - F.col("v")).otherwise(F.col("v")).alias("v"))
+
+
+def pad(raster: DataFrame, shape: DataFrame, width: int, value: float | None = None) -> DataFrame:
+    """The raster with a border of ``width`` cells on every side, moved so that it starts at
+    0, filled with ``value`` or else with the nearest border cell;
+    ``shape(item_key, height, width)``."""
+    size = shape.select(ITEM, "height", F.col("width").alias("w"))
+    grid = size.select(ITEM, "height", "w", F.explode(F.sequence(F.lit(0), F.col("height") + 2 * width - 1)).alias("y"))
+    grid = grid.select(ITEM, "height", "w", "y", F.explode(F.sequence(F.lit(0), F.col("w") + 2 * width - 1)).alias("x"))
+    clamp = lambda c, top: F.least(F.greatest(F.col(c) - width, F.lit(0)), F.col(top) - 1)
+    src = raster.select(ITEM, F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
+    found = grid.withColumns({"sy": clamp("y", "height"), "sx": clamp("x", "w")}).join(src, [ITEM, "sy", "sx"], "left")
+    if value is not None:
+        inside = (F.col("y") - width == F.col("sy")) & (F.col("x") - width == F.col("sx"))
+        return found.select(*CELL, F.when(inside, F.col("v")).otherwise(F.lit(float(value))).alias("v"))
+    return found.select(*CELL, "v")
+
+
+def box_seeds(labels: DataFrame, box: tuple[float, float, float, float], shape: DataFrame, n: int) -> DataFrame:
+    """The ``n`` largest labels of each item whose centre lies in a relative box ``(x0, y0,
+    x1, y1)``, numbered from 1 from left to right."""
+    table = label_table(labels).join(shape, ITEM)
+    x, y = F.col("cx") / F.col("width"), F.col("cy") / F.col("height")
+    inside = table.where(x.between(box[0], box[2]) & y.between(box[1], box[3]))
+    rank = F.row_number().over(Window.partitionBy(ITEM).orderBy(F.desc("cells"), "label"))
+    top = inside.withColumn("r", rank).where(F.col("r") <= n)
+    new = F.row_number().over(Window.partitionBy(ITEM).orderBy("x0", "label"))
+    return labels.join(top.select(ITEM, "label", new.alias("new")), [ITEM, "label"]).select(*CELL, F.col("new").alias("label"))
+
+
+def best_circles(labels: DataFrame, raster: DataFrame, n: int, least: float | None = None) -> DataFrame:
+    """``item_key, label, cy, cx, radius, quality``: the ``n`` labels of an item that hold the
+    most of a disc: ``2 * pi * rmax ** 2 - area``, largest first, with ``rmax`` the largest
+    distance to the outside; only those above ``least``, if given."""
+    outside = raster.select(*CELL).join(labels.select(*CELL), CELL, "left_anti")
+    depth = distance_transform(raster, outside).join(labels, CELL).groupBy(ITEM, "label").agg(F.max("d").alias("radius"), F.max_by("y", "d").alias("cy"), F.max_by("x", "d").alias("cx"), F.count("*").alias("area"))
+    rows = depth.withColumn("quality", 2 * F.pi() * F.col("radius") ** 2 - F.col("area"))
+    rows = rows if least is None else rows.where(F.col("quality") > least)
+    rank = F.row_number().over(Window.partitionBy(ITEM).orderBy(F.desc("quality"), "label"))
+    return rows.withColumn("r", rank).where(F.col("r") <= n).select(ITEM, "label", "cy", "cx", "radius", "quality")

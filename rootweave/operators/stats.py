@@ -12,16 +12,46 @@ from pyspark.sql import Window
 from rootweave.iterate import rounds, settle
 
 
+def placed(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, v, n, before, c``: the distinct values of every group, how many rows have
+    each, how many have a smaller one, and the rows of the group.
+
+    Rows are counted by value before anything is put in order; values are dealt into
+    ranges over all groups, numbered within a range, and the ranges' totals added up, so
+    no task sorts a whole group."""
+    counts = settle(rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n")))
+    ranged = settle(counts.repartitionByRange(*[F.col(k) for k in keys], F.col("v")).withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "part").agg(F.sum("n").alias("rows"))
+    total = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "part", F.coalesce(F.sum("rows").over(total), F.lit(0)).alias("earlier"), F.sum("rows").over(Window.partitionBy(*keys)).alias("c"))
+    within = Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumn("b", F.coalesce(F.sum("n").over(within), F.lit(0))).join(sums, [*keys, "part"])
+    return out.select(*keys, "v", "n", (F.col("b") + F.col("earlier")).alias("before"), "c")
+
+
 def trimmed_summary(rows: DataFrame, keys: list[str], value: str, outliers: float = 0.05) -> DataFrame:
     """``keys, n, mean, std`` (population) after dropping ``int(n * outliers)`` rows at
-    both ends of each group."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).select(
-        *keys, value, F.row_number().over(order).alias("r"), F.count("*").over(Window.partitionBy(*keys)).alias("c")
-    )
+    both ends of each group.  Null values don't count; a group without any has no row."""
+    at = placed(rows, keys, value)
     cut = F.floor(F.col("c") * F.lit(outliers))
-    kept = ranked.where((F.col("r") > cut) & (F.col("r") <= F.col("c") - cut))
-    return kept.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    kept = at.withColumn("n", F.least(F.col("before") + F.col("n"), F.col("c") - cut) - F.greatest("before", cut)).where("n > 0")
+    mean = F.sum(F.col("v") * F.col("n")) / F.sum("n")
+    means = kept.groupBy(*keys).agg(mean.alias("mean"))
+    spread = F.sqrt(F.sum((F.col("v") - F.col("mean")) ** 2 * F.col("n")) / F.sum("n"))
+    return kept.join(means, keys).groupBy(*keys).agg(F.sum("n").alias("n"), F.first("mean").alias("mean"), spread.alias("std"))
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """``keys, q``: an array of the groups' quantiles, between neighbouring values in
+    proportion."""
+    at = placed(rows, keys, value)
+    k = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(s) * (F.col("c") - 1)).alias("r")) for i, s in enumerate(shares)])).alias("k")
+    each = at.select(*keys, "v", "before", "n", k)
+    has = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("n"))
+    low, high = F.floor("k.r"), F.ceil("k.r")
+    found = each.groupBy(*keys, "k").agg(F.max(F.when(has(low), F.col("v"))).alias("lo"), F.max(F.when(has(high), F.col("v"))).alias("hi"))
+    value_at = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("k.r") - F.floor("k.r"))
+    return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k.i", value_at.alias("v")))), lambda x: x["v"]).alias("q"))
 
 
 def bin_of(v: Column, low: Column, high: Column, bins: int) -> Column:
@@ -51,7 +81,7 @@ def chi_square(reference: Column, test: Column) -> Column:
 
 def box_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``keys, q1, median, q3, low, high``: quartiles and whiskers at 1.5 ranges."""
-    quartiles = rows.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    quartiles = quantiles(rows, keys, value, [0.25, 0.5, 0.75])
     span = (F.col("q")[2] - F.col("q")[0]) * 1.5
     inside = rows.join(quartiles, keys).where((F.col(value) >= F.col("q")[0] - span) & (F.col(value) <= F.col("q")[2] + span))
     return inside.groupBy(*keys).agg(
@@ -195,3 +225,43 @@ def remove_value(a: Column, v: Column) -> Column:
 
 def variance(a: Column) -> Column:
     return F.when(a["n"] > 0, a["m2"] / a["n"])
+
+
+def time_source_table(rows: DataFrame, keys: list[str], value: str, long: float) -> DataFrame:
+    """``keys, n, total, n_long``: per plant, time and source the number, sum and how many
+    are longer than ``long``."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.count_if(F.col(value) > long).alias("n_long"))
+
+
+def multiplicity(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct rows of ``columns`` with how often each stands."""
+    return rows.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
+def label_histogram(rows: DataFrame, label: str, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """``label, bin, w``: histogram of a measurement in which every label weighs 1."""
+    total = rows.where(F.col(value).isNotNull()).groupBy(label).agg(F.count("*").alias("__t"))
+    at = bin_of(F.col(value), F.lit(low), F.lit(high), bins)
+    return rows.join(total, label).select(label, at.alias("bin"), (1 / F.col("__t")).alias("w")).where("bin is not null").groupBy(label, "bin").agg(F.sum("w").alias("w"))
+
+
+def sequence_correlation(rows: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """``plant, time, corr, total``: correlation of the histograms of two sources of every
+    plant and time; rows are ``(plant, time, source, value)`` with sources ``a`` and ``b``,
+    bins that one source lacks count 0."""
+    at = bin_of(F.col(value), F.lit(low), F.lit(high), bins)
+    counts = rows.select("plant", "time", "source", at.alias("bin")).where("bin is not null").groupBy("plant", "time", "bin").agg(
+        F.count_if(F.col("source") == "a").alias("a"), F.count_if(F.col("source") == "b").alias("b")
+    )
+    n, s = F.lit(float(bins)), lambda c: F.sum(c)
+    sums = counts.groupBy("plant", "time").agg(
+        s("a").alias("sa"), s("b").alias("sb"), s(F.col("a") * F.col("a")).alias("saa"), s(F.col("b") * F.col("b")).alias("sbb"), s(F.col("a") * F.col("b")).alias("sab")
+    )
+    va, vb = n * F.col("saa") - F.col("sa") ** 2, n * F.col("sbb") - F.col("sb") ** 2
+    corr = F.when((va > 0) & (vb > 0), (n * F.col("sab") - F.col("sa") * F.col("sb")) / F.sqrt(va * vb))
+    return sums.select("plant", "time", corr.alias("corr"), (F.col("sa") + F.col("sb")).alias("total"))
+
+
+def mean_by_property(rows: DataFrame, keys: list[str], value: str, sequence: str, plants: int) -> DataFrame:
+    """``keys, mean``: sum of a length over the number of plants of the sequences present."""
+    return rows.groupBy(*keys).agg((F.sum(value) / (F.countDistinct(sequence) * F.lit(plants))).alias("mean"))

@@ -33,11 +33,18 @@ def query(sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    """Modules that register queries of their own."""
+    from rootweave.plans import scalar_queries, tree_queries  # noqa: F401
+
+
 def queries() -> dict:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
 
 
@@ -170,16 +177,34 @@ def c01_pairing(spark, sf_dir):
 
 @query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def c02_missing_references(spark, sf_dir):
-    return b.table(spark, sf_dir, "documents").join(b.table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+    labels = b.table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").alias("tree"))
+    return catalog.append_reference(b.table(spark, sf_dir, "documents"), labels, ["doc_id"], "reference")[1].select("doc_id")
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) SELECT d.doc_id, q AS reference FROM documents d LEFT JOIN l USING (doc_id)""")
+def c02_append_reference(spark, sf_dir):
+    labels = b.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("tree"))
+    return catalog.append_reference(b.table(spark, sf_dir, "documents"), labels, ["doc_id"], "reference")[0].select("doc_id", "reference")
+
+
+@query("""SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE d.lang IS NOT NULL AND l.quality IS NOT NULL""")
+def c03_complete_pairs(spark, sf_dir):
+    rows = b.table(spark, sf_dir, "documents").join(b.table(spark, sf_dir, "labels"), "doc_id", "left")
+    return catalog.complete_pairs(rows, "lang", "quality").select("doc_id")
+
+
+@query(
+    """WITH RECURSIVE p AS (SELECT c_nationkey AS nation, c_custkey AS i, s_suppkey AS j, abs(c_acctbal - s_acctbal) AS d FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE abs(c_acctbal - s_acctbal) <= 5000),
+    s AS (SELECT nation, NULL::BIGINT AS i, NULL::BIGINT AS j, NULL::DOUBLE AS d, []::BIGINT[] AS ui, []::BIGINT[] AS uj FROM (SELECT DISTINCT nation FROM p)
+    UNION ALL SELECT nation, x.i, x.j, x.d, list_append(ui, x.i), list_append(uj, x.j) FROM (SELECT s.nation, s.ui, s.uj, min(struct_pack(d := p.d, i := p.i, j := p.j)) AS x FROM s JOIN p USING (nation)
+    WHERE NOT list_contains(s.ui, p.i) AND NOT list_contains(s.uj, p.j) GROUP BY 1, 2, 3)) SELECT nation, i, j, round(d, 4) AS d FROM s WHERE i IS NOT NULL"""
+)
 def c04_greedy_match(spark, sf_dir):
-    """Customers and suppliers of a nation, nearest by account balance."""
-    c = b.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("i"), "c_acctbal")
-    s = b.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("j"), "s_acctbal")
-    pairs = c.join(s, "nation").select("nation", "i", "j", F.abs(F.col("c_acctbal") - F.col("s_acctbal")).alias("d"))
-    return match.greedy_match(pairs, ["nation"], 5000.0)
+    """Customers and suppliers of a nation, nearest by account balance: the pairs at most
+    5000 apart come from a join on bands of balances."""
+    side = lambda t, p, k, n: b.table(spark, sf_dir, t).select(F.col(f"{p}_nationkey").alias("nation"), F.col(k).alias(n), F.col(f"{p}_acctbal").alias("x"), F.lit(0.0).alias("y"))
+    pairs = match.near_pairs(side("customer", "c", "c_custkey", "i"), side("supplier", "s", "s_suppkey", "j"), ["nation"], 5000.0)
+    return match.greedy_match(pairs, ["nation"]).select("nation", "i", "j", F.round("d", 4).alias("d"))
 
 
 @query(
@@ -192,11 +217,12 @@ def c10_box_overlap(spark, sf_dir):
 
 
 @query(
-    f"""WITH {b.WORDS_SQL}, one AS (SELECT DISTINCT img, word FROM words WHERE word IN (1, 2)) SELECT img FROM one GROUP BY img HAVING count(*) = 2"""
+    """WITH one AS (SELECT DISTINCT l_orderkey AS img, l_linenumber AS word, l_quantity FROM lineitem WHERE l_linenumber IN (2, 5)) SELECT img, min(l_quantity) FILTER (word = 2) AS first FROM one GROUP BY img HAVING count(DISTINCT word) = 2"""
 )
 def c13_relational_division(spark, sf_dir):
-    w = b.words(spark, sf_dir).withColumn("box", F.struct("xmin", "ymin", "xmax", "ymax"))
-    return match.images_with_all(w, [1, 2]).select("img")
+    """Orders with a second and a fifth line, and the former's least quantity."""
+    li = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("img"), F.col("l_linenumber").alias("word"), F.struct("l_quantity").alias("box"))
+    return match.images_with_all(li, [2, 5]).select("img", F.col("boxes")[0]["box"]["l_quantity"].alias("first"))
 
 
 @query(
@@ -221,15 +247,22 @@ def c16_statistic_ratio(spark, sf_dir):
 # D: aggregations -----------------------------------------------------------------------
 
 
-@query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2""")
+@query("""SELECT o_custkey, o_orderstatus, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ' ' ORDER BY o_orderkey) AS members FROM orders GROUP BY 1, 2""")
 def d01_group_by(spark, sf_dir):
-    return catalog.group_items(b.table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], "o_orderkey").drop("members")
+    groups = catalog.group_items(b.table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"], "o_orderkey")
+    return groups.withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), " "))
 
 
-@query("""SELECT o_orderstatus, o_orderpriority, o_orderkey FROM orders""")
+@query("""SELECT o_custkey, o_orderstatus, o_orderkey FROM orders""")
+def d03_members(spark, sf_dir):
+    return catalog.members(catalog.group_items(b.table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"], "o_orderkey"), "o_orderkey")
+
+
+@query("""SELECT o_custkey, o_orderpriority, o_orderkey FROM orders""")
 def d02_nested_groups(spark, sf_dir):
-    nested = catalog.group_nested(b.table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority", "o_orderkey")
-    return catalog.flatten_nested(nested, "o_orderstatus", "o_orderpriority", "o_orderkey")
+    """Of a customer by priority: groups that stay small."""
+    nested = catalog.group_nested(b.table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", "o_orderkey")
+    return catalog.flatten_nested(nested, "o_custkey", "o_orderpriority", "o_orderkey")
 
 
 PLANTS = f"""WITH {b.AXES_SQL}, len AS (SELECT l_orderkey AS axe_id, sum(l_quantity) AS length, max(l_linenumber) * 1.0 AS position FROM lineitem GROUP BY 1),
@@ -262,10 +295,16 @@ def d05_axes_property(spark, sf_dir):
     return rows.select("item_key", "plant", F.size("values").cast("bigint").alias("n"), F.round(total, 4).alias("total"))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT DISTINCT p_brand AS brand, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part),
+    e AS (SELECT a.brand, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM p a JOIN p b ON a.brand = b.brand AND (a.x <> b.x OR a.y <> b.y)),
+    ok AS (SELECT e.brand, ax, ay, ex, ey FROM e JOIN p c ON c.brand = e.brand GROUP BY ALL HAVING bool_and((ex - ax) * (c.y - ay) - (ey - ay) * (c.x - ax) > 1e-9
+    OR (abs((ex - ax) * (c.y - ay) - (ey - ay) * (c.x - ax)) <= 1e-9 AND (c.x - ax) * (c.x - ex) + (c.y - ay) * (c.y - ey) <= 1e-9)))
+    SELECT brand, round(abs(sum(ax * ey - ex * ay)) / 2, 3) AS area FROM ok GROUP BY 1"""
+)
 def d12_hull_area(spark, sf_dir):
     p = b.table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"))
-    return measure.hull_area(p, ["brand"])
+    return measure.hull_area(p, ["brand"]).select("brand", F.round("area", 3).alias("area"))
 
 
 @query(
@@ -311,9 +350,9 @@ def d18_chi_square(spark, sf_dir):
 )
 def d20_time_source_table(spark, sf_dir):
     rows = b.table(spark, sf_dir, "orders").join(b.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.groupBy(F.col("c_nationkey").alias("nation"), F.col("o_orderstatus").alias("source"), F.year("o_orderdate").cast("bigint").alias("frame")).agg(
-        F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("area"), F.count_if(F.col("o_totalprice") > 100000).alias("n_long")
-    )
+    rows = rows.select(F.col("c_nationkey").alias("nation"), F.col("o_orderstatus").alias("source"), F.year("o_orderdate").cast("bigint").alias("frame"), "o_totalprice")
+    found = stats.time_source_table(rows, ["nation", "source", "frame"], "o_totalprice", 100000)
+    return found.select("nation", "source", "frame", "n", F.round("total", 2).alias("area"), "n_long")
 
 
 @query(
@@ -328,7 +367,8 @@ def d24_band_length(spark, sf_dir):
 
 @query("""SELECT l_returnflag AS label, l_quantity AS x, l_discount AS y, count(*) AS n FROM lineitem GROUP BY 1, 2, 3""")
 def d26_point_multiplicity(spark, sf_dir):
-    return b.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("label"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y")).agg(F.count("*").alias("n"))
+    rows = b.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
+    return stats.multiplicity(rows, ["label", "x", "y"])
 
 
 @query(
@@ -377,7 +417,7 @@ def d36_label_statistics(spark, sf_dir):
 
 @query("""SELECT DISTINCT l_returnflag, l_linestatus, l_tax FROM lineitem""")
 def d37_unique_rows(spark, sf_dir):
-    return b.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_tax").distinct()
+    return catalog.unique_rows(b.table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus", "l_tax"])
 
 
 @query("""SELECT l_returnflag, round(power(sum(power(abs(l_quantity), 3)), 1.0 / 3), 4) AS norm FROM lineitem GROUP BY 1""")
@@ -406,7 +446,7 @@ def d40_otsu(spark, sf_dir):
 
 @query()
 def d41_gaussian_mixture(spark, sf_dir):
-    return stats.gaussian_mixture(b.table(spark, sf_dir, "events"), ["event_type"], "value", classes=2, most=15, threshold=1e-4)
+    return stats.gaussian_mixture(b.table(spark, sf_dir, "events"), ["event_type"], "value", classes=2)
 
 
 @query()
@@ -466,12 +506,11 @@ def e04_partial_order(spark, sf_dir):
 
 
 @query(
-    f"""WITH {b.RASTER_SQL} SELECT y, x, CAST(max(v) OVER (PARTITION BY y ORDER BY x RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS DOUBLE) AS mx FROM raster"""
+    f"""WITH {b.RASTER_SQL}, a AS (SELECT y, x, max(v) OVER (PARTITION BY y ORDER BY x RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS v FROM raster)
+    SELECT y, x, CAST(max(v) OVER (PARTITION BY x ORDER BY y RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS DOUBLE) AS mx FROM a"""
 )
 def e11_sliding_max(spark, sf_dir):
-    r = b.raster(spark, sf_dir)
-    w = Window.partitionBy("item_key", "y").orderBy("x").rangeBetween(-3, 3)
-    return r.select("y", "x", F.max("v").over(w).alias("mx"))
+    return ra.window_filter(b.raster(spark, sf_dir), 3, "max").select("y", "x", F.col("v").alias("mx"))
 
 
 @query(
@@ -506,15 +545,19 @@ def f04_biggest_labels(spark, sf_dir):
     return ra.biggest(labels, 3).select("y", "x")
 
 
-@query("""SELECT DISTINCT l_orderkey AS img FROM lineitem WHERE l_partkey = 1 INTERSECT SELECT l_orderkey FROM lineitem WHERE l_quantity > 10""")
+@query("""SELECT l_orderkey AS img FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_quantity > 10""")
 def g01_intersection(spark, sf_dir):
-    li = b.table(spark, sf_dir, "lineitem")
-    return li.where("l_partkey = 1").select(F.col("l_orderkey").alias("img")).intersect(li.where("l_quantity > 10").select("l_orderkey"))
+    li = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("img"), "l_returnflag", "l_quantity")
+    return catalog.common(li.where("l_returnflag = 'R'").select("img"), li.where("l_quantity > 10").select("img"))
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT DISTINCT l_orderkey, 'R' AS side FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 3)
+    UNION ALL SELECT DISTINCT l_orderkey, '3' FROM lineitem WHERE l_linenumber > 3 AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
 def g02_difference(spark, sf_dir):
-    return b.table(spark, sf_dir, "customer").join(b.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    """Orders with returns, orders of more than three lines: what either lacks."""
+    li = b.table(spark, sf_dir, "lineitem")
+    one, two = catalog.unmatched_ids(li.where("l_returnflag = 'R'"), li.where("l_linenumber > 3"), "l_orderkey")
+    return one.withColumn("side", F.lit("R")).union(two.withColumn("side", F.lit("3")))
 
 
 @query("""SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, round(sum(l_quantity), 4) AS cost FROM lineitem GROUP BY 1, 2""")
@@ -629,7 +672,7 @@ def i39_markov_clusters(spark, sf_dir):
     c, s = b.table(spark, sf_dir, "customer"), b.table(spark, sf_dir, "supplier")
     rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     e = rows.where("c_nationkey <> s_nationkey").groupBy(F.lit("all").alias("item_key"), F.col("c_nationkey").cast("bigint").alias("a"), F.col("s_nationkey").cast("bigint").alias("b")).agg(F.sum("l_extendedprice").alias("cost"))
-    return graph.markov_clusters(e, inflation=1.6, most=12).select("node_id", "cluster")
+    return graph.markov_clusters(e, inflation=1.6).select("node_id", "cluster")
 
 
 # J: rasters ---------------------------------------------------------------------------------
@@ -637,7 +680,7 @@ def i39_markov_clusters(spark, sf_dir):
 
 @query(f"""WITH {b.RASTER_SQL} SELECT y, x FROM raster WHERE v > 40""")
 def j01_threshold(spark, sf_dir):
-    return b.raster(spark, sf_dir).where("v > 40").select("y", "x")
+    return ra.threshold(b.raster(spark, sf_dir), 40).select("y", "x")
 
 
 @query(
