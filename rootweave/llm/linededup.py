@@ -134,26 +134,20 @@ def copies(sketches: DataFrame) -> DataFrame:
     return connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("class"))
 
 
-def recurring(lines: DataFrame, key: str, need: Column, classes: DataFrame) -> DataFrame:
+def recurring(lines: DataFrame, key: str, need: Column) -> DataFrame:
     """The values of ``key`` that stand in at least ``need`` classes of texts, a number
-    from the line's tokens ``n``; a text without a class of ``classes(id, class)`` is one
-    by itself."""
-    often = lines.groupBy(key).agg(F.count("*").alias("k"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.min("n").alias("n"))
+    from the line's tokens ``n``; ``lines`` carry the ``class`` of their text."""
+    often = lines.groupBy(key).agg(F.count("*").alias("k"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("n").alias("n"))
     often = often.where((F.col("k") >= need) & (F.col("lo") != F.col("hi"))).select(key, need.alias("need"))
-    texts = lines.select(key, F.xxhash64("digest").alias("id")).join(often, key).distinct().join(classes, "id", "left")
-    unlike = texts.select(key, "need", F.coalesce("class", "id").alias("class")).distinct()
+    unlike = lines.select(key, "class").join(often, key).distinct()
     return unlike.groupBy(key, "need").count().where("count >= need").select(key)
 
 
-def generalised(lines: DataFrame, contexts: int, constant: float, similarity: float) -> DataFrame:
-    """``digest, pos, wild``: a template of constant tokens and wildcards for lines
-    whose leaf holds several templates.  A token is constant where at least
-    ``constant`` of the leaf's lines have it; lines with less than ``similarity`` of
-    their tokens constant have no template."""
-    leaves = lines.groupBy("leaf").agg(
-        F.count("*").alias("size"), F.min("template").alias("t1"), F.max("template").alias("t2"), F.min("digest").alias("d1"), F.max("digest").alias("d2")
-    )
-    leaves = leaves.where(f"size >= {contexts} and t1 <> t2 and d1 <> d2").select("leaf", "size")
+def generalised(lines: DataFrame, leaves: DataFrame, contexts: int, constant: float, similarity: float) -> DataFrame:
+    """``digest, pos, n, wild``: a template of constant tokens and wildcards for lines of
+    ``leaves(leaf, size)``.  A token is constant where at least ``constant`` of the leaf's
+    lines have it; lines with less than ``similarity`` of their tokens constant have no
+    template."""
     open_lines = lines.join(leaves, "leaf").select("digest", "pos", "n", "leaf", "size", "tokens")
     open_lines = durable(open_lines)
     fields = open_lines.select("digest", "pos", "leaf", "size", F.posexplode("tokens").alias("i", "t"))
@@ -203,11 +197,23 @@ def dedup_lines(
     lines = parsed.where(F.col("pos") != SKETCH)
     classes = copies(parsed.where(F.col("pos") == SKETCH).select(F.xxhash64("digest").alias("id"), "tokens"))
 
-    exact = durable(recurring(lines, "template", need, classes))
+    def classed(rows: DataFrame, *columns: str) -> DataFrame:
+        """Columns of rows with the class of their text; one without any is its own."""
+        joined = rows.select(F.xxhash64("digest").alias("id"), *columns).join(classes, "id", "left")
+        return durable(joined.select(*columns, F.coalesce("class", "id").alias("class")))
+
+    marks = classed(lines, "template", "leaf", "n")
+    exact = durable(recurring(marks, "template", need))
     dropped = lines.join(exact, "template", "left_semi").select("digest", "pos")
+    # what may generalise: leaves with several templates, in several classes
+    leaves = marks.where("leaf is not null").join(exact, "template", "left_anti").groupBy("leaf").agg(
+        F.count("*").alias("size"), F.min("template").alias("t1"), F.max("template").alias("t2"), F.min("class").alias("c1"), F.max("class").alias("c2")
+    )
+    leaves = leaves.where(f"size >= {contexts} and t1 <> t2 and c1 <> c2").select("leaf", "size")
     rest = lines.where("leaf is not null").join(exact, "template", "left_anti")
-    wild = durable(generalised(rest, contexts, constant, similarity))
-    dropped = dropped.union(wild.join(recurring(wild, "wild", F.lit(contexts), classes), "wild", "left_semi").select("digest", "pos"))
+    wild = durable(generalised(rest, leaves, contexts, constant, similarity))
+    general = recurring(classed(wild, "wild", "n"), "wild", F.lit(contexts))
+    dropped = dropped.union(wild.join(general, "wild", "left_semi").select("digest", "pos"))
     drops = durable(dropped.groupBy(F.col("digest").alias(key)).agg(F.collect_set("pos").alias(places)))
 
     out = docs.withColumn(key, digest).join(drops, key, "left")
