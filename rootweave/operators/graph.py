@@ -265,7 +265,7 @@ def to_dag(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = shortest_paths(kept.select(ITEM, "a", "b", F.lit(1.0).alias("cost")), first.select(ITEM, F.col("b").alias("node_id"), F.lit(0.0).alias("dist")))
         closes = first.join(found.select(ITEM, F.col("node_id").alias("a")), [ITEM, "a"], "left_semi")
         good = first.join(closes, [ITEM, "a", "b"], "left_anti").select(ITEM, "a", "b")
-        kept = settle(kept.union(rows.join(good, [ITEM, "a", "b"], "left_semi")))
+        kept = settle(kept.unionByName(rows.join(good, [ITEM, "a", "b"], "left_semi")))
         waiting = settle(waiting.join(first, [ITEM, "a", "b"], "left_anti"))
     removed = edges.join(kept.select(ITEM, "a", "b"), [ITEM, "a", "b"], "left_anti")
     return kept.drop("da", "db"), removed

@@ -301,14 +301,17 @@ def e12_smoothing(spark, sf_dir):
 
 
 BOX = "SELECT r.item_key, r.y, r.x, {fn}(o.v) AS v FROM {source} r JOIN {source} o ON o.item_key = r.item_key AND abs(o.y - r.y) <= {k} AND abs(o.x - r.x) <= {k} GROUP BY 1, 2, 3"
+#: A pass along x, then one along y: at a hole each pass sees the cells that are there.
+PASSES = """SELECT item_key, y, x, {fn}(v) OVER (PARTITION BY item_key, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v
+ FROM (SELECT item_key, y, x, {fn}(v) OVER (PARTITION BY item_key, y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM {source})"""
 
 
-@query(f"{D}, a AS ({BOX.format(fn='min', source='r', k=1)}) {BOX.format(fn='max', source='a', k=1)}")
+@query(f"{D}, a AS ({PASSES.format(fn='min', source='r')}) {PASSES.format(fn='max', source='a')}")
 def e13_grey_opening(spark, sf_dir):
     return ra.grey_opening(dense(spark, sf_dir), 1).select("item_key", "y", "x", "v")
 
 
-@query(f"{D}, a AS ({BOX.format(fn='max', source='r', k=1)}) {BOX.format(fn='min', source='a', k=1)}")
+@query(f"{D}, a AS ({PASSES.format(fn='max', source='r')}) {PASSES.format(fn='min', source='a')}")
 def e13_grey_closing(spark, sf_dir):
     return ra.grey_closing(dense(spark, sf_dir), 1).select("item_key", "y", "x", "v")
 

@@ -110,9 +110,9 @@ def test_graphs(spark):
     parents = spark.createDataFrame([("g", 1, None), ("g", 2, 1), ("g", 3, 2), ("g", 4, 2)], "item_key string, node_id bigint, parent bigint")
     cover = paths.covering_paths(parents)
     assert by(cover, "path_id", "pos", "seg_id") == [(3, 1, 1), (3, 2, 2), (3, 3, 3), (4, 1, 1), (4, 2, 2), (4, 3, 4)]
-    p = [[], [1, 2, 3, 6], [2, 4], [1, 7, 3, 5, 8]]
+    p = [[], [11, 12, 15], [11, 12, 14, 19], [11, 13, 18, 17], [13]]
     rows = spark.createDataFrame([("g", k, i, s) for k, path in enumerate(p) for i, s in enumerate(path)], "item_key string, path_id int, pos int, seg_id int")
-    assert by(paths.tips(rows), "path_id", "seg_id") == [(1, 6), (2, 4), (3, 5), (3, 8)]
+    assert by(paths.tips(rows), "path_id", "seg_id") == [(1, 15), (2, 14), (2, 19), (3, 17), (3, 18)]
     segs = spark.createDataFrame([("g", i) for i in (1, 2, 3)], "item_key string, seg_id bigint")
     ends = spark.createDataFrame([("g", 1, 1, 2, 1, 1.0), ("g", 2, 0, 3, 0, 2.0)], "item_key string, s1 bigint, side1 int, s2 bigint, side2 int, cost double")
     fixed = spark.createDataFrame([("g", 1, False)], "item_key string, seg_id bigint, flip boolean")
@@ -170,13 +170,13 @@ def test_rasters(spark):
 
 
 def test_steps(spark):
-    f = Step("f", lambda a: (a + 1, a + 2), ("a",), ("c", "d"))
-    h = Step("h", lambda b, c, d: b + c + d + 2, ("b", "c", "d"), ("e",))
-    assert Pipeline((f, h)).inputs == ["a", "b"] and Pipeline((f, h)).run({"a": 1, "b": 2})["e"] == 9
-    big, small = Step("F", None, ("a", "b", "c"), ("d", "e", "x"), {"b": 2, "c": 3}), Step("G", None, ("b", "d", "z"), ("f", "g"), {"z": 42})
-    both = Pipeline((big, small))
-    assert both.to_run({"b", "d"}, wanted={"f", "g"}) == [small]
-    assert both.to_run({"a", "b", "d", "f", "g"}, outdated={"a"}, wanted={"f"}) == [big, small]
+    halve = Step("halve", lambda size: (size / 2, size - 1), ("size",), ("half", "less"))
+    total = Step("total", lambda rest, half, less: rest + half * less, ("rest", "half", "less"), ("sum",))
+    assert Pipeline((halve, total)).inputs == ["size", "rest"] and Pipeline((halve, total)).run({"size": 6, "rest": 4})["sum"] == 19
+    first, second = Step("mask", None, ("image", "level"), ("mask", "box"), {"level": 7}), Step("graph", None, ("mask", "seeds"), ("nodes", "lines"))
+    both = Pipeline((first, second))
+    assert both.to_run({"mask", "seeds"}, wanted={"nodes"}) == [second]
+    assert both.to_run({"image", "mask", "seeds", "nodes", "lines"}, outdated={"image"}, wanted={"nodes"}) == [first, second]
     items = spark.createDataFrame([("i",), ("j",)], "item_key string")
     have = spark.createDataFrame([("i", "m", 1), ("i", "n", 1), ("j", "m", 1)], "item_key string, name string, version int")
     assert by(missing_items(items, have, ["m", "n"]), "item_key") == [("j",)]
