@@ -234,14 +234,15 @@ def robust_affine(pairs: DataFrame, keys: list[str], draws: int = 64, tolerance:
     """``keys, n, inliers, m``: RANSAC.  Every draw takes about three pairs of a group by
     seeded hash, is fitted, and counts the pairs it maps within ``tolerance``; the best
     draw's inliers are fitted again."""
-    total = pairs.groupBy(*keys).agg(F.count("*").alias("__c"))
+    unique = pairs.select(*keys, "x", "y", "u", "v").distinct()  # equal rows have one hash
+    total = unique.groupBy(*keys).agg(F.count("*").alias("__c"))
     k = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    many = pairs.join(total, keys).select(*keys, "x", "y", "u", "v", "__c", k)
+    many = unique.join(total, keys).select(*keys, "x", "y", "u", "v", "__c", k)
     chance = F.pmod(F.xxhash64("x", "y", "u", "v", "draw", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = many.where(chance < F.lit(4.0) / F.col("__c"))
     models = settle(normal_equations(sample, [*keys, "draw"]).where("m is not null").select(*keys, "draw", "m"))
     p = g.transform(F.col("m"), F.col("x"), F.col("y"))
-    hits = many.join(models, [*keys, "draw"]).withColumn("ok", F.hypot(p["x"] - F.col("u"), p["y"] - F.col("v")) <= tolerance)
+    hits = pairs.join(models, keys).withColumn("ok", F.hypot(p["x"] - F.col("u"), p["y"] - F.col("v")) <= tolerance)
     score = hits.groupBy(*keys, "draw").agg(F.count_if("ok").alias("inliers"))
     best = score.groupBy(*keys).agg(F.max(F.struct("inliers", F.negate("draw").alias("nd"))).alias("b"))
     best = settle(best.select(*keys, F.negate("b.nd").alias("draw"), "b.inliers").join(models, [*keys, "draw"]))

@@ -311,7 +311,7 @@ GREEDY = """WITH RECURSIVE p AS ({pairs}),
 @query(
     GREEDY.format(
         key="k AS item_key",
-        pairs="""SELECT CAST(c_nationkey AS VARCHAR) AS k, c_custkey AS i, s_suppkey AS j, round(sqrt(power((c_acctbal - s_acctbal) / 100, 2) + power(c_custkey % 100 - s_suppkey % 100, 2)), 6) AS d FROM customer JOIN supplier ON c_nationkey = s_nationkey""",
+        pairs="""SELECT CAST(c_nationkey AS VARCHAR) AS k, c_custkey AS i, s_suppkey AS j, round(sqrt(power((c_acctbal - s_acctbal) / 100, 2) + power(c_custkey % 100 - s_suppkey % 100, 2)), 9) AS d FROM customer JOIN supplier ON c_nationkey = s_nationkey""",
     )
 )
 def c05_plant_match(spark, sf_dir):
@@ -543,10 +543,10 @@ def d52_crossing_descriptor(spark, sf_dir):
     return measure.crossing_descriptor(li).select("node_id", *[F.round(F.col("histogram")[k], 4).alias(f"b{k}") for k in (0, 3, 6)])
 
 
-@query("""SELECT o_orderkey AS seg_id, round(0.5 * o_totalprice / greatest(o_custkey / 100.0, 1.0), 4) AS radius FROM orders""")
+@query("""SELECT o_orderkey AS seg_id, CAST(floor(0.5 * o_totalprice / greatest(o_custkey / 100.0, 1.0) * 1000) AS BIGINT) AS thousandths FROM orders""")
 def d50_segment_radius(spark, sf_dir):
     o = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seg_id"), F.col("o_totalprice").alias("area"), (F.col("o_custkey") / 100.0).alias("length"))
-    return measure.segment_size(o).select("seg_id", F.round("radius", 4).alias("radius"))
+    return measure.segment_size(o).select("seg_id", F.floor(F.col("radius") * 1000).alias("thousandths"))
 
 
 @query(
