@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audio, html_extract, linededup, mixing, neardup, packing, secrets, toxicity, urls
+from . import ann, audio, fingerprints, html_extract, linededup, mixing, neardup, packing, secrets, toxicity, urls
 from .common import durable, ship
 
 
@@ -97,6 +97,21 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = lambda c: F.lower(F.hex(c))
+    return fingerprints.edit_likeness(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        packed("sketch").alias("fingerprint"),
+        packed("edited_sketch").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "jaccard_edited",
+        "jaccard_next",
+    )
+
+
 def queries() -> dict:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -109,6 +124,7 @@ def queries() -> dict:
         "op8_line_dedup": op8_line_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_media_columns": op10_media_columns,
+        "op11_fingerprints": op11_fingerprints,
     }
 
 
