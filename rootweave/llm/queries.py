@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audio, fingerprints, html_extract, linededup, mixing, neardup, packing, secrets, toxicity, urls
+from . import ann, audio, fingerprints, html_extract, linededup, manifest, mixing, neardup, packing, secrets, toxicity, urls, whitening
 from .common import durable, ship
 
 
@@ -112,6 +112,17 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return manifest.manifest(table(spark, sf_dir, "documents"), tampered, manifest.lower_ascii(F.col("text")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond a long is null here; the operator's is a decimal."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 def queries() -> dict:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -125,6 +136,8 @@ def queries() -> dict:
         "op9_secret_scan": op9_secret_scan,
         "op10_media_columns": op10_media_columns,
         "op11_fingerprints": op11_fingerprints,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_whitening": op13_whitening,
     }
 
 
@@ -164,6 +177,41 @@ SELECT p.page_id, p.host, p.path, p.rule, coalesce(p.own, CASE WHEN coalesce(j.b
 FROM p LEFT JOIN comp c ON c.node = p.key LEFT JOIN judged j ON j.alias_of = c.alias_of"""
 
 
+def _field(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(_field(text if c == 'text' else c) for c in manifest.FIELDS)})"
+
+
+#: Trees of all sources and, with the key '', of their subroots; levels are raised by a
+#: recursive query each, proofs are the siblings of a leaf's ancestors.
+OP12_SQL = f"""WITH RECURSIVE
+d AS (SELECT doc_id, {_field('source')} AS tree, source, {_leaf_sql('text')} AS leaf, {_leaf_sql(f"translate(text, '{urls.UPPER}', '{urls.LOWER}')")} AS low,
+ xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda q, z: CASE WHEN q & 1 = 1 THEN xor(q >> 1, 3988292384) ELSE q >> 1 END)), 4294967295) % 5 = 0 AS tampered
+ FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+lv AS (SELECT tree, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+ UNION ALL SELECT tree, level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM lv WHERE n > 1 GROUP BY tree, level, pos // 16),
+sources AS (SELECT tree, any_value(source) AS source FROM d GROUP BY 1),
+subroots AS (SELECT tree, digest, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM lv JOIN sources USING (tree) WHERE n = 1),
+top AS (SELECT 0 AS level, pos, digest, count(*) OVER () AS n FROM subroots
+ UNION ALL SELECT level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM top WHERE n > 1 GROUP BY level, pos // 16),
+nodes AS (SELECT tree, level, pos, digest, n FROM lv UNION ALL SELECT '', level, pos, digest, n FROM top),
+runs AS (SELECT tree, level, pos // 16 AS up, list(digest ORDER BY pos) AS kids FROM nodes WHERE n > 1 GROUP BY 1, 2, 3),
+climb AS (SELECT l.doc_id, l.tree AS own, l.pos AS place, l.leaf, l.tree, 0 AS level, l.pos, CASE WHEN tampered THEN low ELSE leaf END AS folded, '' AS proof FROM leaves l
+ UNION ALL SELECT c.doc_id, c.own, c.place, c.leaf, CASE WHEN r.tree IS NULL THEN '' ELSE c.tree END, CASE WHEN r.tree IS NULL THEN 0 ELSE c.level + 1 END, CASE WHEN r.tree IS NULL THEN s.pos ELSE c.pos // 16 END,
+  CASE WHEN r.tree IS NULL THEN c.folded ELSE sha256(array_to_string(r.kids[:c.pos % 16], '') || c.folded || array_to_string(r.kids[c.pos % 16 + 2:], '')) END,
+  CASE WHEN r.tree IS NULL THEN c.proof ELSE c.proof || array_to_string(r.kids[:c.pos % 16], '') || array_to_string(r.kids[c.pos % 16 + 2:], '') END
+  FROM climb c LEFT JOIN runs r ON r.tree = c.tree AND r.level = c.level AND r.up = c.pos // 16 LEFT JOIN subroots s ON s.tree = c.tree AND s.height = c.level
+  WHERE r.tree IS NOT NULL OR s.tree IS NOT NULL),
+root AS (SELECT level, digest FROM top WHERE n = 1)
+SELECT c.doc_id, c.leaf, s.digest AS subroot, root.digest AS root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = root.digest AS verified
+FROM climb c JOIN root ON c.tree = '' AND c.level = root.level JOIN subroots s ON s.tree = c.own"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {"op3_url_filters": OP3_SQL}
+    return {"op3_url_filters": OP3_SQL, "op12_merkle_manifest": OP12_SQL}
