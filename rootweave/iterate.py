@@ -1,14 +1,17 @@
 """Loops over DataFrames: each round is written to the shared folder, so plans stay
-short and the state outlives executors."""
+short and the state outlives executors.  And the way of the package's own code to the
+executors."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -34,3 +37,21 @@ def rounds(most: int | None = None) -> Iterator[int]:
         yield n
         n += 1
     raise RuntimeError(f"not done in {most} rounds")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the executors, once for an application: operators with Python
+    functions then run wherever the session was started, and whatever the workers' path."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        top = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="rootweave-")) / f"{top.name}-operators.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        spark.sparkContext.addPyFile(str(target))
+        _shipped.add(app)
+    return spark

@@ -3,6 +3,9 @@ overlap, nearest neighbours, suppression."""
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,42 +65,134 @@ def close_pairs(points: DataFrame, keys: list[str], radius: float) -> DataFrame:
     return near_pairs(points, other, keys, radius).where("i < j and d < %r" % radius)
 
 
+def usable(t: DataFrame, *columns: str) -> DataFrame:
+    """Rows with a finite number in every one of ``columns``."""
+    for c in columns:
+        v = F.col(c).cast("double")
+        t = t.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(1e300)))
+    return t
+
+
+ENDS = ("x0", "y0", "x1", "y1")
+
+
+def extent() -> Column:
+    """The longer side of a segment's box."""
+    return F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
+
+
+def level_of(size: Column, base: float, ratio: int) -> Column:
+    """The least level whose cells, ``base * ratio ** level`` wide, are no smaller than ``size``."""
+    return F.greatest(F.ceil(F.log(F.greatest(size, F.lit(base)) / base) / math.log(ratio) - 1e-9), F.lit(0)).cast("int")
+
+
 def point_segment_distance(points: DataFrame, segments: DataFrame, keys: list[str], radius: float) -> DataFrame:
     """``keys, point_id, seg_id, d, px, py, t`` for points and segments at most
-    ``radius`` apart: a segment is filed under every grid cell its padded box touches.
-    ``nearest_segment`` finds the nearest one however far it is.
-
-    ``points(keys, point_id, x, y)``, ``segments(keys, seg_id, x0, y0, x1, y1)``."""
-    cell = lambda v: F.floor(v / radius).cast("long")
-    lo = lambda a, b: cell(F.least(a, b) - radius)
-    hi = lambda a, b: cell(F.greatest(a, b) + radius)
-    filed = segments.withColumn("cx", F.explode(F.sequence(lo("x0", "x1"), hi("x0", "x1")))).withColumn("cy", F.explode(F.sequence(lo("y0", "y1"), hi("y0", "y1"))))
-    placed = points.withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))})
-    p = g.point_to_segment(*[F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")])
-    rows = placed.join(filed, [*keys, "cx", "cy"]).withColumn("p", p).where(F.col("p.d") <= radius)
+    ``radius`` apart; ``nearest_segment`` finds the nearest one however far it is.
+
+    ``points(keys, point_id, x, y)``, ``segments(keys, seg_id, x0, y0, x1, y1)``.  Grids
+    of several widths: a segment lies in the one whose cells are as wide as it is long,
+    under at most 16 cells whatever its length; a point is looked up once a grid.  Rows
+    with null or non-finite coordinates have no distance."""
+    points, segments = usable(points, "x", "y"), usable(segments, *ENDS)
+    sized = segments.withColumn("level", level_of(extent(), radius, 2))
+    levels = [r["level"] for r in sized.select("level").distinct().collect()]  # a row a power of two
+    cell = lambda v, level: F.floor(v / (radius * F.pow(F.lit(2.0), level))).cast("long")
+    lo = lambda a, b: cell(F.least(a, b) - radius, F.col("level"))
+    hi = lambda a, b: cell(F.greatest(a, b) + radius, F.col("level"))
+    filed = sized.withColumn("cx", F.explode(F.sequence(lo("x0", "x1"), hi("x0", "x1")))).withColumn("cy", F.explode(F.sequence(lo("y0", "y1"), hi("y0", "y1"))))
+    placed = points.withColumn("level", F.explode(F.array(*[F.lit(v) for v in sorted(levels)]).cast("array<int>")))
+    placed = placed.withColumns({"cx": cell(F.col("x"), F.col("level")), "cy": cell(F.col("y"), F.col("level"))})
+    p = g.point_to_segment(*[F.col(c) for c in ("x", "y", *ENDS)])
+    rows = placed.join(filed, [*keys, "level", "cx", "cy"]).withColumn("p", p).where(F.col("p.d") <= radius)
     return rows.select(*keys, "point_id", "seg_id", "p.d", F.col("p.x").alias("px"), F.col("p.y").alias("py"), "p.t")
 
 
+#: Width of a level's cells over that of the level below.
+RATIO = 4
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, keys: list[str], radius: float | None = None) -> DataFrame:
     """``keys, point_id, d, seg_id, px, py, t``: the nearest segment with a point's keys, ties
-    to the smaller id; points without any segment of their keys are left out.
-
-    The search starts at ``radius`` (by default the mean extent of the segments) and
-    doubles it for the points that have found nothing, so no pair is cut off."""
-    if radius is None:
-        extent = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
-        radius = segments.agg(F.avg(extent)).first()[0] or 1.0
-    left = settle(points.select(*keys, "point_id", "x", "y").join(segments.select(*keys).distinct(), keys, "left_semi").where("x is not null and y is not null"))
-    segments = segments.where("x0 is not null and y0 is not null and x1 is not null and y1 is not null")
-    found = None
-    while not left.isEmpty():
-        near = point_segment_distance(left, segments, keys, radius)
-        best = near.groupBy(*keys, "point_id").agg(F.min(F.struct("d", "seg_id", "px", "py", "t")).alias("b")).select(*keys, "point_id", "b.*")
-        best = settle(best)
-        found = best if found is None else found.union(best)
-        left = settle(left.join(best.select(*keys, "point_id"), [*keys, "point_id"], "left_anti"))
-        radius *= 2
-    return found if found is not None else point_segment_distance(left, segments, keys, radius).select(*keys, "point_id", "d", "seg_id", "px", "py", "t")
+    to the smaller id; points without any segment of their keys are left out, and so are
+    rows with null or non-finite coordinates.
+
+    A search in a tree of grids.  A segment lies in one cell, that of its middle, on the
+    level whose cells are as wide as it is long; ``radius`` is the width of the finest (by
+    default the middle length).  Points go down from the widest cells, all at once: on
+    each level they are compared with its segments, and cells that cannot hold anything
+    nearer than what is known to exist are given up.  So the rounds are as many as the
+    levels, whatever the distances."""
+    names = ["point_id", "d", "seg_id", "px", "py", "t"]
+    points = usable(points.select(*keys, "point_id", "x", "y"), "x", "y")
+    segments = usable(segments, *ENDS).select(*keys, "seg_id", *ENDS)
+    mx, my = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    span = segments.agg(
+        F.percentile_approx(F.when(extent() > 0, extent()), 0.5).alias("middle"),
+        F.max(extent()).alias("longest"),
+        F.max(F.greatest(F.abs(mx), F.abs(my))).alias("far"),
+    ).first()
+    base = float(max(radius or span["middle"] or 1.0, (span["far"] or 0.0) * 2.0**-40, (span["longest"] or 0.0) * 2.0**-40))
+    widest = max(2 * (span["far"] or 0.0), span["longest"] or 0.0)
+    top = max(0, math.ceil(math.log(max(widest / base, 1.0), RATIO)))
+    own = level_of(extent(), base, RATIO)
+    at = lambda v, level: F.floor(v / (base * F.pow(F.lit(float(RATIO)), level))).cast("long")
+    filed = settle(segments.select("*", own.alias("level"), at(mx, own).alias("cx"), at(my, own).alias("cy")))
+    # every cell that has segments, on its level or below
+    up = F.explode(F.sequence(F.col("level"), F.lit(top))).alias("l")
+    above = filed.select(*keys, "level", "cx", "cy").distinct().select(*keys, up, "level", "cx", "cy")
+    raised = lambda c: F.floor(F.col(c) / F.pow(F.lit(float(RATIO)), F.col("l") - F.col("level"))).cast("long").alias(c)
+    cells = above.select(*keys, "l", raised("cx"), raised("cy"), (F.col("l") == F.col("level")).alias("here"))
+    cells = settle(cells.groupBy(*keys, "l", "cx", "cy").agg(F.max("here").alias("here"), F.max(~F.col("here")).alias("deeper")))
+    held = {r["level"] for r in filed.select("level").distinct().collect()}  # a row a level
+
+    def beyond(level: int, reach: float) -> Column:
+        """Least distance from the point to a cell widened by ``reach``."""
+        size = base * RATIO**level
+        off = lambda v, c: F.greatest(F.col(c) * size - reach - F.col(v), F.col(v) - (F.col(c) + 1) * size - reach, F.lit(0.0))
+        return F.hypot(off("x", "cx"), off("y", "cy"))
+
+    def within(level: int) -> Column:
+        """Greatest distance from the point to a place in the cell."""
+        size = base * RATIO**level
+        off = lambda v, c: F.greatest(F.abs(F.col(c) * size - F.col(v)), F.abs((F.col(c) + 1) * size - F.col(v)))
+        return F.hypot(off("x", "cx"), off("y", "cy"))
+
+    by_point = Window.partitionBy(*keys, "point_id", "x", "y")
+
+    def opened(parents: DataFrame, level: int, on: list[str]) -> DataFrame:
+        """Cells of a level for the points of ``parents``, with what is known to exist, ``u``."""
+        here = cells.where(F.col("l") == level).drop("l")
+        if len(on) > len(keys):
+            here = here.select("*", *[F.floor(F.col(c) / RATIO).cast("long").alias("p" + c[1]) for c in ("cx", "cy")])
+        rows = parents.join(here, on).withColumn("u", F.min(F.least("u", within(level))).over(by_point))
+        size = base * RATIO**level
+        reach = F.when(F.col("here"), beyond(level, size / 2)).otherwise(beyond(level, size / RATIO / 2))
+        return settle(rows.where(reach <= F.col("u") * (1 + 1e-9) + base * 1e-9).select(*keys, "point_id", "x", "y", "u", "cx", "cy", "here", "deeper"))
+
+    state = opened(points.withColumn("u", F.lit(float("inf"))), top, keys)
+    results = []
+    for level in range(top, -1, -1):
+        size = base * RATIO**level
+        if level in held:
+            asked = state.where(F.col("here") & (beyond(level, size / 2) <= F.col("u") * (1 + 1e-9) + base * 1e-9))
+            p = g.point_to_segment(*[F.col(c) for c in ("x", "y", *ENDS)])
+            rows = asked.join(filed.where(F.col("level") == level).drop("level"), [*keys, "cx", "cy"]).withColumn("p", p)
+            best = F.min(F.struct("p.d", "seg_id", F.col("p.x").alias("px"), F.col("p.y").alias("py"), "p.t")).alias("b")
+            found = settle(rows.groupBy(*keys, "point_id", "x", "y").agg(best))
+            results.append(found)
+            if level:
+                known = found.select(*keys, "point_id", "x", "y", F.col("b.d").alias("d"))
+                state = state.join(known, [*keys, "point_id", "x", "y"], "left").withColumn("u", F.least("u", "d")).drop("d")
+        if level:
+            wide = state.where(F.col("deeper") & (beyond(level, size / RATIO / 2) <= F.col("u") * (1 + 1e-9) + base * 1e-9))
+            state = opened(wide.select(*keys, "point_id", "x", "y", "u", F.col("cx").alias("px"), F.col("cy").alias("py")), level - 1, [*keys, "px", "py"])
+    if not results:
+        none = points.join(segments, keys).limit(0)
+        return none.select(*keys, "point_id", *[F.lit(0.0).alias(c) if c != "seg_id" else F.col(c) for c in names[1:]])
+    found = reduce(DataFrame.union, results)
+    best = found.groupBy(*keys, "point_id", "x", "y").agg(F.min("b").alias("b"))
+    return best.select(*keys, "point_id", "b.*")
 
 
 def nearest_per_axe(distances: DataFrame, axe_segments: DataFrame, keys: list[str]) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from rootweave.iterate import ship
+
 ITEM = "item_key"
 
 
@@ -256,6 +258,7 @@ def hull(points: DataFrame, keys: list[str]) -> DataFrame:
 
     A point inside the hull of some of the points is inside the whole one, so a large
     group is dealt into parts, and only the corners of the parts' hulls meet."""
+    ship(points.sparkSession)
     rows = points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null").distinct()
     parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(HULL_PART)).cast("int").alias("parts"))
     dealt = rows.join(parts, keys).select(*keys, F.pmod(F.xxhash64("x", "y"), F.col("parts")).alias("part"), "x", "y")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rootweave.iterate import rounds, settle
+from rootweave.iterate import rounds, settle, ship
 from rootweave.operators import graph
 
 ITEM = "item_key"
@@ -167,91 +167,97 @@ def local_minima(raster: DataFrame, radius: int, strict: bool = False) -> DataFr
     return ranked.where("r.y = y and r.x = x").drop("r")
 
 
-def column_envelope(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one column of an item: for every cell the row whose nearest feature is nearest
-    to it, by the lower envelope of the rows' parabolas."""
-    rows = rows.sort_values("y", kind="stable")
-    has = rows[rows["fx"].notna()]
-    out = rows[["item_key", "y", "x"]].copy()
-    if not len(has):
-        out["d2"], out["fy"], out["fx"] = np.nan, pd.array([pd.NA] * len(out), "Int32"), pd.array([pd.NA] * len(out), "Int32")
-        return out
-    ys, fx = has["y"].to_numpy(np.int64), has["fx"].to_numpy().astype(np.int64)
-    height = (fx - int(rows["x"].iloc[0])) ** 2
-    front, start = [0], [-np.inf]
-    for k in range(1, len(ys)):
-        while True:
-            p = front[-1]
-            at = ((height[k] + ys[k] ** 2) - (height[p] + ys[p] ** 2)) / (2 * (ys[k] - ys[p]))
-            if at > start[-1]:
+#: Columns of a raster that one group of the distance transform holds.
+BLOCK = 32
+
+
+def nearest_in_rows(ys: np.ndarray, xs: np.ndarray, x: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of points sorted by (y, x): in every row the x nearest to ``x``, ties to the smaller,
+    and its distance."""
+    first = np.flatnonzero(np.diff(ys, prepend=ys[0] - 1))
+    key = (np.abs(xs - x) << 1) | (xs > x)
+    least = np.minimum.reduceat(key, first)
+    far = least >> 1
+    return np.where(least & 1, x + far, x - far), far
+
+
+def envelope(rows: np.ndarray, far: np.ndarray, metric: str) -> tuple[list[int], list[int]]:
+    """The rows that are nearest somewhere in a column and the first y where each one is,
+    both ascending; ``far`` is a row's distance along the row.  Ties go to the upper row."""
+    keep, start = [], []
+    for k, (u, g) in enumerate(zip(rows.tolist(), far.tolist())):
+        begin = None
+        while keep:
+            i, h, t = int(rows[keep[-1]]), int(far[keep[-1]]), start[-1]
+            # where the lower row is strictly nearer from on
+            if metric == "euclidean":
+                begin = (u * u - i * i + g * g - h * h) // (2 * (u - i)) + 1
+            elif metric == "taxicab":
+                begin = None if g >= h + u - i else -(1 << 62) if h > g + u - i else (g - h + u + i) // 2 + 1
+            else:
+                begin = max(i + g, (i + u) // 2) + 1 if h <= g else min(u - h, (i + u) // 2) + 1
+            if begin is None or begin > t:
                 break
-            front.pop()
+            keep.pop()
             start.pop()
-        front.append(k)
-        start.append(at)
-    y = rows["y"].to_numpy(np.int64)
-    best = np.array(front)[np.searchsorted(np.array(start), y, side="left") - 1]
-    out["d2"], out["fy"], out["fx"] = (height[best] + (y - ys[best]) ** 2).astype(float), ys[best].astype(np.int32), fx[best].astype(np.int32)
-    return out
+        if not keep:
+            keep, start = [k], [-(1 << 62)]
+        elif begin is not None:
+            keep.append(k)
+            start.append(begin)
+    return keep, start
+
+
+def block_distances(cells: pd.DataFrame, points: pd.DataFrame, metric: str) -> pd.DataFrame:
+    """Nearest point of every cell of a block of columns."""
+    points = points.sort_values(["y", "x"], kind="stable")
+    ys, xs = points["y"].to_numpy(np.int64), points["x"].to_numpy(np.int64)
+    rows, out = np.unique(ys), []
+    if len(rows):
+        for x, column in cells.groupby("x", sort=False):
+            near, far = nearest_in_rows(ys, xs, int(x))
+            keep, start = envelope(rows, far, metric)
+            y = column["y"].to_numpy(np.int64)
+            best = np.array(keep)[np.searchsorted(np.array(start), y, side="right") - 1]
+            steps, along = np.abs(y - rows[best]), far[best]
+            d = np.sqrt((steps * steps + along * along).astype(float)) if metric == "euclidean" else (steps + along if metric == "taxicab" else np.maximum(steps, along)).astype(float)
+            out.append(pd.DataFrame({"item_key": column["item_key"], "y": y.astype(np.int32), "x": np.int32(x), "d": d, "fy": rows[best].astype(np.int32), "fx": near[best].astype(np.int32)}))
+    return pd.concat(out) if out else pd.DataFrame({"item_key": cells["item_key"][:0], **{c: pd.Series(dtype=t) for c, t in (("y", "int32"), ("x", "int32"), ("d", "float64"), ("fy", "int32"), ("fx", "int32"))}})
 
 
 def distance_transform(raster: DataFrame, features: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """``item_key, y, x, d, fy, fx``: distance to the nearest feature cell, and that cell;
-    items without features have no row.  ``metric``: ``euclidean``, or ``chessboard`` and
-    ``taxicab`` by one pass along rows and one along columns.
-
-    The nearest feature of each row on either side, then the lower envelope of a column:
-    work and memory are in proportion to the cells, a group is one column."""
-    has = features.select(*CELL).withColumn("f", F.lit(True))
-    rows = raster.select(ITEM, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).join(has, CELL, "left")
-    here = F.when(F.col("f"), F.col("x"))
-    before = F.last(here, ignorenulls=True).over(Window.partitionBy(ITEM, "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(here, ignorenulls=True).over(Window.partitionBy(ITEM, "y").orderBy("x").rowsBetween(0, Window.unboundedFollowing))
-    near = F.when(before.isNull() | (F.abs(after - F.col("x")) < F.abs(before - F.col("x"))), after).otherwise(before)
-    rows = rows.select(*CELL, near.alias("fx"))
-    if metric == "euclidean":
-        item = rows.schema[ITEM].dataType.simpleString()
-        best = rows.groupBy(ITEM, "x").applyInPandas(column_envelope, f"item_key {item}, y int, x int, d2 double, fy int, fx int")
-        return best.where("d2 is not null and not isnan(d2)").select(*CELL, F.sqrt("d2").alias("d"), "fy", "fx")
-    return _ring_distance(rows, metric)
-
-
-def _ring_distance(rows: DataFrame, metric: str) -> DataFrame:
-    """Chessboard or taxicab distance from the nearest features of rows.  Taxicab: the
-    least of ``d - y`` above and ``d + y`` below.  Chessboard: rows in growing distance,
-    which must exceed the least found so far to be given up."""
-    d = F.abs(F.col("fx") - F.col("x"))
-    if metric == "taxicab":
-        up = Window.partitionBy(ITEM, "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-        down = Window.partitionBy(ITEM, "x").orderBy("y").rowsBetween(0, Window.unboundedFollowing)
-        mark = lambda k: F.when(F.col("fx").isNotNull(), F.struct(k.alias("k"), F.col("y").alias("fy"), F.col("fx").alias("fx")))
-        found = rows.select(*CELL, F.min(mark(d - F.col("y"))).over(up).alias("a"), F.min(mark(d + F.col("y"))).over(down).alias("b"))
-        a = F.struct((F.col("a.k") + F.col("y")).alias("d"), F.col("a.fy").alias("fy"), F.col("a.fx").alias("fx"))
-        b = F.struct((F.col("b.k") - F.col("y")).alias("d"), F.col("b.fy").alias("fy"), F.col("b.fx").alias("fx"))
-        best = F.least(F.when(F.col("a").isNotNull(), a), F.when(F.col("b").isNotNull(), b))
-        return found.select(*CELL, best.alias("m")).where("m is not null").select(*CELL, F.col("m.d").cast("double").alias("d"), "m.fy", "m.fx")
-    if metric != "chessboard":
+    """``item_key, y, x, d, fy, fx``: distance of every raster cell to the nearest feature
+    cell, and that cell.  ``metric``: ``euclidean``, ``chessboard`` or ``taxicab``.
+
+    The raster may have gaps, and features may stand where it has no cell.  A block of
+    columns is one group: it holds the features in it and, of every row, the nearest ones
+    on either side, so no row is gathered.  In a column the rows' distances form a lower
+    envelope, found in one pass.  Work: the cells, and of every item its feature rows once
+    a column that has cells.
+
+    Items without features have no row, nor have cells with null places; repeated cells
+    have one each, repeated features count once, an empty table gives no row."""
+    if metric not in ("euclidean", "chessboard", "taxicab"):
         raise ValueError(f"unknown metric {metric}")
-    item = rows.schema[ITEM].dataType.simpleString()
-
-    def column(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("y", kind="stable")
-        y, fx = group["y"].to_numpy(np.int64), group["fx"].to_numpy(dtype=float)
-        near = np.abs(fx - group["x"].iloc[0])
-        near[np.isnan(near)] = np.inf
-        best, at, step = near.copy(), np.arange(len(y)), 1
-        while step < len(y) and (best > step).any():
-            for move in (-step, step):
-                ok = np.flatnonzero((np.arange(len(y)) + move >= 0) & (np.arange(len(y)) + move < len(y)))
-                far = np.maximum(near[ok + move], np.abs(y[ok + move] - y[ok]))
-                better = far < best[ok]
-                best[ok[better]], at[ok[better]] = far[better], ok[better] + move
-            step += 1
-        out = group[["item_key", "y", "x"]].copy()
-        out["d"], out["fy"], out["fx"] = best, y[at].astype(np.int32), np.nan_to_num(fx[at]).astype(np.int32)
-        return out[np.isfinite(best)]
-
-    return rows.groupBy(ITEM, "x").applyInPandas(column, f"item_key {item}, y int, x int, d double, fy int, fx int")
+    ship(raster.sparkSession)
+    place = lambda t: t.select(ITEM, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.floor(F.col("x") / BLOCK).cast("int").alias("block")).where("y is not null and x is not null")
+    cells, points = place(raster), place(features).distinct()
+    blocks = cells.groupBy(ITEM, "block").agg(F.lit(1).alias("one")).drop("one")
+    ends = blocks.groupBy(ITEM).agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
+    # the features at either end of a block's part of a row serve the blocks up to the next part
+    parts = points.groupBy(ITEM, "y", "block").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    w = Window.partitionBy(ITEM, "y").orderBy("block")
+    parts = parts.select("*", F.lag("block").over(w).alias("before"), F.lead("block").over(w).alias("after")).join(ends, ITEM)
+    up_to = F.explode(F.when(F.least("hi", F.coalesce("after", "hi")) > F.col("block"), F.sequence(F.greatest("lo", F.col("block") + 1), F.least("hi", F.coalesce("after", "hi")))))
+    down_to = F.explode(F.when(F.greatest("lo", F.coalesce("before", "lo")) < F.col("block"), F.sequence(F.greatest("lo", F.coalesce("before", "lo")), F.least("hi", F.col("block") - 1))))
+    right = parts.where(F.greatest("lo", F.col("block") + 1) <= F.least("hi", F.coalesce("after", "hi"))).select(ITEM, "y", F.col("x1").alias("x"), up_to.alias("block"))
+    left = parts.where(F.greatest("lo", F.coalesce("before", "lo")) <= F.least("hi", F.col("block") - 1)).select(ITEM, "y", F.col("x0").alias("x"), down_to.alias("block"))
+    near = points.unionByName(left).unionByName(right).join(blocks, [ITEM, "block"], "left_semi")
+    near = near.select(*[F.col(c).alias(c) for c in near.columns])  # own columns, where features are part of the raster
+    item = cells.schema[ITEM].dataType.simpleString()
+    key = [ITEM, "block"]
+    work = lambda a, b: block_distances(a, b, metric)
+    return cells.groupBy(*key).cogroup(near.groupBy(*key)).applyInPandas(work, f"item_key {item}, y int, x int, d double, fy int, fx int")
 
 
 def fill_nearest(raster: DataFrame, invalid: DataFrame, most: float | None = None) -> DataFrame:
