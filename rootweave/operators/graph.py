@@ -8,12 +8,16 @@ write each round to the shared folder.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rootweave.iterate import rounds, settle
+from rootweave.iterate import rounds, settle, ship
+from rootweave.operators import local
 
 ITEM = "item_key"
 
@@ -95,48 +99,187 @@ def reachable(segments: DataFrame) -> DataFrame:
     return label.join(good, [ITEM, "component"]).select(ITEM, F.col("node_id").alias("seg_id"), "reachable")
 
 
+#: Edges of a graph that one task may hold.
+LOCAL = 500_000
+
+
+
+def _same(value, n: int) -> pd.Series:
+    """A column of one value, strings as plain objects."""
+    return pd.Series([value] * n, dtype=object)
+
+
+def edge_costs(edges: DataFrame, nodes: DataFrame, cost: Callable[[Column, Column, Column], Column], value: str = "value") -> DataFrame:
+    """``edges`` with ``cost(edge, a, b)`` of their own cost and their ends' values; the
+    value of a node that is not in ``nodes(item_key, node_id, value)`` is null."""
+    at = lambda end: nodes.select(ITEM, F.col("node_id").alias(end), F.col(value).alias(f"__{end}"))
+    rows = edges.join(at("a"), [ITEM, "a"], "left").join(at("b"), [ITEM, "b"], "left")
+    return rows.withColumn("cost", cost(F.col("cost"), F.col("__a"), F.col("__b"))).drop("__a", "__b")
+
+
+def whole(edges: DataFrame) -> DataFrame:
+    """Edges with both ends, those of items beyond ``LOCAL`` marked ``large``."""
+    sizes = edges.groupBy(ITEM).agg((F.count("*") > LOCAL).alias("large"))
+    return edges.where("a is not null and b is not null").join(sizes, ITEM)
+
+
+def blocks(edges: DataFrame, place: Callable[[Column], Column] | None = None) -> DataFrame | None:
+    """``item_key, node_id, block``: blocks of about ``LOCAL`` edges for the nodes of items
+    that have more; None where no item has.
+
+    ``place`` gives a node's block, where the caller knows what lies together.  Otherwise
+    whole components share a block, and components too large for one are cut into
+    ranges of node ids."""
+    sizes = settle(edges.groupBy(ITEM).agg(F.count("*").alias("n")).where(F.col("n") > LOCAL))
+    if sizes.isEmpty():
+        return None
+    large = settle(edges.select(ITEM, "a", "b").join(sizes, ITEM))
+    nodes = settle(large.select(ITEM, F.col("a").alias("node_id")).union(large.select(ITEM, F.col("b").alias("node_id"))).distinct())
+    if place is not None:
+        return settle(nodes.withColumn("block", place(F.col("node_id")).cast("string")))
+    label = settle(components(nodes, large.select(ITEM, "a", "b")))
+    of = label.select(ITEM, F.col("node_id").alias("a"), "component")
+    counts = settle(large.join(of, [ITEM, "a"]).groupBy(ITEM, "component").agg(F.count("*").alias("m"), F.first("n").alias("n")))
+    most = counts.agg(F.max("m")).first()[0]
+    parts = -(-2 * most // LOCAL)
+    rows = label.join(counts, [ITEM, "component"])
+    dealt = F.concat(F.lit("c"), F.pmod(F.xxhash64("component"), F.ceil(2 * F.col("n") / LOCAL)).cast("string"))
+    small = rows.where(F.col("m") <= LOCAL).select(ITEM, "node_id", dealt.alias("block"))
+    giant = rows.where(F.col("m") > LOCAL)
+    cuts = giant.groupBy(ITEM, "component").agg(F.percentile_approx("node_id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts).alias("cuts"))
+    number = F.size(F.filter("cuts", lambda c: c < F.col("node_id"))).cast("string")
+    return settle(small.union(giant.join(cuts, [ITEM, "component"]).select(ITEM, "node_id", F.concat_ws(":", F.lit("r"), "component", number).alias("block"))))
+
+
+LABEL = ("node_id", "dist", "hops", "parent", "source")
+
+
 def shortest_paths(
     edges: DataFrame,
     sources: DataFrame,
-    most: int = 1000,
-    combine: Callable[[Column, Column], Column] | None = None,
+    combine: str = "sum",
     start: DataFrame | None = None,
+    place: Callable[[Column], Column] | None = None,
     on_round: Callable[[int, int], None] | None = None,
 ) -> DataFrame:
     """``item_key, node_id, dist, parent, source``: cheapest path from any source.
 
-    ``edges(item_key, a, b, cost)`` directed, ``sources(item_key, node_id, dist)``.
-    Only nodes improved in the last round send on.  ``combine(dist, cost)`` is their
-    sum by default (the larger of both gives watersheds).  ``start`` is an earlier
-    result to go on from.  Ties go to the smaller parent.
-
-    Rounds go on until no node improves, one for every step of the longest path.  After
-    ``most`` of them the nodes are counted: a path has no more steps than an item has
-    nodes, so what improves for longer has a cycle that costs less than nothing and
-    raises."""
-    combine = combine or (lambda d, c: d + c)
-    first = sources.select(ITEM, "node_id", F.col("dist").cast("double").alias("dist"), F.lit(None).cast("bigint").alias("parent"), F.col("node_id").alias("source"))
-    first = first.groupBy(ITEM, "node_id").agg(F.min(F.struct("dist", "parent", "source")).alias("b")).select(ITEM, "node_id", "b.*")
-    best = settle(first if start is None else first.union(start.select(*first.columns)).groupBy(ITEM, "node_id").agg(F.min(F.struct("dist", "parent", "source")).alias("b")).select(ITEM, "node_id", "b.*"))
-    front = best
+    ``edges(item_key, a, b, cost)`` directed, ``sources(item_key, node_id, dist)``.  A path
+    costs the ``sum`` of its edges or their ``max``.  ``start`` is an earlier result to go
+    on from.  Of paths of equal cost the one of fewest steps counts, then the smaller
+    parent, so the result is the same however the graph is dealt out.
+
+    An item of up to ``LOCAL`` edges is solved in one task.  A larger one is dealt into
+    ``blocks``: each is solved in a task from its sources and from what the edges that
+    enter it offer, only these offers are written, and blocks whose offers changed are
+    solved again.  So the rounds grow with the blocks a path crosses, not with its steps.
+    ``on_round`` gets the round and the number of changed offers.
+
+    Edges and sources with null ends, and sources without a distance, don't count; an
+    empty table gives no row.  A cycle that costs less than nothing raises."""
+    ship(edges.sparkSession)
+    larger = {"sum": False, "max": True}[combine]
+    kind, item = edges.schema["a"].dataType.simpleString(), edges.schema[ITEM].dataType.simpleString()
+    first = sources.select(ITEM, "node_id", F.col("dist").cast("double").alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("parent"), F.col("node_id").alias("source"))
+    if start is not None:
+        first = first.union(start.select(ITEM, "node_id", "dist", F.lit(0).alias("hops"), "parent", "source"))
+    first = first.select(ITEM, *[F.col(c).cast(kind).alias(c) if c in ("node_id", "parent", "source") else F.col(c) for c in LABEL]).where("node_id is not null and dist is not null and not isnan(dist)")
+    edges = edges.select(ITEM, "a", "b", F.col("cost").cast("double").alias("cost")).where("a is not null and b is not null and cost is not null")
+    schema = f"{ITEM} {item}, node_id {kind}, dist double, hops int, parent {kind}, source {kind}"
+    where = blocks(edges, place)
+
+    def solved(a, b, cost, begin: pd.DataFrame):
+        parents = [None if pd.isna(p) else int(p) if isinstance(p, float) else p for p in begin["parent"].tolist()]
+        return local.labels(a, b, cost, begin["node_id"].to_numpy(), begin["dist"].tolist(), begin["hops"].tolist(), parents, begin["source"].tolist(), larger)
+
+    def table(key, found) -> pd.DataFrame:
+        ids, dist, hops, parent, source = found
+        number = "Int64" if kind in ("bigint", "int") else None
+        return pd.DataFrame({ITEM: _same(key, len(ids)), "node_id": ids, "dist": dist, "hops": hops, "parent": pd.array(parent, number) if number else parent, "source": source})
+
+    def item_labels(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(right):
+            return table(key[0], ([],) * 5)
+        found = solved(left["a"].to_numpy(), left["b"].to_numpy(), left["cost"].to_numpy(), right)
+        return table(key[0], found if found else ([right["node_id"].iloc[0]], [float("-inf")], [0], [None], [right["node_id"].iloc[0]]))
+
+    if where is None:
+        own = first.select(*[F.col(c).alias(c) for c in (ITEM, *LABEL)])
+        found = settle(edges.groupBy(ITEM).cogroup(own.groupBy(ITEM)).applyInPandas(item_labels, schema))
+        if on_round:
+            on_round(1, 0)
+        return _sound(found)
+
+    at = lambda end, name: where.select(ITEM, F.col("node_id").alias(end), F.col("block").alias(name))
+    rows = edges.join(at("a", "block"), [ITEM, "a"], "left").join(at("b", "other"), [ITEM, "b"], "left")
+    rows = rows.select(ITEM, F.coalesce("block", F.lit("")).alias("block"), "a", "b", "cost", F.coalesce("other", F.lit("")).alias("other"))
+
+    def pack(key, group: pd.DataFrame) -> pd.DataFrame:
+        inner = group[group["other"] == key[1]]
+        cut = group[group["other"] != key[1]]
+        cells = {c: [inner[c].tolist()] for c in ("a", "b", "cost")} | {f"cut_{c}": [cut[c].tolist()] for c in ("a", "b", "cost", "other")}
+        return pd.DataFrame({ITEM: _same(key[0], 1), "block": _same(key[1], 1), **cells})
+
+    packed_schema = f"{ITEM} {item}, block string, a array<{kind}>, b array<{kind}>, cost array<double>, cut_a array<{kind}>, cut_b array<{kind}>, cut_cost array<double>, cut_other array<string>"
+    packed = settle(rows.groupBy(ITEM, "block").applyInPandas(pack, packed_schema))
+    begin = settle(first.join(where, [ITEM, "node_id"], "left").select(ITEM, F.coalesce("block", F.lit("")).alias("block"), *LABEL))
+    offer = f"{ITEM} {item}, origin string, block string, node_id {kind}, dist double, hops int, parent {kind}, source {kind}"
+
+    def block_labels(left: pd.DataFrame, right: pd.DataFrame):
+        if not len(right):
+            return None
+        row = left.iloc[0] if len(left) else None
+        part = (lambda c: np.asarray(row[c])) if row is not None else (lambda c: right["node_id"].to_numpy()[:0])
+        found = solved(part("a"), part("b"), part("cost"), right)
+        return found or ([right["node_id"].iloc[0]], [float("-inf")], [0], [None], [right["node_id"].iloc[0]])
+
+    def offers_of(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found, out = block_labels(left, right), []
+        if found and len(left):
+            known = {v: (d, h, s) for v, d, h, s in zip(found[0], found[1], found[2], found[4])}
+            row = left.iloc[0]
+            for a, b, c, other in zip(row["cut_a"], row["cut_b"], row["cut_cost"], row["cut_other"]):
+                if a in known:
+                    d, h, s = known[a]
+                    out.append((key[0], key[1], other, b, (max(d, c) if larger else d + c), h + 1, a, s))
+        return pd.DataFrame(out, columns=[ITEM, "origin", "block", *LABEL], dtype=object)
+
+    def block_table(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = block_labels(left, right)
+        return table(key[0], found or ([],) * 5)
+
+    key = [ITEM, "block"]
+    offers, active = None, settle(begin.select(*key).distinct())
+    nodes = None
     for n in rounds():
-        sent = front.select(ITEM, F.col("node_id").alias("a"), "dist", "source").join(edges, [ITEM, "a"])
-        offer = sent.groupBy(ITEM, F.col("b").alias("node_id")).agg(F.min(F.struct(combine(F.col("dist"), F.col("cost")).alias("dist"), F.col("a").alias("parent"), "source")).alias("o"))
-        joined = settle(best.join(offer, [ITEM, "node_id"], "full"))
-        better = F.col("o").isNotNull() & (F.col("dist").isNull() | (F.col("o.dist") < F.col("dist")))
-        front = joined.where(better).select(ITEM, "node_id", "o.dist", "o.parent", "o.source")
-        best = joined.select(ITEM, "node_id", *[F.when(better, F.col(f"o.{c}")).otherwise(F.col(c)).alias(c) for c in ("dist", "parent", "source")])
-        changed = front.count()
+        given = begin if offers is None else begin.unionByName(offers.drop("origin"))
+        given = given.join(active, key, "left_semi")
+        given = given.select(*[F.col(c).alias(c) for c in given.columns])
+        new = settle(packed.join(active, key, "left_semi").groupBy(*key).cogroup(given.groupBy(*key)).applyInPandas(offers_of, offer))
+        if offers is None:
+            changed, offers = new, new
+        else:
+            changed = new.join(offers, list(new.columns), "left_anti")
+            done = active.withColumnRenamed("block", "origin")
+            offers = settle(offers.join(done, [ITEM, "origin"], "left_anti").unionByName(new))
+        active = settle(changed.select(*key).distinct())
         if on_round:
-            on_round(n + 1, changed)
-        if not changed:
+            on_round(n + 1, changed.count())
+        if active.isEmpty():
             break
-        if n + 1 == most:
-            ends = edges.select(ITEM, F.col("a").alias("node_id")).union(edges.select(ITEM, F.col("b").alias("node_id"))).distinct()
-            bound = ends.groupBy(ITEM).count().agg(F.max("count")).first()[0]
-        if n + 1 >= most and n > bound:
-            raise RuntimeError(f"paths still improve after {n + 1} rounds: a cycle of negative cost")
-    return best
+        if n % 64 == 63:
+            nodes = nodes or where.groupBy(ITEM).count().agg(F.max("count")).first()[0]
+            if n > nodes:
+                raise RuntimeError(f"paths still improve after {n + 1} rounds: a cycle of negative cost")
+    given = begin.unionByName(offers.drop("origin"))
+    given = given.select(*[F.col(c).alias(c) for c in given.columns])
+    return _sound(settle(packed.groupBy(*key).cogroup(given.groupBy(*key)).applyInPandas(block_table, schema)))
+
+
+def _sound(found: DataFrame) -> DataFrame:
+    if not found.where(F.col("dist") == float("-inf")).isEmpty():
+        raise RuntimeError("a cycle of negative cost")
+    return found.drop("hops")
 
 
 def longest_way(parents: DataFrame) -> int:
@@ -250,25 +393,103 @@ def segment_direction(segments: DataFrame, edges: DataFrame, fixed: DataFrame, m
     return state.select(ITEM, "seg_id", "flip")
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``item_key, node_id, strong``: the least node of each node's strong component, for
+    every node of an edge.
+
+    Items, and components of larger items, of up to ``LOCAL`` edges are solved in a task.
+    For the rest each round gives every node the least node that reaches it; who reaches
+    that one back makes its component, which then goes, with nodes that nothing enters
+    or leaves."""
+    ship(edges.sparkSession)
+    edges = edges.select(ITEM, "a", "b").where("a is not null and b is not null").distinct()
+    where = blocks(edges)
+    kind, item = edges.schema["a"].dataType.simpleString(), edges.schema[ITEM].dataType.simpleString()
+
+    def solve(key, group: pd.DataFrame) -> pd.DataFrame:
+        ids, label = local.strong_components(group["a"].to_numpy(), group["b"].to_numpy())
+        return pd.DataFrame({ITEM: _same(key[0], len(ids)), "node_id": ids, "strong": label})
+
+    schema = f"{ITEM} {item}, node_id {kind}, strong {kind}"
+    if where is None:
+        return edges.groupBy(ITEM).applyInPandas(solve, schema)
+    rows = settle(edges.join(where.withColumnRenamed("node_id", "a"), [ITEM, "a"], "left").withColumn("block", F.coalesce("block", F.lit(""))))
+    found = rows.where(~F.col("block").startswith("r:")).groupBy(ITEM, "block").applyInPandas(solve, schema)
+    live, parts = settle(rows.where(F.col("block").startswith("r:")).select(ITEM, "a", "b")), []
+    ends = lambda e: e.select(ITEM, F.col("a").alias("node_id")).union(e.select(ITEM, F.col("b").alias("node_id"))).distinct()
+    left = settle(ends(live))
+    while not left.isEmpty():
+        # nodes that nothing enters or leaves are components of their own
+        while True:
+            inner = live.where("a <> b")
+            through = inner.select(ITEM, F.col("b").alias("node_id")).distinct().intersect(inner.select(ITEM, F.col("a").alias("node_id")).distinct())
+            alone = settle(left.join(through, [ITEM, "node_id"], "left_anti"))
+            if alone.isEmpty():
+                break
+            parts.append(alone.withColumn("strong", F.col("node_id")))
+            left = settle(left.join(alone, [ITEM, "node_id"], "left_anti"))
+            live = settle(_inside(live, left))
+        if left.isEmpty():
+            break
+        free = live.withColumn("cost", F.lit(float("-inf")))
+        colour = shortest_paths(free, left.withColumn("dist", F.col("node_id").cast("double")), combine="max").select(ITEM, "node_id", F.col("source").alias("strong"))
+        same = live.join(colour.select(ITEM, F.col("node_id").alias("a"), F.col("strong").alias("ca")), [ITEM, "a"]).join(colour.select(ITEM, F.col("node_id").alias("b"), F.col("strong").alias("cb")), [ITEM, "b"]).where("ca = cb")
+        turned = same.select(ITEM, F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1.0).alias("cost"))
+        back = shortest_paths(turned, colour.where("node_id = strong").select(ITEM, "node_id", F.lit(0.0).alias("dist"))).select(ITEM, "node_id", F.col("source").alias("strong"))
+        parts.append(back)
+        left = settle(left.join(back, [ITEM, "node_id"], "left_anti"))
+        live = settle(_inside(live, left))
+    return reduce(DataFrame.union, parts, found)
+
+
+def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    for c in ("a", "b"):
+        edges = edges.join(nodes.withColumnRenamed("node_id", c), [ITEM, c], "left_semi")
+    return edges
+
+
 def to_dag(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(kept, removed)`` edges: all that lead to a node later in the order (distance
     from the sources, id) stay.  An edge back stays only if its start is not reachable
-    from its end over kept edges; such edges are tried in order, one an item a round,
-    so the result is always acyclic."""
+    from its end over kept edges; they are tried in order of (distance, start, distance,
+    end), so the result is acyclic and no removed edge could be taken back.  Edges of
+    nodes that no source reaches are removed, and so are loops.
+
+    An edge between two strong components closes no cycle; only those inside one are
+    tried, all components at once, each in a task.  A strong component of more than
+    ``LOCAL`` edges goes by a round for each edge back."""
+    ship(edges.sparkSession)
     dist = shortest_paths(edges, sources).select(ITEM, "node_id", "dist")
     end = lambda c: dist.select(ITEM, F.col("node_id").alias(c), F.col("dist").alias(f"d{c}"))
-    rows = settle(edges.join(end("a"), [ITEM, "a"]).join(end("b"), [ITEM, "b"]))
+    rows = settle(edges.join(end("a"), [ITEM, "a"]).join(end("b"), [ITEM, "b"]).where("a <> b"))
+    strong = settle(strong_components(rows))
+    label = lambda c: strong.select(ITEM, F.col("node_id").alias(c), F.col("strong").alias(f"s{c}"))
+    pairs = settle(rows.select(ITEM, "a", "b", "da", "db").distinct().join(label("a"), [ITEM, "a"]).join(label("b"), [ITEM, "b"]))
+    inner = pairs.where("sa = sb").drop("sb").withColumnRenamed("sa", "strong")
+    sizes = inner.groupBy(ITEM, "strong").agg(F.count("*").alias("n"))
+    inner = settle(inner.join(sizes, [ITEM, "strong"]))
+    kind, item = rows.schema["a"].dataType.simpleString(), rows.schema[ITEM].dataType.simpleString()
+
+    def tried(key, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["da", "a", "db", "b"], kind="stable")
+        keep = local.acyclic(group["a"].to_numpy(), group["b"].to_numpy(), group["da"].tolist(), group["db"].tolist())
+        return group.loc[keep, [ITEM, "a", "b"]]
+
+    taken = inner.where(F.col("n") <= LOCAL).groupBy(ITEM, "strong").applyInPandas(tried, f"{ITEM} {item}, a {kind}, b {kind}")
+    kept = settle(pairs.where("sa <> sb").select(ITEM, "a", "b").union(taken))
+    giant = inner.where(F.col("n") > LOCAL)
     later = (F.col("db") > F.col("da")) | ((F.col("db") == F.col("da")) & (F.col("b") > F.col("a")))
-    kept, waiting = rows.where(later), settle(rows.where(~later & (F.col("a") != F.col("b"))))
+    waiting = settle(giant.where(~later))
+    inside = giant.where(later).select(ITEM, "a", "b")
     while not waiting.isEmpty():
-        first = settle(waiting.groupBy(ITEM).agg(F.min(F.struct("da", "a", "db", "b")).alias("x")).select(ITEM, "x.*"))
-        found = shortest_paths(kept.select(ITEM, "a", "b", F.lit(1.0).alias("cost")), first.select(ITEM, F.col("b").alias("node_id"), F.lit(0.0).alias("dist")))
+        first = settle(waiting.groupBy(ITEM, "strong").agg(F.min(F.struct("da", "a", "db", "b")).alias("x")).select(ITEM, "strong", "x.a", "x.b"))
+        found = shortest_paths(inside.withColumn("cost", F.lit(1.0)), first.select(ITEM, F.col("b").alias("node_id"), F.lit(0.0).alias("dist")))
         closes = first.join(found.select(ITEM, F.col("node_id").alias("a")), [ITEM, "a"], "left_semi")
-        good = first.join(closes, [ITEM, "a", "b"], "left_anti").select(ITEM, "a", "b")
-        kept = settle(kept.unionByName(rows.join(good, [ITEM, "a", "b"], "left_semi")))
+        inside = settle(inside.union(first.join(closes, [ITEM, "a", "b"], "left_anti").select(ITEM, "a", "b")))
         waiting = settle(waiting.join(first, [ITEM, "a", "b"], "left_anti"))
-    removed = edges.join(kept.select(ITEM, "a", "b"), [ITEM, "a", "b"], "left_anti")
-    return kept.drop("da", "db"), removed
+    kept = kept.union(inside)
+    removed = edges.join(kept, [ITEM, "a", "b"], "left_anti")
+    return rows.drop("da", "db").join(kept, [ITEM, "a", "b"], "left_semi").select(*edges.columns), removed
 
 
 def minimum_branching(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -282,21 +503,40 @@ def minimum_branching(edges: DataFrame, known: DataFrame | None = None) -> DataF
     return joined.select(ITEM, "node_id", F.coalesce("k", "parent").alias("parent"))
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``item_key, node_id, level``: Kahn's order by levels, from the sources; what they
-    don't reach is left out."""
-    inside = shortest_paths(edges.select(ITEM, "a", "b", F.lit(1.0).alias("cost")), sources.select(ITEM, "node_id", F.lit(0.0).alias("dist"))).select(ITEM, "node_id")
-    live_edges = settle(edges.select(ITEM, "a", "b").join(inside.withColumnRenamed("node_id", "a"), [ITEM, "a"], "left_semi"))
-    left, done = settle(inside), None
-    for level in rounds(most):
-        free = settle(left.join(live_edges.select(ITEM, F.col("b").alias("node_id")), [ITEM, "node_id"], "left_anti"))
-        if free.isEmpty():
-            break
-        row = free.withColumn("level", F.lit(level))
-        done = row if done is None else settle(done.union(row))
-        left = settle(left.join(free, [ITEM, "node_id"], "left_anti"))
-        live_edges = settle(live_edges.join(free.withColumnRenamed("node_id", "a"), [ITEM, "a"], "left_anti"))
-    return done if done is not None else inside.withColumn("level", F.lit(0)).limit(0)
+    don't reach, or what lies behind a cycle, is left out.  Items of up to ``LOCAL`` edges
+    go in one task each, of larger ones all free nodes a round; a round writes its own
+    level and the edges that are left."""
+    ship(edges.sparkSession)
+    edges = edges.select(ITEM, "a", "b").where("a is not null and b is not null").distinct()
+    marked = settle(whole(edges))
+    kind, item = edges.schema["a"].dataType.simpleString(), edges.schema[ITEM].dataType.simpleString()
+
+    def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, level = local.levels(left["a"].to_numpy(), left["b"].to_numpy(), right["node_id"].to_numpy()) if len(right) else ([], [])
+        return pd.DataFrame({ITEM: _same(key[0], len(ids)), "node_id": ids, "level": level})
+
+    begin = sources.select(ITEM, F.col("node_id").cast(kind).alias("node_id")).where("node_id is not null").distinct()
+    big = marked.where("large").select(ITEM).distinct()
+    few = begin.join(big, ITEM, "left_anti")
+    few = few.select(*[F.col(c).alias(c) for c in few.columns])
+    parts = [marked.where("not large").groupBy(ITEM).cogroup(few.groupBy(ITEM)).applyInPandas(solve, f"{ITEM} {item}, node_id {kind}, level int")]
+    live = settle(marked.where("large").select(ITEM, "a", "b"))
+    if not live.isEmpty():
+        inside = shortest_paths(live.withColumn("cost", F.lit(1.0)), begin.join(big, ITEM, "left_semi").withColumn("dist", F.lit(0.0))).select(ITEM, "node_id")
+        left = settle(inside)
+        live = settle(live.join(inside.withColumnRenamed("node_id", "a"), [ITEM, "a"], "left_semi"))
+        for level in rounds():
+            free = settle(left.join(live.select(ITEM, F.col("b").alias("node_id")), [ITEM, "node_id"], "left_anti"))
+            if free.isEmpty():
+                break
+            parts.append(free.withColumn("level", F.lit(level)))
+            left = settle(left.join(free, [ITEM, "node_id"], "left_anti"))
+            live = settle(live.join(free.withColumnRenamed("node_id", "a"), [ITEM, "a"], "left_anti"))
+            if len(parts) > 32:
+                parts = [parts[0], settle(reduce(DataFrame.union, parts[1:]))]
+    return reduce(DataFrame.union, parts)
 
 
 def linear_runs(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -276,6 +276,17 @@ def cell_id(y: Column, x: Column) -> Column:
     return y.cast("long") * (1 << 31) + x
 
 
+#: Side of the tiles into which the ways of a large raster are dealt.
+TILE = 256
+
+
+def tile(node: Column) -> Column:
+    """The tile of a cell's number."""
+    y = F.shiftright(node + (1 << 30), 31)
+    x = node - y * (1 << 31)
+    return F.concat_ws(":", F.floor(y / TILE), F.floor(x / TILE))
+
+
 def label_components(mask: DataFrame, neighbours: list[tuple[int, int]] = N8) -> DataFrame:
     """``item_key, y, x, label``: connected cells share their least cell's number."""
     nodes = mask.select(*CELL, cell_id(F.col("y"), F.col("x")).alias("node_id"))
@@ -364,13 +375,13 @@ def hysteresis(raster: DataFrame, high: float, low: float) -> DataFrame:
 def watershed(raster: DataFrame, seeds: DataFrame, neighbours: list[tuple[int, int]] = N8) -> DataFrame:
     """``item_key, y, x, label``: the seed reached over the lowest pass."""
     edges = _cell_edges(raster, neighbours, lambda a, b, d: F.greatest(a, b))
-    return _spread(raster, seeds, edges, F.greatest)
+    return _spread(raster, seeds, edges, "max")
 
 
 def gradient_clusters(raster: DataFrame, seeds: DataFrame, geometric: bool = True, neighbours: list[tuple[int, int]] = N8) -> DataFrame:
     """The seed with the cheapest path: changes of value, with the way's length."""
     value = (lambda a, b, d: F.abs(a - b) + d * 1e-3) if geometric else (lambda a, b, d: F.abs(a - b))
-    return _spread(raster, seeds, _cell_edges(raster, neighbours, value), lambda d, c: d + c)
+    return _spread(raster, seeds, _cell_edges(raster, neighbours, value), "sum")
 
 
 def nearest_clusters(raster: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -385,7 +396,7 @@ def _cell_edges(raster, neighbours, value):
 
 def _spread(raster, seeds, edges, combine):
     start = seeds.select(*CELL, "label", cell_id(F.col("y"), F.col("x")).alias("node_id"))
-    found = graph.shortest_paths(edges, start.select(ITEM, "node_id", F.lit(0.0).alias("dist")), combine=combine)
+    found = graph.shortest_paths(edges, start.select(ITEM, "node_id", F.lit(0.0).alias("dist")), combine=combine, place=tile)
     named = found.join(start.select(ITEM, F.col("node_id").alias("source"), "label"), [ITEM, "source"])
     cells = raster.select(*CELL, cell_id(F.col("y"), F.col("x")).alias("node_id"))
     return cells.join(named, [ITEM, "node_id"]).select(*CELL, "label")

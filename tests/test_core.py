@@ -124,11 +124,11 @@ def test_loops_do_not_stop_half_way(spark):
     source = spark.createDataFrame([("k", 1, 0.0)], "item_key string, node_id long, dist double")
     chain = [("k", i, i + 1, 1.0) for i in range(1, 6)]
     edges = spark.createDataFrame(chain, "item_key string, a long, b long, cost double")
-    far = graph.shortest_paths(edges, source, most=2).collect()
+    far = graph.shortest_paths(edges, source).collect()
     assert {r.node_id: r.dist for r in far} == {i: i - 1.0 for i in range(1, 7)}
     loop = spark.createDataFrame([*chain[:2], ("k", 3, 1, -3.0)], "item_key string, a long, b long, cost double")
     with pytest.raises(RuntimeError):
-        graph.shortest_paths(loop, source, most=2)
+        graph.shortest_paths(loop, source)
     bar = spark.createDataFrame([("k", y, x) for y in range(9) for x in range(20)], "item_key string, y int, x int")
     with pytest.raises(RuntimeError):
         ra.thin(bar, most=1)
