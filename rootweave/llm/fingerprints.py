@@ -80,7 +80,7 @@ def fingerprint(docs: DataFrame, text: str = "text", share: int = SHARE, least:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.binary())], [*kept, "sketch"])
 
     fields = [f for f in docs.schema.fields if f.name != "sketch"]
-    schema = type(docs.schema)(fields).add("sketch", "binary")
+    schema = type(docs.schema)(list(fields)).add("sketch", "binary")
     return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, schema)
 
 
@@ -103,7 +103,7 @@ def merged(sketches: DataFrame, key: str, share: int = SHARE) -> DataFrame:
             found = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found)], [key, "hash"])
 
-    return sketches.select(key, "sketch").mapInArrow(run, sketches.select(key).schema.add("hash", "bigint")).distinct()
+    return sketches.select(key, "sketch").mapInArrow(run, sketches.select(key).schema.add("hash", "long")).distinct()
 
 
 def firsts(keyed: DataFrame, n: int) -> list:
