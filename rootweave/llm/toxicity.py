@@ -205,11 +205,18 @@ def learn(docs: DataFrame, labels: DataFrame, fold: Column, folds: int) -> tuple
     known = known.withColumn("fold", fold).where("fold is not null")
     # labels grow with the texts, so this is a shuffle of the texts that may teach at every size
     taught = own.where(fold.isNotNull()).join(known.hint("merge"), "doc_id")
-    counts = count_grams(taught, folds).toPandas()  # at most SIZE rows a class and fold
+
+    def packed(batches):
+        for batch in batches:
+            grams, k, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for fold in np.unique(k):
+                own = k == fold
+                yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), *[pa.array([x[own].tobytes()], pa.binary()) for x in (grams, n)]], ["k", "grams", "n"])
 
     total = np.zeros((2 * folds, SIZE), np.int64)
-    total[counts["k"].to_numpy(), counts["gram"].to_numpy()] = counts["n"].to_numpy()
-    del counts
+    counts = count_grams(taught, folds).select("gram", "k", "n").mapInArrow(packed, "k int, grams binary, n binary")
+    for r in counts.collect():  # 12 bytes a gram, at most SIZE grams a class and fold
+        total[r["k"], np.frombuffer(r["grams"], np.int32)] = np.frombuffer(r["n"], np.int64)
     ordinary, toxic = total[0::2].sum(0), total[1::2].sum(0)
     tables = [kneser_ney(ordinary, toxic)]
     for k in range(folds):  # models that have not seen fold k
