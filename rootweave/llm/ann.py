@@ -185,21 +185,21 @@ def search(
     recall measured on the calibration queries.
 
     Rows without id, and vectors that are null, empty, zero, or hold a null or
-    non-finite component take no part; nor do vectors of another length than the
-    commonest (of equally common ones the greater), whose inner product is undefined.
+    non-finite component take no part.  Vectors of each length are searched among
+    themselves: those of the commonest length (of equally common ones the greater) by
+    the tree, those of others by comparing all queries with all rows in blocks.
     Repeated ids are one row, with the greatest of their vectors by component order.
     An empty table gives no row.
     """
     spark = vectors.sparkSession
     all_rows = usable(vectors, id_col, vector_col)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    if not all_rows.groupBy("vec_id").count().where("count > 1").isEmpty():
+        all_rows = durable(all_rows.groupBy("vec_id").agg(F.max("v").alias("v")))
     widths = all_rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("rows"), F.count_if(is_query).alias("queries"), F.max(length).alias("norm"))
     commonest = widths.orderBy(F.desc("rows"), F.desc("width")).first()
     width, rows, n_queries, norm = commonest or (0, 0, 0, 0.0)
-    all_rows = all_rows.where(F.size("v") == width)
-    if not all_rows.groupBy("vec_id").count().where("count > 1").isEmpty():
-        all_rows = durable(all_rows.groupBy("vec_id").agg(F.max("v").alias("v")))
-        rows, n_queries = all_rows.agg(F.count("*"), F.count_if(is_query)).first()
+    others, all_rows = all_rows.where(F.size("v") != width), all_rows.where(F.size("v") == width)
     if not rows:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
 
@@ -224,7 +224,7 @@ def search(
 
     # calibration: exact answers of some queries, and the visit that would find them
     some = sample(all_rows.where(is_query), CALIBRATION, n_queries, 2)
-    visits = tree.leaves
+    visits, ranks = tree.leaves, np.zeros(0, int)
     if len(some) and tree.leaves > 1:
         ids, q = some["vec_id"].to_numpy(), np.array(some["v"].tolist())
 
@@ -248,7 +248,7 @@ def search(
         if len(ranks):
             visits = int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
     if report is not None:
-        report.update(rows=rows, leaves=tree.leaves, visits=visits)
+        report.update(rows=rows, leaves=tree.leaves, visits=visits, recall=float((ranks < visits).mean()) if len(ranks) else 1.0)
 
     def visit(batches):
         for batch in batches:
@@ -280,25 +280,52 @@ def search(
         "q",
     )
 
-    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        asked, found, scored = [], [], []
-        if len(left) and len(right):
-            ids, x, q = left["vec_id"].to_numpy(), unpacked(left["v"]), unpacked(right["q"])
-            for at in range(0, len(q), 256):
-                rough = q[at : at + 256] @ x.T
-                for query_id, v, r in zip(right["query_id"].to_numpy()[at : at + 256].tolist(), q[at : at + 256], rough):
-                    near, score = top(ids, x, query_id, v, r, k)
-                    asked.append(np.full(len(near), query_id))
-                    found.append(near)
-                    scored.append(score)
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return pd.DataFrame({"query_id": join(asked, np.int64), "vec_id": join(found, np.int64), "score": join(scored, np.float64)})
-
     key = ["leaf", "rb", "qb"]
-    found = members.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInPandas(answer, FOUND)
+    found = members.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInPandas(lambda left, right: answer(left, right, k), FOUND)
+    if not others.isEmpty():
+        found = found.unionByName(compared(others, is_query, k))
     return best(found, k).select("query_id", "rank", "vec_id", "score")
 
 
+def answer(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The nearest of a block of rows for every query of a block."""
+    asked, found, scored = [], [], []
+    if len(left) and len(right):
+        ids, x, q = left["vec_id"].to_numpy(), unpacked(left["v"]), unpacked(right["q"])
+        for at in range(0, len(q), 256):
+            rough = q[at : at + 256] @ x.T
+            for query_id, v, r in zip(right["query_id"].to_numpy()[at : at + 256].tolist(), q[at : at + 256], rough):
+                near, score = top(ids, x, query_id, v, r, k)
+                asked.append(np.full(len(near), query_id))
+                found.append(near)
+                scored.append(score)
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return pd.DataFrame({"query_id": join(asked, np.int64), "vec_id": join(found, np.int64), "score": join(scored, np.float64)})
+
+
+def compared(vectors: DataFrame, is_query, k: int) -> DataFrame:
+    """All queries of ``vectors(vec_id, v)`` against all rows of their length, in blocks
+    of at most about ``BLOCK_ROWS`` rows and ``BLOCK_QUERIES`` queries."""
+
+    def pack(batches):
+        for batch in batches:
+            rows = pa.array([np.asarray(v.values).tobytes() for v in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["vec_id", "v"])
+
+    flat = durable(vectors.mapInArrow(pack, "vec_id bigint, v binary").withColumn("width", F.octet_length("v")))
+    blocks = lambda n, most: F.ceil(F.col(n) / F.lit(most)).cast("int")
+    sizes = flat.groupBy("width").agg(F.count("*").alias("m"), F.count_if(is_query).alias("n")).where("n > 0")
+    sizes = sizes.select("width", blocks("m", BLOCK_ROWS).alias("rows"), blocks("n", BLOCK_QUERIES).alias("queries"))
+    sized = flat.join(sizes, "width")
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = sized.select("width", deal(F.col("rows")).alias("rb"), spread("queries").alias("qb"), "vec_id", "v")
+    wanted = sized.where(is_query).select("width", spread("rows").alias("rb"), deal(F.col("queries")).alias("qb"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    key = ["width", "rb", "qb"]
+    members = members.select(*[F.col(c).alias(c) for c in members.columns])
+    return members.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInPandas(lambda left, right: answer(left, right, k), FOUND)
+
+
 def best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -64,9 +64,8 @@ def alias_key(host: Column, path: Column, query: Column) -> Column:
 
 
 def own_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
-    """``struct(rule, verdict)`` of the longest fitting rule, or null."""
-    if len(rules) > MAX_INLINE_RULES:
-        raise ValueError(f"more than {MAX_INLINE_RULES} rules: give them as a table to own_rule_join")
+    """``struct(rule, verdict)`` of the longest fitting rule, or null; of equally long
+    ones the last by name."""
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
     for r in sorted(rules, key=lambda r: (len(r.name), r.name)):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
@@ -74,6 +73,36 @@ def own_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
+def own_rule_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``urls(host, path, ...)`` with ``own``, as ``own_rule`` gives it, for any number of
+    ``rules(verdict, host, path)``; of repeated rules the last by verdict counts.
+
+    A url is looked up under its host and every domain above it, and there under its
+    path's beginnings of the lengths that the domain's rules have: equi-joins, so a host
+    with many rules or many urls makes no pairs that don't fit."""
+    rules = rules.where("verdict is not null and host is not null and path is not null")
+    rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).select(F.col("host").alias("domain"), F.col("path").alias("start"), "verdict")
+    lengths = rules.groupBy("domain").agg(F.collect_set(F.length("start")).alias("lengths"))
+    places = urls.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = places.select("host", "path", F.explode(above).alias("domain")).join(lengths, "domain")
+    asked = asked.select("host", "path", "domain", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("path"))
+    fits = asked.withColumn("start", F.substring(F.col("path"), F.lit(1), F.col("n"))).join(rules, ["domain", "start"])
+    name = F.concat("domain", "start")
+    longest = F.max_by(F.struct(name.alias("rule"), "verdict"), F.struct(F.length(name), name)).alias("own")
+    return urls.join(fits.groupBy("host", "path").agg(longest), ["host", "path"], "left")
+
+
+def with_rule(urls: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """``urls`` with ``own``: rules that are few inline, others joined."""
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= MAX_INLINE_RULES:
+            return urls.withColumn("own", own_rule(F.col("host"), F.col("path"), rules))
+        rules = urls.sparkSession.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    return own_rule_join(urls, rules)
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` between alias keys with the targets' ``host`` and ``path``:
     all canonical links and meta refreshes of the html.  Relative targets are taken
@@ -104,15 +133,17 @@ def link_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Verdict of every row of ``pages(page_id, url, html)``.
+def judge_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """Verdict of every row of ``pages(page_id, url, html)``, by a list of rules or a table
+    ``(verdict, host, path)`` of any number.
 
     Returns ``page_id, host, path, rule, verdict, alias_of``: ``rule`` is the
     page's own longest rule or null, ``verdict`` is that rule's, else ``block`` if
     an alias is blocked and none is explicitly allowed, else ``allow``;
     ``alias_of`` is the least url key of the page's component, null outside one.
     Null, empty or malformed urls have empty host and path, fit no rule and are
-    allowed.  Repeated rows are judged each; other columns are ignored.
+    allowed.  Urls and pages of any length are read whole.  Repeated rows are judged
+    each, an empty table gives no row, other columns are ignored.
     """
     pages = pages.select("page_id", "url", "html")
     edges = link_edges(pages)
@@ -121,7 +152,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     own = pages.select("page_id", host.alias("host"), path.alias("path"), alias_key(host, path, query).alias("key"))
     # every spelling of a node has a say: those of the links' ends and the pages' own
     ends = edges.select(F.col("b").alias("node"), "host", "path").union(own.where("key is not null").select("key", "host", "path"))
-    seeds = ends.select("node", own_rule(F.col("host"), F.col("path"), rules)["verdict"].alias("v")).distinct()
+    seeds = with_rule(ends, rules).select("node", F.col("own.verdict").alias("v")).distinct()
     judged = found.join(seeds, "node").groupBy("component").agg(
         F.bool_or(F.col("v") == "block").alias("blocked"), F.bool_or(F.col("v") == "allow").alias("allowed")
     )
@@ -130,7 +161,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         F.col("component").alias("alias_of"),
         (F.coalesce("blocked", F.lit(False)) & ~F.coalesce("allowed", F.lit(False))).alias("inherited"),
     )
-    own = own.withColumn("own", own_rule(F.col("host"), F.col("path"), rules))
+    own = with_rule(own, rules)
     return own.join(aliases, "key", "left").select(
         "page_id",
         "host",

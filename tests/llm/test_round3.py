@@ -242,3 +242,40 @@ def test_directions(case):
     assert np.abs(r.T @ (r @ w) - w * e).max(initial=0) <= 1e-13 * max(truth[0], 1e-300)
     values = whitening.squared_singular_values(*whitening.bidiagonal(r)[:2])
     assert np.allclose(values, truth, rtol=1e-9, atol=1e-15 * truth[0])
+
+
+def test_rules_as_a_table_are_those_inline(spark):
+    from rootweave.llm import urls
+
+    rng = random.Random(9)
+    hosts = ["net", "example.net", "a.example.net", "example.com", "b.example.com", "org", "x.org", ""]
+    some = [urls.Rule(rng.choice(["allow", "block"]), rng.choice(hosts[:-1]), "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(4)))) for _ in range(120)]
+    rules = list({(r.host, r.path): r for r in some}.values())
+    pages = [(rng.choice(hosts), "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(6)))) for _ in range(200)] + [("", ""), ("net", "")]
+    rows = spark.createDataFrame(pages, "host string, path string")
+    inline = sorted(str(tuple(r)) for r in rows.withColumn("own", urls.own_rule(F.col("host"), F.col("path"), rules)).select("host", "path", "own").collect())
+    table = spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    assert sorted(str(tuple(r)) for r in urls.own_rule_join(rows, table).select("host", "path", "own").collect()) == inline
+    docs = spark.createDataFrame([(i, f"http://{h}{p}", None) for i, (h, p) in enumerate(pages)], "page_id bigint, url string, html string")
+    few, many = (sorted(str(tuple(r)) for r in urls.judge_urls(docs, r).collect()) for r in (rules, table))
+    assert few == many
+
+
+def test_neighbours_of_every_length(spark):
+    from rootweave.llm import ann
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(8).tolist(), 1) for i in range(90)] + [(100 + i, rng.standard_normal(2).tolist(), 1) for i in range(11)] + [(200, [1.0, 2.0, 3.0], 1), (220, [1.0] * 5, 1), (221, [2.0] * 5, 1)]
+    report = {}
+    found = ann.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0, k=4, report=report).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 4)))
+    exact = {}
+    for q, v, _ in rows:
+        if q % 20 == 0:
+            v = np.array(v, np.float32).astype(float)
+            near = [(i, float(np.array(x, np.float32).astype(float) @ v)) for i, x, _ in rows if i != q and len(x) == len(v)]
+            exact[q] = [(i, round(s, 4)) for i, s in sorted(near, key=lambda p: (-p[1], p[0]))[:4]]
+    assert got == {q: n for q, n in exact.items() if n} and {100, 220} <= set(got) and 200 not in got
+    assert report["recall"] >= 0.97
