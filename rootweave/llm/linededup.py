@@ -3,7 +3,8 @@
 A line runs down a tree of fixed depth: token count first, then its leading tokens,
 fields with a digit masked.  Below a leaf, what varies is generalised: a token stays
 in the template where a good share of the leaf's lines has it in that place, the
-other places become wildcards.  A template that recurs in many different documents
+other places become wildcards; several shares are tried, so that a leaf may hold several
+templates.  A template that recurs in many different documents
 is dropped from all of them.
 
 Copies must not look like recurrence: a line counts once for every class of
@@ -56,8 +57,9 @@ def sketch(tokens: np.ndarray, factors: np.ndarray) -> np.ndarray:
 def parse_lines(docs: DataFrame, least: int, depth: int) -> DataFrame:
     """Lines with tokens of ``docs(digest, text)``: token count, hashes of the masked
     line and of its leaf, token hashes; and a row at position ``SKETCH`` for every text
-    with tokens.  Of lines of fewer than ``least`` tokens the template is the line as
-    it is, and they have no leaf and no tokens."""
+    with tokens.  Of lines of fewer than ``least`` tokens, and of those of
+    variable fields only, the template is the line as it is; they have no leaf and no
+    tokens."""
 
     def run(batches):
         from hashlib import blake2b
@@ -93,12 +95,19 @@ def parse_lines(docs: DataFrame, least: int, depth: int) -> DataFrame:
                 hashes = np.array([crc32(t) for tokens in lines for t in tokens], np.uint32)
                 if not len(hashes):
                     continue
+                # copies are told by the words as they are: masked numbers would make unlike texts alike
+                plain = hashes.copy()
+                at = 0
+                for x, tokens in zip(raw, lines):
+                    if tokens and DIGIT.search(x):
+                        plain[at : at + len(tokens)] = [crc32(t) for t in x.lower().split()]
+                    at += len(tokens)
                 rows.append((digest, SKETCH, 0, 0, 0))
-                flat.append(sketch(hashes, factors))
+                flat.append(sketch(plain, factors))
                 at = 0
                 for k, tokens in enumerate(lines):
                     n = len(tokens)
-                    if n >= least:
+                    if n >= least and any(t != b"<*>" for t in tokens):
                         leaf = whole(b"%d %s" % (n, b" ".join(tokens[:depth])))
                         rows.append((digest, k, n, whole(b" ".join(tokens)), leaf))
                         flat.append(hashes[at : at + n].view(np.int32))
@@ -143,20 +152,25 @@ def recurring(lines: DataFrame, key: str, need: Column) -> DataFrame:
     return unlike.groupBy(key, "need").count().where("count >= need").select(key)
 
 
-def generalised(lines: DataFrame, leaves: DataFrame, contexts: int, constant: float, similarity: float) -> DataFrame:
-    """``digest, pos, n, wild``: a template of constant tokens and wildcards for lines of
-    ``leaves(leaf, size)``.  A token is constant where at least ``constant`` of the leaf's
-    lines have it; lines with less than ``similarity`` of their tokens constant have no
-    template."""
+def generalised(lines: DataFrame, leaves: DataFrame, contexts: int, constant: tuple[float, ...], similarity: float) -> DataFrame:
+    """``digest, pos, n, wild``: templates of constant tokens and wildcards for lines of
+    ``leaves(leaf, size)``, one for each of the shares ``constant`` that gives another.  A
+    token is constant where at least that share of the leaf's lines have it, so a leaf of
+    several templates falls into them at one of the shares; lines with less than
+    ``similarity`` of their tokens constant have no template at that share."""
     open_lines = lines.join(leaves, "leaf").select("digest", "pos", "n", "leaf", "size", "tokens")
     open_lines = durable(open_lines)
     fields = open_lines.select("digest", "pos", "leaf", "size", F.posexplode("tokens").alias("i", "t"))
     common = fields.groupBy("leaf", "size", "i", "t").agg(F.count("*").alias("k"))
-    common = common.where((F.col("k") >= contexts) & (F.col("k") >= constant * F.col("size"))).select("leaf", "i", "t")
+    reached = F.aggregate(F.array(*[F.lit(c) for c in constant]), F.lit(0), lambda a, c: a + (F.col("k") >= c * F.col("size")).cast("int"))
+    common = common.where((F.col("k") >= contexts) & (F.col("k") >= min(constant) * F.col("size"))).select("leaf", "i", "t", reached.alias("depth"))
     # a line's template: its constant fields in order
-    kept = fields.join(common, ["leaf", "i", "t"]).groupBy("digest", "pos").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("fields"))
-    named = open_lines.join(kept, ["digest", "pos"]).where(F.size("fields") >= similarity * F.col("n"))
-    return named.select("digest", "pos", "n", F.xxhash64("leaf", "fields").alias("wild"))
+    kept = fields.join(common, ["leaf", "i", "t"]).groupBy("digest", "pos").agg(F.array_sort(F.collect_list(F.struct("i", "t", "depth"))).alias("fields"))
+    at = lambda level: F.filter("fields", lambda f: f["depth"] >= level)
+    enough = lambda own: F.size(own) >= similarity * F.col("n")
+    wild = [F.when(enough(at(k)), F.xxhash64("leaf", F.transform(at(k), lambda f: F.struct(f["i"], f["t"])))) for k in range(1, len(constant) + 1)]
+    named = open_lines.join(kept, ["digest", "pos"]).where(enough(F.col("fields")))
+    return named.select("digest", "pos", "n", F.explode(F.array_distinct(F.array_compact(F.array(*wild)))).alias("wild"))
 
 
 def drop_lines(text: Column, at: Column) -> Column:
@@ -175,7 +189,7 @@ def dedup_lines(
     contexts: int = 3,
     least_tokens: int = 4,
     depth: int = 4,
-    constant: float = 0.3,
+    constant: tuple[float, ...] = (0.3, 0.1, 0.03),
     similarity: float = 0.6,
 ) -> DataFrame:
     """Every row of ``docs`` with its recurring lines dropped from ``text``, and
@@ -184,8 +198,9 @@ def dedup_lines(
     Lines are what ``\\n`` parts.  A line of ``n`` < ``least_tokens`` tokens must stand in
     ``contexts * ceil(least_tokens / n)`` classes; lines without tokens stay.  Null and
     empty texts stay as they are, with 0 lines.  Rows with equal texts get equal
-    results.  A text of recurring lines only becomes empty; its row stays.  Columns of
-    ``docs`` named like the two new ones are replaced.
+    results.  A text of recurring lines only becomes empty; its row stays.  Texts are
+    read whole however long, an empty table gives no row.  Columns of ``docs`` named like
+    the two new ones are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
     taken = {c.lower() for c in docs.columns}

@@ -279,3 +279,30 @@ def test_neighbours_of_every_length(spark):
             exact[q] = [(i, round(s, 4)) for i, s in sorted(near, key=lambda p: (-p[1], p[0]))[:4]]
     assert got == {q: n for q, n in exact.items() if n} and {100, 220} <= set(got) and 200 not in got
     assert report["recall"] >= 0.97
+
+
+def dropped(spark, texts):
+    from rootweave.llm import linededup
+
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    return {r.doc_id: (r.n_dropped, r.text) for r in linededup.dedup_lines(docs).collect()}
+
+
+@pytest.mark.parametrize("word", ["w%d", "%s"])
+def test_recurring_lines_of_texts_full_of_numbers(spark, word):
+    """80 unlike texts, of words with digits or of letters, that share one template."""
+    rng = random.Random(10)
+    name = lambda: word % rng.randrange(10**6) if "d" in word else "".join(rng.choices("abcdefgh", k=7))
+    texts = [" ".join(name() for _ in range(40)) + f"\nuser {rng.randrange(10**6)} logged in from host {rng.randrange(10**6)} today\n" + " ".join(name() for _ in range(30)) for _ in range(80)]
+    found = dropped(spark, texts)
+    assert all(n == 1 and "logged" not in t for n, t in found.values())
+    near = [texts[0], texts[0] + " more", texts[0].replace("today", "today")]
+    assert all(n == 0 for n, _ in dropped(spark, near).values())  # copies keep their lines
+
+
+def test_equal_templates_of_one_leaf(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    tails = ["was opened by user {} again", "went down with code {} today", "sent mail to box {} twice", "lost link with node {} there"]
+    texts = [" ".join(word() for _ in range(40)) + "\nthe old main server " + tails[i % 4].format(word()) + "\n" + " ".join(word() for _ in range(30)) for i in range(80)]
+    assert all(n == 1 for n, _ in dropped(spark, texts).values())
