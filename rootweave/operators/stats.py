@@ -5,11 +5,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from rootweave.iterate import rounds, settle
+from rootweave.iterate import rounds, settle, ship
 
 
 def placed(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -128,41 +131,53 @@ def normal_distance(m1: Column, s1: Column, m2: Column, s2: Column) -> Column:
     return (m1 - m2) ** 2 / (4 * s1**2 + s2**2)
 
 
-def gaussian_mixture(rows: DataFrame, keys: list[str], value: str, classes: int = 2, bins: int = 256, most: int = 100, threshold: float = 1e-10) -> DataFrame:
+def hard_mixture(v: np.ndarray, n: np.ndarray, lo: float, hi: float, classes: int, width: float, most: int, threshold: float) -> tuple[np.ndarray, bool]:
+    """Hard EM over the bins of one histogram: rows ``(class, weight, mean, std)`` of the
+    classes that have any, and whether it settled: the classes hardly move, or the bins are
+    dealt as in an earlier round."""
+    span, seen = hi - lo, set()
+    fit = np.array([(k, 1 / classes, lo + span * (k + 0.5) / classes, max(span / (2 * classes), 1e-12)) for k in range(classes)])
+    for _ in range(most):
+        score = np.log(np.maximum(fit[:, 1], 1e-300)) - (v[:, None] - fit[:, 2]) ** 2 / (2 * fit[:, 3] ** 2) - np.log(fit[:, 3])
+        chosen = score.argmax(axis=1)
+        m, s1, s2 = (np.bincount(chosen, w, len(fit)) for w in (n, n * v, n * v * v))
+        own = m > 0
+        mean = s1[own] / m[own]
+        spread = np.maximum(np.sqrt(np.maximum(s2[own] / m[own] - mean**2, 0.0)), width / 2)
+        gap = ((mean - fit[own, 2]) ** 2 / (4 * spread**2 + fit[own, 3] ** 2)).max()
+        fit = np.column_stack([fit[own, 0], m[own] / n.sum(), mean, spread])
+        if gap <= threshold or chosen.tobytes() in seen:
+            return fit, True
+        seen.add(chosen.tobytes())
+    return fit, False
+
+
+def gaussian_mixture(rows: DataFrame, keys: list[str], value: str, classes: int = 2, bins: int = 256, most: int = 1000, threshold: float = 1e-10) -> DataFrame:
     """``keys, class, weight, mean, std``: hard EM of a 1-D mixture on a histogram of
-    ``bins`` bins a group, from evenly spaced means.  All groups run in one loop."""
+    ``bins`` bins a group, from evenly spaced means; of equally likely classes the first
+    takes a bin.  Classes that lose all bins are left out.
+
+    A histogram has ``bins`` rows at most whatever the group's size, so each is fitted in
+    one grouped pass.  A group not settled after ``most`` rounds raises.  Null values
+    don't count, groups without any other have no row."""
+    ship(rows.sparkSession)
     bounds = rows.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     at = bin_of(F.col(value), F.col("lo"), F.col("hi"), bins)
     hist = rows.join(bounds, keys).where(F.col(value).isNotNull()).groupBy(*keys, "lo", "hi", at.alias("bin")).agg(F.count("*").alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
-    hist = settle(hist.select(*keys, "lo", "hi", "n", (F.col("lo") + (F.col("bin") + 0.5) * width).alias("v"), F.greatest(width, F.lit(1e-12)).alias("width")))
-    k = F.explode(F.sequence(F.lit(0), F.lit(classes - 1))).alias("class")
-    start = hist.select(*keys, "lo", "hi").distinct().select(*keys, "lo", "hi", k)
-    span = F.col("hi") - F.col("lo")
-    params = settle(
-        start.select(
-            *keys, "class", F.lit(1 / classes).alias("weight"), (F.col("lo") + span * (F.col("class") + 0.5) / classes).alias("mean"), F.greatest(span / (2 * classes), F.lit(1e-12)).alias("std")
-        )
-    )
-    for _ in range(most):
-        score = F.log(F.greatest("weight", F.lit(1e-300))) - (F.col("v") - F.col("mean")) ** 2 / (2 * F.col("std") ** 2) - F.log("std")
-        own = hist.join(params, keys).select(*keys, "v", "n", "width", "class", score.alias("score"))
-        chosen = own.groupBy(*keys, "v", "n", "width").agg(F.max_by("class", F.struct("score", F.negate("class"))).alias("class"))
-        total = F.sum("m").over(Window.partitionBy(*keys))
-        fitted = chosen.groupBy(*keys, "class").agg(
-            F.sum("n").alias("m"),
-            (F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("mean"),
-            (F.sum(F.col("n") * F.col("v") * F.col("v")) / F.sum("n")).alias("square"),
-            F.max("width").alias("width"),
-        )
-        spread = F.greatest(F.sqrt(F.greatest(F.col("square") - F.col("mean") ** 2, F.lit(0.0))), F.col("width") / 2)
-        fitted = settle(fitted.select(*keys, "class", (F.col("m") / total).alias("weight"), "mean", spread.alias("std")))
-        old = params.select(*keys, "class", F.col("mean").alias("m0"), F.col("std").alias("s0"))
-        gap = fitted.join(old, [*keys, "class"]).agg(F.max(normal_distance(F.col("mean"), F.col("std"), F.col("m0"), F.col("s0")))).first()[0]
-        params = fitted
-        if gap is None or gap <= threshold:
-            break
-    return params
+    hist = hist.select(*keys, F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), "n", (F.col("lo") + (F.col("bin") + 0.5) * width).cast("double").alias("v"), F.greatest(width, F.lit(1e-12)).cast("double").alias("width"))
+
+    def fitted(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("v", kind="stable")
+        first = group.iloc[0]
+        fit, done = hard_mixture(group["v"].to_numpy(float), group["n"].to_numpy(float), first["lo"], first["hi"], classes, first["width"], most, threshold)
+        if not done:
+            raise RuntimeError(f"a mixture has not settled in {most} rounds: {first[keys].to_dict()}")
+        out = group[keys].iloc[[0] * len(fit)].reset_index(drop=True)
+        return out.assign(**{"class": fit[:, 0].astype("int32"), "weight": fit[:, 1], "mean": fit[:, 2], "std": fit[:, 3]})
+
+    schema = T.StructType([hist.schema[k] for k in keys]).add("class", "integer").add("weight", "double").add("mean", "double").add("std", "double")
+    return hist.groupBy(*keys).applyInPandas(fitted, schema)
 
 
 def cluster_values(rows: DataFrame, keys: list[str], value: str, params: DataFrame) -> DataFrame:
