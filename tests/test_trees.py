@@ -59,23 +59,95 @@ def test_paths_merge(spark):
     assert [(r.path_id, r.seg_id) for r in out] == [(1, 1), (1, 3), (1, 5), (3, 2), (3, 7), (3, 4)]
 
 
+LENGTH = {s: float(l) for s, l in zip(range(1, 30), [9, 4, 7, 3, 8, 5, 6, 2, 9, 4, 5, 7, 3, 6, 8, 4, 5, 9, 2, 6, 7, 3, 5, 8, 4, 6, 9, 5, 7])}
+
+
+def worth(state, primary):
+    """Value of a set of paths: spread of the growth ratios plus extra branchings."""
+    size = lambda p: sum(LENGTH[s] for s in p)
+    laterals = [(p, base) for p, base in state if p != primary]
+    ratios = [(size(primary) - size(p)) / size(primary) for p, _ in laterals]
+    bases = [base for _, base in laterals]
+    return float(np.std(ratios)) + len(bases) - len(set(bases))
+
+
+def all_merges(state, primary, edges):
+    """Every state one merge away."""
+    cover = {}
+    for p, _ in state:
+        for s in p:
+            cover[s] = cover.get(s, 0) + 1
+    out = []
+    for x in state:
+        for y in state:
+            if x == y or primary in (x[0], y[0]):
+                continue
+            for k, s in enumerate(y[0]):
+                if k and (x[0][-1], s) in edges and s not in x[0] and min(cover[t] for t in y[0][:k]) > 1:
+                    out.append((state - {x, y}) | {(x[0] + y[0][k:], x[1])})
+                    break
+    return out
+
+
 def test_merge_search_by_brute_force(spark):
-    rng = random.Random(9)
-    value = {i: rng.uniform(0.2, 3) for i in range(6)}
-    cand = [(i, j, value[i], value[j], rng.uniform(0.5, 2), rng.choice((-1, 0, 1))) for i, j in itertools.permutations(range(6), 2) if rng.random() < 0.4]
-    c = spark.createDataFrame([("a", *r) for r in cand], "item_key string, p1 bigint, p2 bigint, v1 double, v2 double, v12 double, extra bigint")
-    v = spark.createDataFrame([("a", x) for x in value.values()], "item_key string, v double")
-    got = trees.merge_search(c, v, width=10_000, coef=1e9).first()
-    best = math.inf
-    for n in range(4):
-        for some in itertools.combinations(cand, n):
-            ids = [x for r in some for x in r[:2]]
-            if len(set(ids)) == len(ids):
-                left = [x for k, x in value.items() if k not in ids] + [r[4] for r in some]
-                best = min(best, float(np.var(left)) + sum(r[5] for r in some))
-    assert got.value == pytest.approx(best, abs=1e-9)
+    from rootweave.operators import merges
+
+    # a primary 1-8; laterals that share starts, and edges by which they may go on
+    paths = {1: (1, 2, 3, 4, 5, 6, 7, 8), 2: (1, 2, 9, 10), 3: (1, 2, 3, 11, 12, 13), 4: (1, 2, 3, 11, 14, 15), 5: (1, 2, 3, 4, 16, 17), 6: (1, 2, 3, 4, 16, 18, 19), 7: (1, 20, 21, 22), 8: (1, 20, 21, 23)}
+    edges = {(10, 12), (10, 14), (13, 17), (13, 18), (15, 18), (17, 22), (19, 22), (10, 11), (15, 23), (22, 99), (19, 21)}
+    rows = [("a", p, k, s) for p, own in paths.items() for k, s in enumerate(own, 1)] + [("b", 1, k, s) for k, s in enumerate(paths[1], 1)]
+    p = spark.createDataFrame(rows, "item_key string, path_id bigint, pos int, seg_id bigint")
+    segs = spark.createDataFrame([(i, s, l) for i in "ab" for s, l in LENGTH.items()], "item_key string, seg_id bigint, length double")
+    e = spark.createDataFrame([("a", *x) for x in edges], "item_key string, a bigint, b bigint")
+    axes = trees.initial_axes(p, spark.createDataFrame([("a", 1), ("b", 1)], "item_key string, path_id bigint"), segs)
+    primary = paths[1]
+
+    def base(own):
+        k = next((i for i, (s, t) in enumerate(zip(own, primary)) if s != t), min(len(own), len(primary)))
+        return own[k]
+
+    start = frozenset((own, None if own == primary else base(own)) for own in paths.values())
+    seen, front = {start}, {start}
+    while front:
+        front = {frozenset(t) for s in front for t in all_merges(s, primary, edges)} - seen
+        seen |= front
+    most = max(len(start) - len(s) for s in seen)
+    assert most >= 3  # axes merge again and again
+    found = merges.search(p, axes, segs, e, width=100_000, coef=1e9)
+    value = {r.item_key: r.value for r in found["values"].collect()}
+    assert value["a"] == pytest.approx(min(worth(s, primary) for s in seen)) and value["b"] == 0.0
+    got = {}
+    for r in found["paths"].orderBy("pos").collect():
+        got.setdefault((r.item_key, r.path_id), []).append(r.seg_id)
+    best = {tuple(v) for k, v in got.items() if k[0] == "a"}
+    assert any({own for own, _ in s} == best and worth(s, primary) == pytest.approx(value["a"]) for s in seen) and got["b", 1] == list(primary)
+    made = {r.path_id: [(x.path, x["at"], x.start) for x in r.pieces] for r in found["pieces"].where("item_key = 'a'").collect()}
+    for (item, i), own in got.items():
+        if item == "a":
+            parts = made[i]
+            ends = [x[2] for x in parts[1:]] + [len(own) + 1]
+            assert [s for (q, at, begin), stop in zip(parts, ends) for s in paths[q][at - 1 : at - 1 + stop - begin]] == own
+    greedy = merges.search(p, axes, segs, e, width=1).get("values").collect()
+    assert all(r.value <= worth(start, primary) for r in greedy)
     with pytest.raises(RuntimeError):
-        trees.merge_search(c, v, width=10, coef=1e9, most=1)
+        merges.search(p, axes, segs, e, width=10, coef=1e9, most=1)
+
+
+def test_crossing_leaves_the_outermost(spark):
+    from rootweave.operators import merges
+
+    # 9 ends next to 12, where three ways come from 11 and part: two at once to the left, one to the right
+    paths = {1: (1, 2, 3), 2: (1, 9), 3: (1, 2, 11, 12, 13), 4: (1, 2, 11, 12, 14, 15), 5: (1, 2, 11, 12, 14, 16)}
+    p = spark.createDataFrame([("a", k, i, s) for k, own in paths.items() for i, s in enumerate(own, 1)], "item_key string, path_id bigint, pos int, seg_id bigint")
+    segs = spark.createDataFrame([("a", s, 4.0) for s in range(1, 20)], "item_key string, seg_id bigint, length double")
+    side = [(9, 12, 0.5), (11, 12, 0.1), (12, 13, 0.4), (12, 14, -0.4), (14, 15, 0.2), (14, 16, -0.2)]
+    e = spark.createDataFrame([("a", *x) for x in side], "item_key string, a bigint, b bigint, side double")
+    axes = trees.initial_axes(p, spark.createDataFrame([("a", 1)], "item_key string, path_id bigint"), segs)
+    s, a = merges.first_state(p, axes, segs)
+    pairs = lambda c: {(r.p1, r.p2) for r in merges.possible(s, a, e, c).collect()}
+    assert pairs(None) == {(2, 3), (2, 4), (2, 5)}
+    # 3 is outermost on the side 9 comes from; 4 parts from 5, the outermost of the other side, after 8
+    assert pairs(5.0) == {(2, 3)} and pairs(10.0) == {(2, 3), (2, 4)}
 
 
 def test_traced_axes_to_tables(spark):
