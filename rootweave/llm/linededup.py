@@ -160,17 +160,16 @@ def generalised(lines: DataFrame, leaves: DataFrame, contexts: int, constant: tu
     ``similarity`` of their tokens constant have no template at that share."""
     open_lines = lines.join(leaves, "leaf").select("digest", "pos", "n", "leaf", "size", "tokens")
     open_lines = durable(open_lines)
-    fields = open_lines.select("digest", "pos", "leaf", "size", F.posexplode("tokens").alias("i", "t"))
+    fields = open_lines.select("digest", "pos", "n", "leaf", "size", F.posexplode("tokens").alias("i", "t"))
     common = fields.groupBy("leaf", "size", "i", "t").agg(F.count("*").alias("k"))
-    reached = F.aggregate(F.array(*[F.lit(c) for c in constant]), F.lit(0), lambda a, c: a + (F.col("k") >= c * F.col("size")).cast("int"))
-    common = common.where((F.col("k") >= contexts) & (F.col("k") >= min(constant) * F.col("size"))).select("leaf", "i", "t", reached.alias("depth"))
-    # a line's template: its constant fields in order
-    kept = fields.join(common, ["leaf", "i", "t"]).groupBy("digest", "pos").agg(F.array_sort(F.collect_list(F.struct("i", "t", "depth"))).alias("fields"))
-    at = lambda level: F.filter("fields", lambda f: f["depth"] >= level)
-    enough = lambda own: F.size(own) >= similarity * F.col("n")
-    wild = [F.when(enough(at(k)), F.xxhash64("leaf", F.transform(at(k), lambda f: F.struct(f["i"], f["t"])))) for k in range(1, len(constant) + 1)]
-    named = open_lines.join(kept, ["digest", "pos"]).where(enough(F.col("fields")))
-    return named.select("digest", "pos", "n", F.explode(F.array_distinct(F.array_compact(F.array(*wild)))).alias("wild"))
+    common = common.where((F.col("k") >= contexts) & (F.col("k") >= min(constant) * F.col("size")))
+    common = common.select("leaf", "i", "t", (F.col("k") / F.col("size")).alias("share"))
+    # a line's template at each share: how many fields are constant there, and which
+    own = lambda c: F.col("share") >= c
+    sets = [a for k, c in enumerate(constant) for a in (F.count_if(own(c)).alias(f"c{k}"), F.bit_xor(F.when(own(c), F.xxhash64("i", "t"))).alias(f"h{k}"))]
+    kept = fields.join(common, ["leaf", "i", "t"]).groupBy("digest", "pos", "n", "leaf").agg(*sets)
+    wild = [F.when(F.col(f"c{k}") >= similarity * F.col("n"), F.xxhash64("leaf", f"h{k}")) for k in range(len(constant))]
+    return kept.select("digest", "pos", "n", F.explode(F.array_distinct(F.array_compact(F.array(*wild)))).alias("wild"))
 
 
 def drop_lines(text: Column, at: Column) -> Column:
