@@ -8,6 +8,7 @@ passes; other footprints as joins with a broadcast table of offsets.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
@@ -396,7 +397,9 @@ def _cell_edges(raster, neighbours, value):
 
 def _spread(raster, seeds, edges, combine):
     start = seeds.select(*CELL, "label", cell_id(F.col("y"), F.col("x")).alias("node_id"))
-    found = graph.shortest_paths(edges, start.select(ITEM, "node_id", F.lit(0.0).alias("dist")), combine=combine, place=tile)
+    # a way costs nothing at its start; the largest of its edges may be below 0
+    nothing = 0.0 if combine == "sum" else -sys.float_info.max
+    found = graph.shortest_paths(edges, start.select(ITEM, "node_id", F.lit(nothing).alias("dist")), combine=combine, place=tile)
     named = found.join(start.select(ITEM, F.col("node_id").alias("source"), "label"), [ITEM, "source"])
     cells = raster.select(*CELL, cell_id(F.col("y"), F.col("x")).alias("node_id"))
     return cells.join(named, [ITEM, "node_id"]).select(*CELL, "label")

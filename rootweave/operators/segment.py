@@ -59,33 +59,35 @@ def foreground(image: DataFrame, shape: DataFrame, smooth: float = 5, classes: t
     return ra.fill_holes(wall, shape)
 
 
-def shrunk(mask: DataFrame, image: DataFrame, steps: int) -> DataFrame:
-    """Cells of a mask more than ``steps`` taxicab steps inside; the image's edge is outside."""
+def shrunk(mask: DataFrame, image: DataFrame, steps: int | DataFrame) -> DataFrame:
+    """Cells of a mask more than ``steps`` taxicab steps inside, a number or one of each item
+    ``(item_key, steps)``; the image's edge is outside."""
     far = ra.distance_transform(image, image.select(*CELL).join(mask.select(*CELL), CELL, "left_anti"), "taxicab")
     edge = image.groupBy(ITEM).agg(F.max("y").alias("h"), F.max("x").alias("w"))
+    edge = edge.join(steps, ITEM) if isinstance(steps, DataFrame) else edge.withColumn("steps", F.lit(steps))
     rows = mask.select(*CELL).join(far.select(*CELL, "d"), CELL, "left").join(edge, ITEM)
     rim = F.least(F.col("y"), F.col("x"), F.col("h") - F.col("y"), F.col("w") - F.col("x")) + 1
-    return rows.where(F.least(F.coalesce("d", F.lit(float("inf"))), rim) > steps).select(*CELL)
+    return rows.where(F.least(F.coalesce("d", F.lit(float("inf"))), rim) > F.col("steps")).select(*CELL)
 
 
 def plate(mask: DataFrame, image: DataFrame, border: float, size: float, form: str = "square") -> dict[str, DataFrame]:
     """The largest component of a foreground mask as a plate: ``cells`` with ``zone`` 1 for its
     border and 2 inside, ``scale`` (size of a pixel) and ``hull``.
 
-    ``border`` is in pixels, or below 1 a share of the plate's diameter; one width, that of
-    the item with the largest plate, is used for all."""
+    ``border`` is in pixels, or below 1 a share of the diameter of each item's own plate, so
+    an item's result does not depend on the others.  Items without a mask have no rows."""
     big = settle(ra.biggest(ra.label_components(mask, ra.N4)).select(*CELL))
     area = settle(big.groupBy(ITEM).agg(F.count("*").alias("area")))
     scale = area.select(ITEM, measure.pixel_size(F.col("area"), size, form).alias("scale"))
-    width = border if border >= 1 else border * ((area.agg(F.max("area")).first()[0] or 0) ** 0.5)
-    steps = int(width)
-    if steps:
-        core = shrunk(big, image, steps)
-        near = ra.distance_transform(image, core, "taxicab").where(F.col("d") <= steps)
-        big = settle(near.select(*CELL).join(big, CELL, "left_semi"))
-    square = image.select(*CELL).join(big, CELL, "left_anti")
-    wide = ra.distance_transform(image, square, "chessboard").where(F.col("d") > int(width / 2**0.5)).select(*CELL)
-    inside = shrunk(big, image, steps).join(wide, CELL, "left_semi").withColumn("in", F.lit(True))
+    width = F.lit(float(border)) if border >= 1 else border * F.sqrt("area")
+    steps = settle(area.select(ITEM, F.floor(width).cast("int").alias("steps"), F.floor(width / 2**0.5).cast("int").alias("corner")))
+    core = shrunk(big, image, steps.select(ITEM, "steps"))
+    near = ra.distance_transform(image, core, "taxicab").join(steps, ITEM).where("d <= steps")
+    big = settle(near.select(*CELL).join(big, CELL, "left_semi"))
+    outside = image.select(*CELL).join(big, CELL, "left_anti")
+    # an image that is all plate has nothing outside
+    wide = image.select(*CELL).join(ra.distance_transform(image, outside, "chessboard").select(*CELL, "d"), CELL, "left").join(steps, ITEM).where("d is null or d > corner").select(*CELL)
+    inside = shrunk(big, image, steps.select(ITEM, "steps")).join(wide, CELL, "left_semi").withColumn("in", F.lit(True))
     cells = big.join(inside, CELL, "left").select(*CELL, F.when(F.col("in"), 2).otherwise(1).alias("zone"))
     return {"cells": settle(cells), "scale": scale, "hull": measure.hull(big, [ITEM])}
 
@@ -195,19 +197,22 @@ def seed_blobs(mask: DataFrame, image: DataFrame, shape: DataFrame, n: int, radi
 def kmeans_leaves(mask: DataFrame, n: int) -> DataFrame:
     """``item_key, y, x, label``: the cells of every item's mask in ``n`` clusters, numbered from
     left to right: Lloyd's rounds for all items together, from evenly spaced cells in order
-    of x, until no centre moves."""
+    of x, until the cells are dealt as in an earlier round.  Items with fewer cells than
+    ``n`` have as many clusters as cells."""
     w = Window.partitionBy(ITEM)
     ranked = mask.select(*CELL, F.row_number().over(w.orderBy("x", "y")).alias("r"), F.count("*").over(w).alias("c"))
     k = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")
     spots = ranked.select(ITEM, "c", k).distinct().withColumn("r", F.floor((F.col("k") + 0.5) / n * F.col("c")) + 1)
     centres = settle(ranked.join(spots, [ITEM, "c", "r"]).select(ITEM, "k", F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy")))
-    cells = mask.select(*CELL)
+    cells, seen = mask.select(*CELL), set()
     while True:
         d = F.pow(F.col("x") - F.col("cx"), F.lit(2)) + F.pow(F.col("y") - F.col("cy"), F.lit(2))
         at = settle(cells.join(centres, ITEM).groupBy(*CELL).agg(F.min_by("k", F.struct(d, "k")).alias("k")))
         new = settle(at.groupBy(ITEM, "k").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")))
-        if new.exceptAll(centres).isEmpty():
+        dealt = tuple(at.agg(F.count("*"), F.bit_xor(F.xxhash64(*CELL, "k"))).first())
+        if dealt in seen:
             break
+        seen.add(dealt)
         centres = new
     order = centres.select(ITEM, "k", F.row_number().over(w.orderBy("cx", "k")).alias("label"))
     return at.join(order, [ITEM, "k"]).select(*CELL, "label")
