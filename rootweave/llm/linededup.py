@@ -152,24 +152,27 @@ def recurring(lines: DataFrame, key: str, need: Column) -> DataFrame:
     return unlike.groupBy(key, "need").count().where("count >= need").select(key)
 
 
-def generalised(lines: DataFrame, leaves: DataFrame, contexts: int, constant: tuple[float, ...], similarity: float) -> DataFrame:
-    """``digest, pos, n, wild``: templates of constant tokens and wildcards for lines of
-    ``leaves(leaf, size)``, one for each of the shares ``constant`` that gives another.  A
-    token is constant where at least that share of the leaf's lines have it, so a leaf of
-    several templates falls into them at one of the shares; lines with less than
-    ``similarity`` of their tokens constant have no template at that share."""
-    open_lines = lines.join(leaves, "leaf").select("digest", "pos", "n", "leaf", "size", "tokens")
-    open_lines = durable(open_lines)
-    fields = open_lines.select("digest", "pos", "n", "leaf", "size", F.posexplode("tokens").alias("i", "t"))
-    common = fields.groupBy("leaf", "size", "i", "t").agg(F.count("*").alias("k"))
+def generalised(lines: DataFrame, leaves: DataFrame, contexts: int, depth: int, constant: tuple[float, ...], similarity: float) -> DataFrame:
+    """``template, wild``: for the masked lines ``template`` of ``leaves(leaf, size)`` the more
+    general ones, of constant tokens and wildcards, one for each of the shares ``constant``
+    that gives another.  A token is constant where at least that share of the leaf's lines
+    have it, so a leaf of several templates falls into them at one of the shares; lines
+    with less than ``similarity`` of their tokens constant have none at that share.
+
+    Equal lines are counted together first.  The leading tokens are those of the leaf, so
+    only the last of them is looked at."""
+    each = lines.join(leaves, "leaf").groupBy("template", "leaf", "n", "size").agg(F.count("*").alias("m"), F.first("tokens").alias("tokens"))
+    head = F.least(F.lit(depth), F.col("n")) - 1
+    fields = durable(each).select("template", "n", "leaf", "size", "m", F.posexplode(F.slice("tokens", head + 1, F.col("n"))).alias("i", "t"))
+    common = fields.groupBy("leaf", "size", "i", "t").agg(F.sum("m").alias("k"))
     common = common.where((F.col("k") >= contexts) & (F.col("k") >= min(constant) * F.col("size")))
     common = common.select("leaf", "i", "t", (F.col("k") / F.col("size")).alias("share"))
     # a line's template at each share: how many fields are constant there, and which
     own = lambda c: F.col("share") >= c
     sets = [a for k, c in enumerate(constant) for a in (F.count_if(own(c)).alias(f"c{k}"), F.bit_xor(F.when(own(c), F.xxhash64("i", "t"))).alias(f"h{k}"))]
-    kept = fields.join(common, ["leaf", "i", "t"]).groupBy("digest", "pos", "n", "leaf").agg(*sets)
-    wild = [F.when(F.col(f"c{k}") >= similarity * F.col("n"), F.xxhash64("leaf", f"h{k}")) for k in range(len(constant))]
-    return kept.select("digest", "pos", "n", F.explode(F.array_distinct(F.array_compact(F.array(*wild)))).alias("wild"))
+    kept = fields.join(common, ["leaf", "i", "t"]).groupBy("template", "n", "leaf").agg(*sets)
+    wild = [F.when(F.col(f"c{k}") + head >= similarity * F.col("n"), F.xxhash64("leaf", f"h{k}")) for k in range(len(constant))]
+    return kept.select("template", F.explode(F.array_distinct(F.array_compact(F.array(*wild)))).alias("wild"))
 
 
 def drop_lines(text: Column, at: Column) -> Column:
@@ -225,7 +228,8 @@ def dedup_lines(
     )
     leaves = leaves.where(f"size >= {contexts} and t1 <> t2 and c1 <> c2").select("leaf", "size")
     rest = lines.where("leaf is not null").join(exact, "template", "left_anti")
-    wild = durable(generalised(rest, leaves, contexts, constant, similarity))
+    found = durable(generalised(rest, leaves, contexts, depth, constant, similarity))
+    wild = durable(rest.select("digest", "pos", "n", "template").join(found, "template").drop("template"))
     general = recurring(classed(wild, "wild", "n"), "wild", F.lit(contexts))
     dropped = dropped.union(wild.join(general, "wild", "left_semi").select("digest", "pos"))
     drops = durable(dropped.groupBy(F.col("digest").alias(key)).agg(F.collect_set("pos").alias(places)))
