@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rootweave.functions import text as tx
+from rootweave.iterate import settle
 
 
 def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -127,6 +128,16 @@ def sort_by(df: DataFrame, keys: list[str], item_key: str) -> DataFrame:
     return df.orderBy(*keys, item_key)
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Sorted ``rows`` with their place from 1 as ``name``: rows are numbered within each
+    sorted part, and the sizes of the parts before are added."""
+    placed = settle(rows.withColumn("__id", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__id", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = F.col("__id").bitwiseAND((1 << 33) - 1)
+    return placed.join(sizes, "__part").select(*rows.columns, (own + F.col("__before") + 1).alias(name))
+
+
 def first_with(df: DataFrame, key: str, value, order: str) -> DataFrame:
     return df.where(F.col(key) == F.lit(value)).orderBy(order).limit(1)
 

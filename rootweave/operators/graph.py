@@ -583,3 +583,53 @@ def markov_clusters(edges: DataFrame, inflation: float = 2.0, prune: float = 1e-
         if gap is None or gap < 1e-6:
             break
     return components(nodes, m.where(F.col("w") > 10 * prune)).withColumnRenamed("component", "cluster")
+
+
+def run_graph(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A graph with its unbranched runs drawn together.
+
+    ``segments(item_key, seg_id, n0, n1, length)``.  Returns ``members(item_key, run, pos,
+    seg_id, forward)``, the segments of every run in order, ``forward`` where they lead from
+    ``n0`` to ``n1``, and ``runs(item_key, run, a, b, segments, length)``, edges between the nodes
+    where runs end (those of any degree but 2).  A run is named by its least segment and
+    goes from its end with the smaller node, of equal ones with the smaller segment; a
+    closed ring starts at its least segment, forward, and ends where it starts.
+
+    List ranking by pointer doubling over both directions of every segment: as many
+    rounds as the logarithm of the longest run.  Segments with a null end don't count,
+    loops at one node are runs of their own, an empty table gives no row."""
+    own = segments.where("n0 is not null and n1 is not null").select(ITEM, "seg_id", "n0", "n1", F.col("length").cast("double").alias("length"))
+    # an arc is a segment with a direction: 2 * seg_id forward, 2 * seg_id + 1 back
+    way = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("n0").alias("s"), F.col("n1").alias("e")), F.struct(F.lit(1).alias("turn"), F.col("n1").alias("s"), F.col("n0").alias("e")))).alias("w")
+    arcs = own.select(ITEM, "seg_id", "length", way).select(ITEM, (F.col("seg_id") * 2 + F.col("w.turn")).cast("bigint").alias("arc"), "seg_id", "length", "w.s", "w.e")
+    arcs = settle(arcs)
+    inner = arcs.groupBy(ITEM, F.col("s").alias("node_id")).agg(F.count("*").alias("k"), F.count_distinct("seg_id").alias("m")).where("k = 2 and m = 2").select(ITEM, "node_id")
+    inner = settle(inner)
+    into = arcs.select(ITEM, "arc", "seg_id", F.col("e").alias("node_id")).join(inner, [ITEM, "node_id"])
+    out = arcs.select(ITEM, F.col("arc").alias("next"), F.col("seg_id").alias("other"), F.col("s").alias("node_id"))
+    follow = settle(into.join(out, [ITEM, "node_id"]).where("seg_id <> other").select(ITEM, "arc", "next"))
+    # closed rings never end: they are cut before their least segment
+    label = settle(components(own.select(ITEM, F.col("seg_id").alias("node_id")), follow.select(ITEM, F.expr("arc div 2").alias("a"), F.expr("next div 2").alias("b"))))
+    open_runs = arcs.join(inner.withColumnRenamed("node_id", "e"), [ITEM, "e"], "left_anti").join(label.withColumnRenamed("node_id", "seg_id"), [ITEM, "seg_id"]).select(ITEM, "component").distinct()
+    rings = settle(label.join(open_runs, [ITEM, "component"], "left_anti").select(ITEM, "component").distinct())
+    cuts = rings.select(ITEM, F.explode(F.array(F.col("component") * 2, F.col("component") * 2 + 1)).alias("next"))
+    follow = follow.join(cuts, [ITEM, "next"], "left_anti")
+    state = arcs.select(ITEM, "arc").join(follow, [ITEM, "arc"], "left")
+    state = settle(state.select(ITEM, "arc", F.coalesce("next", "arc").alias("last"), F.col("next").isNotNull().cast("int").alias("steps")))
+    while True:
+        on = state.where("steps > 0").select(ITEM, F.col("arc").alias("last"), F.col("last").alias("further"), F.col("steps").alias("more"))
+        moved = state.join(on, [ITEM, "last"], "left")
+        state = settle(moved.select(ITEM, "arc", F.coalesce("further", "last").alias("last"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("further").isNotNull().alias("on")))
+        if state.where("on").isEmpty():
+            break
+        state = state.drop("on")
+    ranked = state.drop("on").join(arcs, [ITEM, "arc"]).join(label.withColumnRenamed("node_id", "seg_id"), [ITEM, "seg_id"])
+    # of the two directions the one that starts at the smaller node; the arcs of one direction share their last
+    end = ranked.groupBy(ITEM, "component", "last").agg(F.max_by(F.struct("s", "arc"), "steps").alias("begin"), F.min_by("e", "steps").alias("b"), F.count("*").alias("segments"), F.sum("length").alias("length"))
+    ring = rings.withColumn("ring", F.lit(True))
+    rank = F.struct(F.when(F.col("ring"), F.lit(0)).otherwise(F.col("begin.s")), "begin.arc", "last")
+    chosen = end.join(ring, [ITEM, "component"], "left").groupBy(ITEM, "component").agg(F.min_by(F.struct("last", F.col("begin.s").alias("a"), "b", "segments", "length"), rank).alias("x")).select(ITEM, "component", "x.*")
+    chosen = settle(chosen)
+    members = ranked.join(chosen.select(ITEM, "component", "last", "segments"), [ITEM, "component", "last"])
+    members = members.select(ITEM, F.col("component").alias("run"), (F.col("segments") - F.col("steps")).cast("int").alias("pos"), "seg_id", (F.col("arc") % 2 == 0).alias("forward"))
+    return members, chosen.select(ITEM, F.col("component").alias("run"), "a", "b", "segments", "length")

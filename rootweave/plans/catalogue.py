@@ -652,6 +652,18 @@ def i08_shortest_paths(spark, sf_dir):
     return graph.shortest_paths(e, start).select("node_id", F.round("dist", 2).alias("dist"))
 
 
+@query(
+    """WITH c AS (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders)
+    SELECT min(o_orderkey) AS run, min(before) AS a, max(o_orderkey) AS b, count(*) AS segments, round(sum(o_totalprice), 2) AS length FROM c WHERE before IS NOT NULL GROUP BY o_custkey"""
+)
+def g05_run_graph(spark, sf_dir):
+    """Each customer's orders, one after the other, are a run."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = b.table(spark, sf_dir, "orders").select(F.lit("all").alias("item_key"), F.lag("o_orderkey").over(w).alias("n0"), F.col("o_orderkey").alias("n1"), F.col("o_totalprice").alias("length"))
+    runs = graph.run_graph(settle(o.where("n0 is not null").withColumn("seg_id", F.col("n1"))))[1]
+    return runs.select("run", "a", "b", "segments", F.round("length", 2).alias("length"))
+
+
 @query("""SELECT l_partkey AS node_id, arg_min(l_suppkey, l_extendedprice) AS parent FROM lineitem GROUP BY 1""")
 def i17_minimum_branching(spark, sf_dir):
     e = b.table(spark, sf_dir, "lineitem").select(F.lit("all").alias("item_key"), F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.col("l_extendedprice").alias("cost"))

@@ -163,11 +163,11 @@ def b15_words_by(spark, sf_dir):
     return catalog.words_by(p, [3, 5, 8], "^[a-c]|7$").select("word")
 
 
-@query("""SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderstatus, o_totalprice, o_orderkey) AS BIGINT) AS place FROM orders QUALIFY place <= 200""")
+@query("""SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderstatus, o_totalprice, o_orderkey) AS BIGINT) AS place FROM orders""")
 def f02_sorted(spark, sf_dir):
-    """The first 200 of the sorted rows, numbered."""
-    rows = catalog.sort_by(b.table(spark, sf_dir, "orders"), ["o_orderstatus", "o_totalprice"], "o_orderkey").limit(200)
-    return rows.coalesce(1).select("o_orderkey", (F.monotonically_increasing_id() + 1).alias("place"))
+    """All orders in sorted order, numbered."""
+    rows = catalog.sort_by(b.table(spark, sf_dir, "orders"), ["o_orderstatus", "o_totalprice"], "o_orderkey")
+    return catalog.numbered(rows.select("o_orderkey"), "place")
 
 
 @query("""SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY TRY_CAST(regexp_extract(c_name, '([0-9]+)[^0-9]*$', 1) AS BIGINT), c_custkey) - 1 AS INTEGER) AS place FROM customer""")
@@ -280,6 +280,16 @@ def mean_above(spark, sf_dir):
 MASK = f"""{D}, q AS (SELECT item_key, avg(v) AS m FROM r GROUP BY 1), m AS (SELECT r.* FROM r JOIN q USING (item_key) WHERE v > q.m)"""
 
 
+@query(f"""WITH {b.RASTER_SQL}, f AS (SELECT y, x FROM raster WHERE v > 100), d AS (SELECT r.y, r.x, min(power(r.y - f.y, 2) + power(r.x - f.x, 2)) AS d,
+ min(greatest(abs(r.y - f.y), abs(r.x - f.x))) AS c FROM raster r, f GROUP BY 1, 2) SELECT y, x, round(sqrt(d), 6) AS d, CAST(c AS DOUBLE) AS c FROM d""")
+def e15_sparse_distances(spark, sf_dir):
+    """Distances on a raster with gaps to its few cells of high value."""
+    r = settle(b.raster(spark, sf_dir))
+    high = r.where("v > 100")
+    near = ra.distance_transform(r, high).select("y", "x", F.round("d", 6).alias("d"))
+    return near.join(ra.distance_transform(r, high, "chessboard").select("y", "x", F.col("d").alias("c")), ["y", "x"])
+
+
 @query(MASK + ", d AS (SELECT r.item_key, r.y, r.x, min(power(r.y - m.y, 2) + power(r.x - m.x, 2)) AS d FROM r JOIN m USING (item_key) GROUP BY 1, 2, 3) SELECT item_key, y, x, round(sqrt(d), 6) AS d FROM d")
 def e15_distance_transform(spark, sf_dir):
     r, mask = mean_above(spark, sf_dir)

@@ -164,3 +164,46 @@ def test_watershed_over_tiles(spark, monkeypatch):
     monkeypatch.setattr(graph, "LOCAL", 100)
     monkeypatch.setattr(ra, "TILE", 8)
     assert {(r.y, r.x): r.label for r in ra.watershed(raster, marks).collect()} == whole and len(whole) > 150
+
+
+def test_runs_are_drawn_together(spark):
+    rows, n = [], 0
+
+    def chain(item, nodes):
+        nonlocal n
+        for a, b in zip(nodes, nodes[1:]):
+            n += 1
+            rows.append((item, n, *((a, b) if n % 3 else (b, a)), float(n % 5 + 1)))
+
+    chain("a", [1, 10, 11, 12, 13, 14, 15, 16, 17, 2])
+    chain("a", [2, 20, 3])
+    chain("a", [2, 30, 31, 4])
+    chain("a", [2, 5])
+    chain("b", [1, 2, 3, 4, 1])  # a ring
+    chain("b", [50, 51, 52, 50])
+    chain("b", [51, 60])  # a ring with a stalk
+    chain("c", [7, 7])  # a loop
+    chain("c", [8, 9])
+    chain("c", [8, 9])  # twice between the same nodes: a ring of two
+    table = spark.createDataFrame([*rows, ("a", 900, None, 3, 1.0)], "item_key string, seg_id bigint, n0 bigint, n1 bigint, length double")
+    members, runs = graph.run_graph(table)
+    got = {}
+    for r in members.orderBy("pos").collect():
+        got.setdefault((r.item_key, r.run), []).append((r.pos, r.seg_id, r.forward))
+    ends = {(k, s): (a, b) for k, s, a, b, _ in rows}
+    size = {(k, s): w for k, s, _, _, w in rows}
+    found = {(r.item_key, r.run): r for r in runs.collect()}
+    assert set(found) == set(got) and sorted(s for v in got.values() for _, s, _ in v) == [r[1] for r in rows]
+    for (item, run), part in got.items():
+        r = found[item, run]
+        assert [p for p, *_ in part] == list(range(1, len(part) + 1)) and run == min(s for _, s, _ in part)
+        at = r.a
+        for _, s, forward in part:
+            a, b = ends[item, s] if forward else ends[item, s][::-1]
+            assert a == at
+            at = b
+        assert at == r.b and r.segments == len(part) and r.length == pytest.approx(sum(size[item, s] for _, s, _ in part))
+    edges = sorted((k[0], r.a, r.b) for k, r in found.items())
+    assert [e for e in edges if e[0] == "a"] == [("a", 1, 2), ("a", 2, 3), ("a", 2, 4), ("a", 2, 5)]
+    assert ("b", 51, 51) in edges and ("b", 51, 60) in edges and sum(e[0] == "b" for e in edges) == 3 and sum(e[0] == "c" for e in edges) == 2
+    assert graph.run_graph(table.limit(0))[1].count() == 0
