@@ -44,12 +44,29 @@ def tip_lengths(paths: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def prune(paths: DataFrame, segments: DataFrame, least: float, most: int | None = None) -> DataFrame:
-    """Remove the path with the shortest tip of every item, while it is below ``least``;
-    tips grow as their neighbours go, so one path an item goes in a round."""
+    """What is left of a tree's covering paths when the shortest tip of every item (of equal
+    ones that of the smaller id) is removed as long as it is below ``least``; tips grow as
+    their neighbours go.
+
+    Where a tip begins only the other paths through the segment before it can make it
+    grow.  So a short tip goes at once where one of them is longer, which it stays, or
+    begins at the same place and comes later; all such tips go in one round, and the
+    rounds grow with the short branchings above each other, not with the paths.
+    A segment without a length has none in tips; a path that others cover whole has a
+    tip of 0; an empty table gives no row."""
     paths = settle(paths)
+    length = segments.select(ITEM, "seg_id", "length")
+    after = Window.partitionBy(ITEM, "path_id").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
     for _ in rounds(most):
-        worst = tip_lengths(paths, segments).where(F.col("tip") < least).groupBy(ITEM).agg(F.min(F.struct("tip", "path_id")).alias("w"))
-        gone = settle(worst.select(ITEM, F.col("w.path_id").alias("path_id")))
+        cover = paths.groupBy(ITEM, "seg_id").agg(F.countDistinct("path_id").alias("cover"))
+        rows = paths.join(cover, [ITEM, "seg_id"]).withColumn("own", F.max("cover").over(after) == 1).join(length, [ITEM, "seg_id"], "left")
+        tip = F.coalesce(F.sum(F.when(F.col("own"), F.col("length"))), F.lit(0.0)).alias("tip")
+        ends = settle(rows.groupBy(ITEM, "path_id").agg(tip, F.max_by("seg_id", F.when(~F.col("own"), F.col("pos"))).alias("base")))
+        bases = ends.where("base is not null").select(ITEM, F.col("base").alias("seg_id")).distinct()
+        beside = paths.join(bases, [ITEM, "seg_id"]).join(ends, [ITEM, "path_id"]).groupBy(ITEM, "seg_id")
+        rivals = beside.agg(F.max("tip").alias("longest"), F.max(F.when(F.col("base") == F.col("seg_id"), F.struct("tip", "path_id"))).alias("last")).withColumnRenamed("seg_id", "base")
+        short = ends.where(F.col("tip") < least).join(rivals, [ITEM, "base"], "left")
+        gone = settle(short.where(F.col("base").isNull() | (F.col("longest") > F.col("tip")) | (F.col("last") > F.struct("tip", "path_id"))).select(ITEM, "path_id"))
         if gone.isEmpty():
             break
         paths = settle(paths.join(gone, [ITEM, "path_id"], "left_anti"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rootweave.operators import compare, graph, match, measure, segment, stats, trees
+from rootweave.operators import compare, graph, match, measure, paths, segment, stats, trees
 
 ROOT = [(-1, 0.0, 0.0), (1, 0.0, 1.0), (2, 0.0, 2.0), (3, 0.0, 3.0), (4, 0.0, 4.0), (5, 1.0, 3.0), (6, 2.0, 4.0)]
 #: seg_id, n0, n1, seed: some segments are stored against the growth
@@ -51,14 +51,105 @@ def test_dag_is_acyclic_and_keeps_what_it_can(spark):
 
 def test_paths_merge(spark):
     # two ways lead to the crossing 3; the path that ends before 4 takes over its rest
-    paths = [("a", 1, 1, 1), ("a", 1, 2, 3), ("a", 1, 3, 5), ("a", 2, 1, 1), ("a", 2, 2, 3), ("a", 2, 3, 4), ("a", 3, 1, 2), ("a", 3, 2, 7)]
-    p = spark.createDataFrame(paths, "item_key string, path_id bigint, pos int, seg_id bigint")
+    rows = [("a", 1, 1, 1), ("a", 1, 2, 3), ("a", 1, 3, 5), ("a", 2, 1, 1), ("a", 2, 2, 3), ("a", 2, 3, 4), ("a", 3, 1, 2), ("a", 3, 2, 7)]
+    p = spark.createDataFrame(rows, "item_key string, path_id bigint, pos int, seg_id bigint")
     e = spark.createDataFrame([("a", 7, 4)], "item_key string, a bigint, b bigint")
     size = spark.createDataFrame([("a", k, float(4 - k)) for k in (1, 2, 3)], "item_key string, path_id bigint, length double")
     out = trees.merge_paths(p, e, size).orderBy("path_id", "pos").collect()
     assert [(r.path_id, r.seg_id) for r in out] == [(1, 1), (1, 3), (1, 5), (3, 2), (3, 7), (3, 4)]
 
 
+def test_paths_merge_by_turns(spark):
+    # at 10 the straight comer 8 goes on as the path whose second turn is smaller does
+    ways = {1: [1, 2, 10, 11, 12], 2: [1, 2, 10, 11, 13], 3: [1, 2, 14], 4: [1, 8], 5: [1, 9]}
+    bends = {(8, 10): 0.1, (9, 10): 0.4, (10, 11): 0.0, (11, 12): 0.5, (11, 13): 0.2}
+    p = spark.createDataFrame([("a", k, i, x) for k, w in ways.items() for i, x in enumerate(w, 1)], "item_key string, path_id bigint, pos int, seg_id bigint")
+    e = spark.createDataFrame([("a", a, b, c) for (a, b), c in bends.items()], "item_key string, a bigint, b bigint, cost double")
+    size = spark.createDataFrame([("a", k, 1.0) for k in range(1, 15)], "item_key string, seg_id bigint, length double")
+
+    def told(df):
+        out = {}
+        for r in df.orderBy("path_id", "pos").collect():
+            out.setdefault(r.path_id, []).append(r.seg_id)
+        return out
+
+    assert told(trees.merge_paths(p, e, segments=size)) == {3: [1, 2, 14], 4: [1, 8, 10, 11, 13], 5: [1, 9, 10, 11, 12]}
+    kept = spark.createDataFrame([("a", 2)], "item_key string, path_id bigint")
+    assert told(trees.merge_paths(p, e, segments=size, fixed=kept)) == {2: ways[2], 3: ways[3], 4: [1, 8, 10, 11, 12], 5: ways[5]}
+    assert trees.merge_paths(p.limit(0), e, segments=size).count() == 0
+    with pytest.raises(ValueError):
+        trees.merge_paths(p, e)
+
+
+def random_tree(rng, n, first):
+    """Parents of a random tree and its covering paths."""
+    up = {first: None, **{first + k: first + rng.randrange(max(0, k - 6), k) for k in range(1, n)}}
+    ways = {}
+    for leaf in set(up) - set(up.values()):
+        way = [leaf]
+        while up[way[-1]] is not None:
+            way.append(up[way[-1]])
+        ways[leaf] = way[::-1]
+    return up, ways
+
+
+def test_many_merges_in_a_round(spark):
+    rng = random.Random(11)
+    rows, links, given = [], [], {}
+    for item in "ab":
+        up, ways = random_tree(rng, 24, 1)
+        # edges lead to larger ids, so there is no cycle
+        more = {(a, b) for a, b in ((rng.randrange(1, 25), rng.randrange(1, 25)) for _ in range(30)) if a < b}
+        given[item] = (ways, more | {(v, k) for k, v in up.items() if v})
+        rows += [(item, k, i, x) for k, w in ways.items() for i, x in enumerate(w, 1)]
+        links += [(item, a, b, rng.random()) for a, b in given[item][1]]
+    p = spark.createDataFrame(rows, "item_key string, path_id bigint, pos int, seg_id bigint")
+    e = spark.createDataFrame(links, "item_key string, a bigint, b bigint, cost double")
+    size = spark.createDataFrame([(i, k, 1.0) for i in "ab" for k in range(1, 25)], "item_key string, seg_id bigint, length double")
+    out = {i: {} for i in "ab"}
+    for r in trees.merge_paths(p, e, segments=size).orderBy("item_key", "path_id", "pos").collect():
+        out[r.item_key].setdefault(r.path_id, []).append(r.seg_id)
+    for item, (ways, edges) in given.items():
+        found = out[item]
+        # every segment keeps a path, every step is an edge, no way ends elsewhere than before
+        assert {x for w in found.values() for x in w} == {x for w in ways.values() for x in w}
+        assert all((a, b) in edges for w in found.values() for a, b in zip(w, w[1:]))
+        assert {w[-1] for w in found.values()} <= {w[-1] for w in ways.values()} and len(found) < len(ways)
+        cover = {}
+        for w in found.values():
+            for x in w:
+                cover[x] = cover.get(x, 0) + 1
+        ends = {(a, b) for w in found.values() for a, b in edges if a == w[-1] and b not in w}
+        assert not any(k and min(cover[x] for x in w[:k]) > 1 and b == y for w in found.values() for k, y in enumerate(w) for _, b in ends)
+
+
+def test_pruning_by_brute_force(spark):
+    rng = random.Random(5)
+    rows, sizes, wanted = [], [], {}
+    for item in range(3):
+        _, ways = random_tree(rng, 40, 1)
+        length = {k: float(rng.randrange(0, 5)) for k in range(1, 41)}
+        rows += [(str(item), k, i, x) for k, w in ways.items() for i, x in enumerate(w, 1)]
+        sizes += [(str(item), k, v) for k, v in length.items()]
+        left = dict(ways)
+        while True:
+            cover = {}
+            for w in left.values():
+                for x in w:
+                    cover[x] = cover.get(x, 0) + 1
+            tips = [(sum(length[x] for x in w if cover[x] == 1), k) for k, w in left.items()]
+            if not tips or min(tips)[0] >= 9:
+                break
+            del left[min(tips)[1]]
+        wanted[str(item)] = set(left)
+    p = spark.createDataFrame(rows, "item_key string, path_id bigint, pos int, seg_id bigint")
+    kept = paths.prune(p, spark.createDataFrame(sizes, "item_key string, seg_id bigint, length double"), 9.0)
+    found = {k: set() for k in wanted}
+    for r in kept.select("item_key", "path_id").distinct().collect():
+        found[r.item_key].add(r.path_id)
+    assert found == wanted and any(wanted.values())
+
+
 LENGTH = {s: float(l) for s, l in zip(range(1, 30), [9, 4, 7, 3, 8, 5, 6, 2, 9, 4, 5, 7, 3, 6, 8, 4, 5, 9, 2, 6, 7, 3, 5, 8, 4, 6, 9, 5, 7])}
 
 
