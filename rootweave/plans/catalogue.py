@@ -35,7 +35,7 @@ def query(sql: str | None = None):
 
 def _load() -> None:
     """Modules that register queries of their own."""
-    from rootweave.plans import scalar_queries, tree_queries  # noqa: F401
+    from rootweave.plans import growth_queries, scalar_queries, tree_queries  # noqa: F401
 
 
 def queries() -> dict:
