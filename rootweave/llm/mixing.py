@@ -8,7 +8,9 @@ the probability by which its documents are sampled.
 
 A token is a word, a run between white space.  Without a topic of their own, texts
 are clustered: their words are hashed into ``WIDTH`` places, and a text belongs to the
-nearest of ``TOPICS`` centres that k-means finds on a sample of at most ``SAMPLE`` rows.
+nearest of ``TOPICS`` centres that k-means finds over all rows.  Vectors and centres are
+whole numbers, so sums and distances are exact: a text's topic depends neither on the
+partitions nor on the order of rows.
 """
 
 from __future__ import annotations
@@ -22,39 +24,127 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .ann import kmeans, nearest
+from .ann import nearest
 from .common import as_bytes, durable
 from .neardup import Hasher
 
 MARGINS = ("source", "lang", "topic")
 NONE = "(none)"
-#: Places of the word vectors, clusters, and rows that the clusters are fitted on at most.
-WIDTH, TOPICS, SAMPLE = 256, 8, 4000
+#: Places of the word vectors, parts of their unit, and clusters.
+WIDTH, UNIT, TOPICS = 256, 1 << 14, 8
 
 
 def word_vector(hasher: Hasher, text) -> tuple[int, np.ndarray]:
-    """Number of words, and the root of every place's share of them (length 1)."""
+    """Number of words, and the root of every place's share of them (length 1), rounded
+    to whole parts of the unit."""
     words = hasher.words(text)
     counts = np.bincount((words % np.uint64(WIDTH)).astype(np.int64), minlength=WIDTH)
-    return len(words), np.sqrt(counts / max(len(words), 1))
+    return len(words), np.rint(np.sqrt(counts / max(len(words), 1)) * UNIT)
 
 
-def topic_centres(docs: DataFrame, seed: int = 3) -> np.ndarray:
-    """Centres of the texts' word vectors, from a sample of texts that hold words."""
-    own = docs.select("text").where("text <> ''")
-    share = int(min(1.0, SAMPLE / max(own.count(), 1)) * (1 << 30))
+def unpacked(column) -> np.ndarray:
+    """Word vectors of an Arrow column of them, a row each."""
+    return np.frombuffer(b"".join(as_bytes(column)), np.int16).reshape(-1, WIDTH).astype(np.float64)
 
-    def vectors(batches):
+
+def word_vectors(docs: DataFrame) -> DataFrame:
+    """``source, lang, tokens, v`` of every row, written: ``v`` is the word vector, 2 bytes
+    a place, null without words."""
+
+    def run(batches):
         hasher = Hasher(1)
         for batch in batches:
-            found = [word_vector(hasher, x) for x in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for n, v in found if n], pa.binary())], ["v"])
+            found = [word_vector(hasher, x) for x in as_bytes(batch.column(2))]
+            tokens, v = pa.array([n for n, _ in found], pa.int64()), pa.array([v.astype(np.int16).tobytes() if n else None for n, v in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens, v], ["source", "lang", "tokens", "v"])
+
+    return durable(docs.select(named("source").alias("source"), named("lang").alias("lang"), "text").mapInArrow(run, "source string, lang string, tokens bigint, v binary"), "zstd")
+
+
+def first_centres(vectors: DataFrame, seed: int = 3) -> np.ndarray:
+    """Up to ``TOPICS`` different vectors, each drawn from all by its squared distance to
+    the nearest of those before it (k-means++); equal vectors are drawn as one."""
+    held = vectors.where("v is not null")
+    centres = np.zeros((0, WIDTH))
+    for i in range(TOPICS):
+
+        def draw(batches, centres=centres):
+            best = None
+            for batch in batches:
+                x = unpacked(batch.column(0))
+                if not len(x):
+                    continue
+                weight = (x * x).sum(1) + ((centres * centres).sum(1) - 2 * (x @ centres.T)).min(1) if len(centres) else np.ones(len(x))
+                # the least of exponential draws with these rates
+                wait = -np.log((batch.column(1).to_numpy() + 0.5) / (1 << 53))
+                wait = np.where(weight > 0, wait / np.maximum(weight, 1), np.inf)
+                for at in np.flatnonzero(wait == wait.min()) if np.isfinite(wait.min()) else []:
+                    found = (float(wait[at]), x[at].astype(np.int16).tobytes())
+                    best = min(best or found, found)
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]] if best else [], pa.float64()), pa.array([best[1]] if best else [], pa.binary())], ["wait", "v"])
 
-    # equal texts are chosen together and count once; the limit holds whatever the draw
-    some = own.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) < share).mapInArrow(vectors, "v binary")
-    chosen = some.distinct().orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toArrow()  # packed, 2 KB a row
-    points = np.stack([np.frombuffer(v, np.float64) for v in as_bytes(chosen["v"].combine_chunks())]) if len(chosen) else np.zeros((0, WIDTH))
-    return kmeans(points, TOPICS, np.random.default_rng(seed)) if len(points) else np.zeros((1, WIDTH))
+        drawn = held.select("v", F.pmod(F.xxhash64("v", F.lit(seed + i)), F.lit(1 << 53)).alias("u")).mapInArrow(draw, "wait double, v binary")
+        found = drawn.agg(F.min(F.struct("wait", "v"))).first()[0]
+        if found is None:
+            break
+        centres = np.vstack([centres, np.frombuffer(bytes(found["v"]), np.int16).astype(np.float64)])
+    return centres
+
+
+def lloyd_round(vectors: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of all vectors: sums and number by nearest centre, and the sum of squared distances."""
+
+    def run(batches):
+        totals, cost = np.zeros((len(centres), WIDTH + 1)), 0.0
+        for batch in batches:
+            x = unpacked(batch.column(0))
+            if not len(x):
+                continue
+            gaps = (centres * centres).sum(1) - 2 * (x @ centres.T)
+            own = np.zeros(gaps.shape)
+            own[np.arange(len(x)), gaps.argmin(1)] = 1
+            totals += own.T @ np.column_stack([x, np.ones(len(x))])
+            cost += (x * x).sum() + gaps.min(1).sum()
+        centre, place = np.indices(totals.shape)
+        columns = [np.append(centre, -1), np.append(place, 0), np.append(totals, cost)]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["centre", "place", "total"])
+
+    found = vectors.where("v is not null").select("v").mapInArrow(run, "centre bigint, place bigint, total bigint")
+    found = found.groupBy("centre", "place").agg(F.sum("total").alias("total")).collect()  # a row a place of a centre
+    totals = np.zeros((len(centres), WIDTH + 1))
+    for r in found:
+        if r.centre >= 0:
+            totals[r.centre, r.place] = r.total
+    return totals[:, :WIDTH], totals[:, WIDTH], sum(r.total for r in found if r.centre < 0)
+
+
+def topic_centres(vectors: DataFrame, tolerance: float = 1e-4) -> np.ndarray:
+    """Centres of all word vectors: Lloyd's rounds until one lowers the sum of squared
+    distances by no more than ``tolerance`` of it.  Centres that lose all rows go."""
+    centres, before = first_centres(vectors), None
+    while len(centres):
+        sums, sizes, cost = lloyd_round(vectors, centres)
+        if before is not None and before - cost <= tolerance * before:
+            return centres
+        centres, before = np.rint(sums[sizes > 0] / sizes[sizes > 0, None]), cost
+    return np.zeros((1, WIDTH))
+
+
+def with_topics(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``source, lang, topic, tokens`` of every row of ``vectors``, topics as ``measure`` has them."""
+
+    def run(batches):
+        for batch in batches:
+            topic = iter(nearest(unpacked(batch.column(3).drop_null()), centres).tolist())
+            topic = [f"t{next(topic)}" if there else NONE for there in batch.column(3).is_valid().to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(topic, pa.string()), batch.column(2)], ["source", "lang", "topic", "tokens"])
+
+    return vectors.mapInArrow(run, "source string, lang string, topic string, tokens bigint")
+
+
+def named(column: str) -> Column:
+    """A margin's values as strings, null as one of them."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(NONE))
 
 
 def measure(docs: DataFrame, centres: np.ndarray | None) -> DataFrame:
@@ -163,12 +253,18 @@ def mix(
     docs = docs.drop("tokens", "worth", "probability", "kept")
     if topic is not None:
         docs = docs.withColumn("topic", topic)
-    keyed = measure(docs, None if "topic" in docs.columns else topic_centres(docs))
+    if "topic" in docs.columns:
+        keyed = measure(docs, None)
+        counted = keyed.select(*[named(m).alias(m) for m in MARGINS], "tokens")
+    else:
+        vectors = word_vectors(docs)
+        centres = topic_centres(vectors)
+        keyed, counted = measure(docs, centres), with_topics(vectors, centres)
     taken = {c.lower() for c in keyed.columns}
     names = {m: next(n for i in range(len(taken) + 1) if (n := f"{m}{i}") not in taken) for m in MARGINS}
     for m, name in names.items():
-        keyed = keyed.withColumn(name, F.coalesce(F.col(m).cast("string"), F.lit(NONE)))
-    cells = durable(keyed.groupBy(*[F.col(name).alias(m) for m, name in names.items()]).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
+        keyed = keyed.withColumn(name, named(m))
+    cells = durable(counted.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
     alphas = {"source": 0.7, "lang": 0.7, "topic": 0.8} | (alphas or {})
     goals = {m: (targets or {}).get(m) or tempered(cells, m, alphas[m]) for m in MARGINS}
     raked = rake(cells, goals, keep, report=report)
