@@ -32,6 +32,8 @@ MARGINS = ("source", "lang", "topic")
 NONE = "(none)"
 #: Places of the word vectors, parts of their unit, and clusters.
 WIDTH, UNIT, TOPICS = 256, 1 << 14, 8
+#: Cells that one task rakes; more are dealt out.
+ONE_TASK = 100_000
 
 
 def word_vector(hasher: Hasher, text) -> tuple[int, np.ndarray]:
@@ -165,6 +167,13 @@ def measure(docs: DataFrame, centres: np.ndarray | None) -> DataFrame:
     return docs.mapInArrow(run, T.StructType(docs.schema.fields + more))
 
 
+def settled(cells: DataFrame) -> DataFrame:
+    """``cells``, written.  Up to ``ONE_TASK`` of them are read back by one task, so
+    totals by any margin need no shuffle; more stay dealt out."""
+    cells = durable(cells)
+    return cells.coalesce(1) if cells.count() <= ONE_TASK else cells
+
+
 def tempered(cells: DataFrame, margin: str, alpha: float) -> DataFrame:
     """Target shares ``(margin, target)`` proportional to the token share to the power
     ``alpha``: 1 leaves a margin as it is, 0 makes it even."""
@@ -178,7 +187,7 @@ def reachable(cells: DataFrame, margin: str, target: DataFrame, want: float) ->
     A value cannot keep more than it has; the others take what it leaves, in proportion
     to their targets."""
     sums = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("has")).join(target.select(margin, "target"), margin, "left").na.fill(0.0, ["target"])
-    sums = durable(sums.where("target > 0 or has > 0"))
+    sums = settled(sums.where("target > 0 or has > 0"))
     full = F.lit(False)
     while True:
         taken, left = sums.agg(F.sum(F.when(full, F.col("has")).otherwise(0.0)), F.sum(F.when(~full, F.col("target")).otherwise(0.0))).first()
@@ -205,13 +214,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float, tolerance
     want = keep * total
     for m, t in targets.items():
         cells = cells.join(reachable(cells, m, t, want).withColumnRenamed("to", f"to_{m}"), m, "left").na.fill(0.0, [f"to_{m}"])
-    raked, before = durable(cells.withColumn("weight", F.col("tokens") * F.lit(keep))), None
+    raked, before = settled(cells.withColumn("weight", F.col("tokens") * F.lit(keep))), None
     while total:
         for _ in range(batch):
             for m in targets:
                 held = F.sum("weight").over(Window.partitionBy(m))
                 raked = raked.withColumn("weight", F.when(held > 0, F.least(F.col("tokens").cast("double"), F.col("weight") * F.col(f"to_{m}") / held)).otherwise(0.0))
-        raked = durable(raked)
+        raked = settled(raked)
         gaps = {m: raked.groupBy(m).agg((F.abs(F.sum("weight") - F.first(f"to_{m}")) / F.lit(want)).alias("gap")).agg(F.max("gap")).first()[0] for m in targets}
         worst = max(gaps.values(), default=0.0)
         if worst <= tolerance or (before is not None and before - worst < tolerance / 10):
@@ -264,7 +273,7 @@ def mix(
     names = {m: next(n for i in range(len(taken) + 1) if (n := f"{m}{i}") not in taken) for m in MARGINS}
     for m, name in names.items():
         keyed = keyed.withColumn(name, named(m))
-    cells = durable(counted.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
+    cells = settled(counted.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
     alphas = {"source": 0.7, "lang": 0.7, "topic": 0.8} | (alphas or {})
     goals = {m: (targets or {}).get(m) or tempered(cells, m, alphas[m]) for m in MARGINS}
     raked = rake(cells, goals, keep, report=report)

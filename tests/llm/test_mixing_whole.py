@@ -1,4 +1,4 @@
-"""Topics are fitted on all rows."""
+"""Topics are fitted on all rows, and few cells are raked without shuffles."""
 
 import random
 
@@ -49,3 +49,28 @@ def test_few_different_texts(spark):
     docs = spark.createDataFrame([(i, "one two" if i % 2 else "three", "en", "a", 0) for i in range(50)], DOCS)
     assert len(mixing.topic_centres(mixing.word_vectors(docs))) == 2
     assert (mixing.topic_centres(mixing.word_vectors(docs.where("false"))) == 0).all()
+
+
+def test_raking_few_cells_needs_no_shuffles(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(f"s{i}", f"l{j}", f"t{k}", int(rng.integers(0, 3000)), 1) for i, j, k in np.ndindex(6, 3, 4)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint, docs bigint").coalesce(1)
+    goals = {m: mixing.tempered(cells, m, 0.5) for m in mixing.MARGINS}
+    sc, found = spark.sparkContext, []
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for most in (mixing.ONE_TASK, 0):
+            monkeypatch.setattr(mixing, "ONE_TASK", most)
+            sc.setJobGroup(f"rake {most}", "")
+            weights = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, goals, 0.6).collect()}
+            stages = {s for j in sc.statusTracker().getJobIdsForGroup(f"rake {most}") for s in sc.statusTracker().getJobInfo(j).stageIds}
+            found.append((weights, sum(i.numTasks for s in stages if (i := sc.statusTracker().getStageInfo(s)))))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    (few, tasks), (many, dealt) = found
+    assert 5 * tasks < dealt
+    assert few.keys() == many.keys() and all(few[k] == pytest.approx(many[k], rel=1e-9) for k in few)
