@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from rootweave.llm import mixing
 from rootweave.llm.common import ship
 from rootweave.llm.neardup import Hasher
@@ -74,3 +75,17 @@ def test_raking_few_cells_needs_no_shuffles(spark, monkeypatch):
     (few, tasks), (many, dealt) = found
     assert 5 * tasks < dealt
     assert few.keys() == many.keys() and all(few[k] == pytest.approx(many[k], rel=1e-9) for k in few)
+
+
+def test_pipeline_fits_topics_on_all_rows(spark, monkeypatch):
+    rng, seen, plain = random.Random(12), [], mixing.lloyd_round
+
+    def spied(vectors, centres):
+        found = plain(vectors, centres)
+        seen.append(int(found[1].sum()))
+        return found
+
+    monkeypatch.setattr(mixing, "lloyd_round", spied)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(WORDS, k=6)) + f" w{i}", "en", "a", 0) for i in range(4500)] + [(4500, None, None, None, None)], DOCS)
+    assert corpus_pipeline.mixing_stage(spark, docs, "").columns == docs.columns
+    assert seen and set(seen) == {4500}
