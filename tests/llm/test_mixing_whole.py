@@ -89,3 +89,30 @@ def test_pipeline_fits_topics_on_all_rows(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(rng.choices(WORDS, k=6)) + f" w{i}", "en", "a", 0) for i in range(4500)] + [(4500, None, None, None, None)], DOCS)
     assert corpus_pipeline.mixing_stage(spark, docs, "").columns == docs.columns
     assert seen and set(seen) == {4500}
+
+
+def test_pipeline_topics_fit_all_rows(spark, monkeypatch):
+    """From the topics that the stage goes by, a plain round over all rows wins hardly
+    more than the tolerance; centres of a sample of 4,000 leave more to win."""
+    rng, mixes, plain = random.Random(13), [], mixing.mix
+
+    def spied(*args, **kwargs):
+        mixes.append(plain(*args, **kwargs))
+        return mixes[-1]
+
+    monkeypatch.setattr(mixing, "mix", spied)
+    texts = [" ".join(rng.choices(WORDS, k=12)) for _ in range(9000)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS).repartition(4)
+    corpus_pipeline.mixing_stage(spark, docs, "")
+    topics = np.array([int(r.topic[1:]) for r in mixes[0].select("doc_id", "topic").orderBy("doc_id").collect()])
+    hasher = Hasher(1)
+    x = np.array([mixing.word_vector(hasher, t.encode())[1] for t in texts])
+
+    def centred(at):
+        centres = np.array([x[at == k].mean(0) for k in np.unique(at)])
+        return centres, ((x - centres[np.unique(at, return_inverse=True)[1]]) ** 2).sum()
+
+    centres, cost = centred(topics)
+    gaps = (centres * centres).sum(1) - 2 * (x @ centres.T)
+    _, after = centred(gaps.argmin(1))
+    assert len(centres) == mixing.TOPICS and cost - after <= 2e-4 * cost
