@@ -169,3 +169,38 @@ def test_nearest_of_axes_lists_few_pairs(spark):
         assert catalogue.queries()["c08_nearest_per_axe"](spark, "/root/testdata/sf0.001").count() > 0 and not asked
     finally:
         match.point_segment_distance = kept
+
+
+def greedy_pairs(a, b, most, squared, digits):
+    found, ranks = [], {}
+    for k, i, x, y in a:
+        for kk, j, u, v in b:
+            if k == kk and None not in (x, u) and (d := math.hypot(x - u, y - v)) <= most:
+                ranks[k, i, j] = round((x - u) ** 2 + (y - v) ** 2 if squared else d, digits)
+    left, right = set(), set()
+    for (k, i, j), d in sorted(ranks.items(), key=lambda r: (r[1], r[0])):
+        if (k, i) not in left and (k, j) not in right:
+            found.append((k, i, j, d))
+            left.add((k, i))
+            right.add((k, j))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("held", [10_000, 20])
+def test_greedy_points_without_pairs(spark, held, monkeypatch):
+    """Many points at one place, ties between places, few pairs looked at together."""
+    from rootweave.operators import nearby
+
+    rng = random.Random(6)
+    a = [(k, i, float(rng.randrange(6)), float(rng.randrange(6))) for k in "ab" for i in range(30)] + [("a", 90, None, 1.0), ("c", 1, 0.0, 0.0)]
+    b = [(k, j, float(rng.randrange(12)), float(rng.randrange(6))) for k in "ab" for j in range(20 if k == "a" else 4)] + [(None, 1, 0.0, 0.0)]
+    one, two = spark.createDataFrame(a, "k string, i int, x double, y double"), spark.createDataFrame(b, "k string, j int, x double, y double")
+    told = lambda rows: sorted((r.k, r.i, r.j, round(r.d, 6)) for r in rows.collect())
+    assert told(match.greedy_points(one, two, ["k"], 3.0, digits=6, held=held)) == greedy_pairs(a, b, 3.0, False, 6)
+    if held > 100:
+        monkeypatch.setattr(nearby, "PAIRS", 7)
+        import numpy as np
+
+        (i, ax, ay), (j, bx, by) = ([np.array(c) for c in zip(*[r[1:] for r in t if r[0] == "a" and None not in r])] for t in (a, b))
+        small = zip(*nearby.greedy(i, ax, ay, j, bx, by, digits=6))
+        assert sorted(("a", *r) for r in small) == [r for r in greedy_pairs(a, b, math.inf, False, 6) if r[0] == "a"]
