@@ -20,22 +20,17 @@ from rootweave.operators import match
 ITEM = "item_key"
 
 
-def plant_match(reference: DataFrame, computed: DataFrame, most: float | None = None) -> DataFrame:
+def plant_match(reference: DataFrame, computed: DataFrame, most: float | None = None, squared: bool = False, digits: int | None = None) -> DataFrame:
     """``item_key, i, j, d``: plants ``i`` of the reference and ``j`` of the computed tree
-    paired greedily by the distance of their seeds, at most ``most``; a grid join where
-    there is such a limit, else every pair of an image's plants."""
+    paired greedily by the distance of their seeds, at most ``most``; ``d`` is ``squared``
+    or not, and equal to ``digits`` goes by i, then j."""
     a, b = reference.select(ITEM, F.col("plant").alias("i"), "x", "y"), computed.select(ITEM, F.col("plant").alias("j"), "x", "y")
-    if most is not None:
-        pairs = match.near_pairs(a, b, [ITEM], most)
-    else:
-        other = b.withColumnsRenamed({"x": "bx", "y": "by"})
-        pairs = a.join(other, ITEM).select(ITEM, "i", "j", F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")).alias("d"))
-    return match.greedy_match(pairs, [ITEM])
+    return match.greedy_points(a, b, [ITEM], most, squared, digits)
 
 
-def seed_match(first: DataFrame, second: DataFrame) -> DataFrame:
+def seed_match(first: DataFrame, second: DataFrame, digits: int | None = None) -> DataFrame:
     """As ``plant_match`` with squared distances."""
-    return plant_match(first, second).withColumn("d", F.col("d") * F.col("d"))
+    return plant_match(first, second, squared=True, digits=digits)
 
 
 def resample_roots(points: DataFrame, samples: int = 16) -> DataFrame:

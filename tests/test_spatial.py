@@ -189,7 +189,7 @@ def greedy_pairs(a, b, most, squared, digits):
 @pytest.mark.parametrize("held", [10_000, 20])
 def test_greedy_points_without_pairs(spark, held, monkeypatch):
     """Many points at one place, ties between places, few pairs looked at together."""
-    from rootweave.operators import nearby
+    from rootweave.operators import compare, nearby
 
     rng = random.Random(6)
     a = [(k, i, float(rng.randrange(6)), float(rng.randrange(6))) for k in "ab" for i in range(30)] + [("a", 90, None, 1.0), ("c", 1, 0.0, 0.0)]
@@ -198,6 +198,10 @@ def test_greedy_points_without_pairs(spark, held, monkeypatch):
     told = lambda rows: sorted((r.k, r.i, r.j, round(r.d, 6)) for r in rows.collect())
     assert told(match.greedy_points(one, two, ["k"], 3.0, digits=6, held=held)) == greedy_pairs(a, b, 3.0, False, 6)
     if held > 100:
+        plants = lambda t, i: t.selectExpr("k as item_key", f"{i} as plant", "x", "y")
+        monkeypatch.setattr(match, "greedy_match", None)  # no list of pairs
+        found = compare.seed_match(plants(one, "i"), plants(two, "j"), digits=6).withColumnRenamed("item_key", "k")
+        assert told(found) == greedy_pairs(a, b, math.inf, True, 6)
         monkeypatch.setattr(nearby, "PAIRS", 7)
         import numpy as np
 
