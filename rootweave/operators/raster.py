@@ -113,16 +113,37 @@ def footprint_filter(raster: DataFrame, offsets: list[tuple[int, int]], fn) -> D
     return reached.join(raster.select(*CELL), CELL, "left_semi")
 
 
-def smooth(raster: DataFrame, sigma: float) -> DataFrame:
-    """Gaussian smoothing in two passes; at borders and holes the weights present count."""
+def smoothed(rows: DataFrame, value: str, sigma: float) -> DataFrame:
+    """``rows`` with ``value`` smoothed along x and then y.  A cell finds those up to k before
+    and after among the k rows before and after it, so rows are sorted, not multiplied."""
     weights = gaussian_kernel(sigma)
     k = len(weights) // 2
-    for c in ("x", "y"):
-        o = F.explode(F.array(*[F.struct(F.lit(i - k).alias("d"), F.lit(w).alias("w")) for i, w in enumerate(weights)])).alias("o")
-        spread = raster.select(*CELL, "v", o).withColumn(c, F.col(c) + F.col("o.d"))
-        summed = spread.groupBy(*CELL).agg((F.sum(F.col("v") * F.col("o.w")) / F.sum("o.w")).alias("v"))
-        raster = summed.join(raster.select(*CELL), CELL, "left_semi")
-    return raster
+    for a, b in (("y", "x"), ("x", "y")):
+        w = Window.partitionBy(ITEM, a).orderBy(b)
+        around = [(F.col(b), F.col(value))]
+        around += [(f(b, n).over(w), f(value, n).over(w)) for n in range(1, k + 1) for f in (F.lag, F.lead)]
+        names = [(f"__p{n}", f"__v{n}") for n in range(len(around))]
+        rows = rows.select("*", *[c.alias(n) for pair, name in zip(around, names) for c, n in zip(pair, name)])
+        kernel = F.array(*[F.lit(x) for x in weights[k:]])
+        part = zero = F.lit(0.0)
+        held = F.lit(False)
+        for p, v in names:
+            far = F.abs(F.col(p) - F.col(b))
+            weight = F.when(far <= k, F.get(kernel, far.cast("int"))).otherwise(zero)
+            weight = F.coalesce(weight, zero)
+            part = part + F.coalesce(F.col(v) * weight, zero)
+            held = held | (F.col(v).isNotNull() & (weight > 0))
+        total = zero
+        for p, _ in names:
+            far = F.abs(F.col(p) - F.col(b))
+            total = total + F.coalesce(F.when(far <= k, F.get(kernel, far.cast("int"))), zero)
+        rows = rows.withColumn(value, F.when(held, part / total)).drop(*[n for pair in names for n in pair])
+    return rows
+
+
+def smooth(raster: DataFrame, sigma: float) -> DataFrame:
+    """Gaussian smoothing in two passes; at borders and holes the weights present count."""
+    return smoothed(raster.select(*CELL, F.col("v").cast("double").alias("v")), "v", sigma)
 
 
 def gradient(raster: DataFrame) -> DataFrame:
@@ -150,9 +171,21 @@ def adaptive_threshold(raster: DataFrame, radius: int, threshold: float) -> Data
 
 
 def remove_background(raster: DataFrame, distance: int, sigma: float) -> DataFrame:
-    """Value less the smoothed local minimum."""
-    low = smooth(window_filter(raster, distance, "min"), sigma).withColumnRenamed("v", "m")
-    return raster.join(low, CELL).select(*CELL, (F.col("v") - F.col("m")).alias("v"))
+    """Value less the smoothed local minimum.
+
+    Cells are dealt once, to square parts of the raster with a border as wide as the filters
+    reach; all passes are within a part, and the value goes along, so nothing is joined."""
+    reach = distance + len(gaussian_kernel(sigma)) // 2
+    side = max(512, 32 * reach)
+    part = lambda c: F.sequence(F.floor((F.col(c) - reach) / side).cast("int"), F.floor((F.col(c) + reach) / side).cast("int"))
+    rows = raster.select(*CELL, "v").withColumn("py", F.explode(part("y"))).withColumn("px", F.explode(part("x")))
+    rows = rows.select(F.struct(ITEM, "py", "px").alias(ITEM), "y", "x", "v").repartition(ITEM)
+    rows = rows.withColumn("m", F.col("v"))
+    for a, b in (("y", "x"), ("x", "y")):
+        rows = rows.withColumn("m", F.min("m").over(Window.partitionBy(ITEM, a).orderBy(b).rangeBetween(-distance, distance)))
+    rows = smoothed(rows.withColumn("m", F.col("m").cast("double")), "m", sigma)
+    own = (F.floor(F.col("y") / side) == F.col(f"{ITEM}.py")) & (F.floor(F.col("x") / side) == F.col(f"{ITEM}.px"))
+    return rows.where(own).select(F.col(f"{ITEM}.{ITEM}").alias(ITEM), "y", "x", (F.col("v") - F.col("m")).alias("v"))
 
 
 def local_minima(raster: DataFrame, radius: int, strict: bool = False) -> DataFrame:

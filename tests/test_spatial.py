@@ -237,3 +237,21 @@ def test_segments_of_many_points_at_one_place(spark, monkeypatch):
     assert "Broadcast" not in plan and plan.count("collect_list") > 1
     truth = {(i, j): brute([("a", i, x, y)], [("a", j, *e)])["a", i] for _, i, x, y in points for _, j, *e in segments}
     assert sorted((r.point_id, r.seg_id, round(r.d, 9)) for r in found.collect()) == sorted((*k, round(d, 9)) for k, d in truth.items() if d <= 2.0)
+
+
+def test_background_over_parts_of_a_raster(spark):
+    """Cells on both sides of the parts' borders, with holes, dealt once and never joined."""
+    rng = random.Random(9)
+    cells = {(k, y, x): float(rng.randrange(50)) for k in "ab" for y in [*range(-6, 4), *range(506, 518)] for x in [*range(-5, 5), *range(507, 516)] if rng.random() < 0.6}
+    found = ra.remove_background(spark.createDataFrame([(*c, v) for c, v in cells.items()], CELLS + ", v double"), 2, 1.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    low = cells
+    for dy, dx in ((0, 1), (1, 0)):
+        low = {(k, y, x): min(low[c] for n in range(-2, 3) if (c := (k, y + n * dy, x + n * dx)) in low) for k, y, x in low}
+    weights = ra.gaussian_kernel(1.0)
+    for dy, dx in ((0, 1), (1, 0)):
+        near = {(k, y, x): [(weights[n + 3], low[c]) for n in range(-3, 4) if (c := (k, y + n * dy, x + n * dx)) in low] for k, y, x in low}
+        low = {c: sum(w * v for w, v in rows) / sum(w for w, _ in rows) for c, rows in near.items()}
+    got = {(r.item_key, r.y, r.x): r.v for r in found.collect()}
+    assert set(got) == set(cells) and all(got[c] == pytest.approx(cells[c] - low[c]) for c in cells)
